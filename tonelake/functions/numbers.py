@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -41,3 +43,11 @@ def gaussian(value: Column, target: Column, sigma: float, allow_negative: bool =
     d = v - target
     match = F.exp(-(d * d) / F.lit(2.0 * sigma * sigma))
     return match if allow_negative else F.when(v > 0, match).otherwise(F.lit(0.0))
+
+
+def let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with the value computed once.
+
+    Lambdas of array functions evaluate what they capture anew for every element.
+    """
+    return F.get(F.transform(F.array(value), use), F.lit(0))

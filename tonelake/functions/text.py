@@ -7,6 +7,7 @@ from functools import reduce
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from tonelake.functions.numbers import let
 from tonelake.rules import BAD_LYRICS, INSTRUMENTAL_ARTISTS, words
 
 # --- Fixed values: the patterns decide what counts as noise -----------------------------------
@@ -97,11 +98,15 @@ def is_valid_lyrics(text: Column) -> Column:
     """At least 50 chars and 3 filled lines, and no 'not found' phrase at the start."""
     t = F.coalesce(text, F.lit(""))
     filled = F.size(F.filter(lines(t), lambda x: strip(x) != ""))
-    start = F.substring(F.lower(t), 1, 200)
-    bad = F.exists(words(BAD_LYRICS), lambda p: F.contains(start, p))
+    bad = let(
+        F.substring(F.lower(t), 1, 200),
+        lambda start: F.exists(words(BAD_LYRICS), lambda p: F.contains(start, p)),
+    )
     return (F.length(t) >= 50) & (filled >= 3) & ~bad
 
 
 def is_instrumental_artist(artist: Column) -> Column:
-    a = F.lower(F.coalesce(artist, F.lit("")))
-    return F.exists(words(INSTRUMENTAL_ARTISTS), lambda t: F.contains(a, t))
+    return let(
+        F.lower(F.coalesce(artist, F.lit(""))),
+        lambda a: F.exists(words(INSTRUMENTAL_ARTISTS), lambda t: F.contains(a, t)),
+    )

@@ -10,6 +10,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tonelake.functions.numbers import let
+
 DIMENSIONS = 64
 
 
@@ -23,8 +25,8 @@ def norm(a: Column) -> Column:
 
 
 def l2_normalise(a: Column) -> Column:
-    n = norm(a) + F.lit(1e-8)
-    return F.transform(a, lambda x: x.cast("double") / n)
+    scaled = lambda v, n: F.transform(v, lambda x: x.cast("double") / n)
+    return let(a, lambda v: let(norm(v) + F.lit(1e-8), lambda n: scaled(v, n)))
 
 
 def hashed_words(text: Column, dims: int = DIMENSIONS) -> Column:
@@ -33,11 +35,14 @@ def hashed_words(text: Column, dims: int = DIMENSIONS) -> Column:
     slots = F.transform(
         tokens, lambda t: F.conv(F.substring(F.md5(t), 1, 6), 16, 10).cast("int") % F.lit(dims)
     )
-    counts = F.transform(
-        F.sequence(F.lit(0), F.lit(dims - 1)),
-        lambda i: F.size(F.filter(slots, lambda s: s == i)).cast("double"),
-    )
-    return l2_normalise(counts).cast("array<float>")
+
+    def count(found: Column) -> Column:
+        return F.transform(
+            F.sequence(F.lit(0), F.lit(dims - 1)),
+            lambda i: F.size(F.filter(found, lambda s: s == i)).cast("double"),
+        )
+
+    return l2_normalise(let(slots, count)).cast("array<float>")
 
 
 def decode_float32(raw: Column) -> Column:

@@ -7,7 +7,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tonelake.functions.numbers import clip, stable_round
+from tonelake.functions.numbers import clip, let, stable_round
 from tonelake.functions.quantiles import exact_percentiles
 from tonelake.rules import KEY_MAJOR, KEY_MINOR, PITCH_NAMES, literal
 
@@ -49,10 +49,11 @@ def chroma_profile(chroma: DataFrame, key: str = "song_id") -> DataFrame:
             for p in range(12)
         ]).alias("_m")
     )
-    total = F.aggregate("_m", F.lit(0.0), lambda a, x: a + x) + F.lit(EPSILON)
-    return means.withColumn("_t", total).select(
-        key, F.transform("_m", lambda x: x / F.col("_t")).alias("chroma")
+    shares = let(
+        F.aggregate("_m", F.lit(0.0), lambda a, x: a + x) + F.lit(EPSILON),
+        lambda total: F.transform("_m", lambda x: x / total),
     )
+    return means.select(key, shares.alias("chroma"))
 
 
 def _templates() -> list[dict]:
@@ -74,22 +75,25 @@ def detect_key(profiles: DataFrame, key: str = "song_id") -> DataFrame:
     """
     table = literal(_templates(), "array<struct<key:string,mode:string,t:array<double>>>")
     mean = F.aggregate("chroma", F.lit(0.0), lambda a, x: a + x) / F.lit(12.0)
-    centred = profiles.withColumn("_mean", mean).select(
-        key, F.transform("chroma", lambda x: x - F.col("_mean")).alias("_c")
-    )
-    size = F.sqrt(F.aggregate("_c", F.lit(0.0), lambda a, x: a + x * x))
-    centred = centred.withColumn("_s", F.when(size > 1e-12, size))
+    centred = let(mean, lambda m: F.transform("chroma", lambda x: x - m))
 
-    def correlation(t: Column) -> Column:
-        s = F.aggregate(F.zip_with("_c", t["t"], lambda a, b: a * b), F.lit(0.0), lambda a, x: a + x)
-        return F.round(s / F.col("_s"), 9)
+    def length(c: Column) -> Column:
+        return F.sqrt(F.aggregate(c, F.lit(0.0), lambda a, x: a + x * x))
 
-    scored = F.transform(
-        table, lambda t: F.struct(correlation(t).alias("corr"), t["key"].alias("key"), t["mode"].alias("mode"))
-    )
+    def correlation(c: Column, size: Column, t: Column) -> Column:
+        s = F.aggregate(F.zip_with(c, t["t"], lambda a, b: a * b), F.lit(0.0), lambda a, x: a + x)
+        return F.round(s / F.when(size > 1e-12, size), 9)
+
+    def every_template(c: Column, size: Column) -> Column:
+        return F.transform(
+            table,
+            lambda t: F.struct(correlation(c, size, t).alias("corr"), t["key"].alias("key"), t["mode"].alias("mode")),
+        )
+
+    scored = let(centred, lambda c: let(length(c), lambda size: every_template(c, size)))
     start = F.struct(F.lit(-1.0).alias("corr"), F.lit("C").alias("key"), F.lit("major").alias("mode"))
-    best = F.aggregate("_all", start, lambda a, t: F.when(t["corr"] > a["corr"], t).otherwise(a))
-    out = centred.withColumn("_all", scored).select(key, best.alias("_b"))
+    best = F.aggregate(scored, start, lambda a, t: F.when(t["corr"] > a["corr"], t).otherwise(a))
+    out = profiles.select(key, best.alias("_b"))
     confidence = clip(F.col("_b.corr"), 0.0, 1.0)
     known = confidence >= KEY_FLOOR
     return out.select(

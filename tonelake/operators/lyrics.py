@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tonelake.functions.numbers import let
 from tonelake.functions.text import (
     clean_lookup,
     clean_lyrics,
@@ -74,7 +75,6 @@ def chunk_text(text: Column) -> Column:
 
     A fold over the pieces with (finished chunks, open chunk) as its state.
     """
-    body = strip(F.coalesce(text, F.lit("")))
     piece = "array<struct<s:string,sep:string,cost:int,flush:boolean>>"
 
     def pieces(p: Column) -> Column:
@@ -87,8 +87,6 @@ def chunk_text(text: Column) -> Column:
         )
         return F.when(F.length(p) > MAX_CHUNK, split).otherwise(whole).cast(piece)
 
-    items = F.flatten(F.transform(F.split(body, "\n\n"), pieces))
-    start = F.struct(F.array().cast("array<string>").alias("chunks"), F.lit("").alias("open"))
     add = lambda chunks, c: F.when(c == "", chunks).otherwise(F.concat(chunks, F.array(strip(c))))
 
     def step(a: Column, x: Column) -> Column:
@@ -100,11 +98,19 @@ def chunk_text(text: Column) -> Column:
             fits, F.struct(chunks.alias("chunks"), grown.alias("open"))
         ).otherwise(F.struct(add(chunks, opened).alias("chunks"), x["s"].alias("open")))
 
-    packed = F.aggregate(items, start, step, lambda a: add(a["chunks"], strip(a["open"])))
-    long_enough = F.filter(packed, lambda c: F.length(c) >= MIN_CHUNK)
-    cut = F.array(F.substring(body, 1, MAX_CHUNK))
-    return F.when(F.length(body) <= MAX_CHUNK, F.array(body)).otherwise(
-        F.when(F.size(long_enough) > 0, long_enough).otherwise(cut)
+    def pack(body: Column) -> Column:
+        items = F.flatten(F.transform(F.split(body, "\n\n"), pieces))
+        start = F.struct(F.array().cast("array<string>").alias("chunks"), F.lit("").alias("open"))
+        packed = F.aggregate(items, start, step, lambda a: add(a["chunks"], strip(a["open"])))
+        cut = F.array(F.substring(body, 1, MAX_CHUNK))
+        return let(
+            F.filter(packed, lambda c: F.length(c) >= MIN_CHUNK),
+            lambda kept: F.when(F.size(kept) > 0, kept).otherwise(cut),
+        )
+
+    return let(
+        strip(F.coalesce(text, F.lit(""))),
+        lambda body: F.when(F.length(body) <= MAX_CHUNK, F.array(body)).otherwise(pack(body)),
     )
 
 
@@ -119,8 +125,7 @@ def explode_chunks(songs: DataFrame, text: str = "lyrics_text", key: str = "song
 
 def analysis_text(text: Column) -> Column:
     """What the emotion step reads: the cleaned lyrics, or the raw ones if nothing is left."""
-    cleaned = clean_lyrics(text)
-    return F.when(cleaned == "", text).otherwise(cleaned)
+    return let(clean_lyrics(text), lambda c: F.when(c == "", text).otherwise(c))
 
 
 def resolve_sources(candidates: DataFrame, key: str = "song_id") -> DataFrame:

@@ -13,6 +13,7 @@ from operator import or_
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tonelake.functions.numbers import let
 from tonelake.rules import (
     ACOUSTIC_DOMINANT,
     EMOTION_DOMINANT,
@@ -59,7 +60,10 @@ def expand_keywords(clean: Column, tokens: Column, rules: Rulebook) -> Column:
         [{"term": t, "keywords": k} for t, k in rules.synonyms.items()],
         "array<struct<term:string,keywords:array<string>>>",
     )
-    named = F.filter(table, lambda s: _names(clean, tokens, s["term"]))
+    named = let(
+        F.struct(clean.alias("q"), tokens.alias("t")),
+        lambda p: F.filter(table, lambda s: _names(p["q"], p["t"], s["term"])),
+    )
     added = F.flatten(F.transform(named, lambda s: s["keywords"]))
     return F.array_distinct(F.concat(F.array(clean), added))
 
@@ -69,7 +73,10 @@ def detect_genres(clean: Column, tokens: Column, rules: Rulebook) -> Column:
         [{"genre": g, "words": w} for g, w in rules.genres.items()],
         "array<struct<genre:string,words:array<string>>>",
     )
-    named = F.filter(table, lambda g: F.exists(g["words"], lambda w: _names(clean, tokens, w)))
+    named = let(
+        F.struct(clean.alias("q"), tokens.alias("t")),
+        lambda p: F.filter(table, lambda g: F.exists(g["words"], lambda w: _names(p["q"], p["t"], w))),
+    )
     return F.transform(named, lambda g: g["genre"])
 
 

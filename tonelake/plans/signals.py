@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from tonelake.functions.numbers import gaussian, number_or
+from tonelake.functions.numbers import gaussian, let, number_or
 from tonelake.rules import (
     AROUSAL_CONTRADICTION,
     FEATURE_SIGMA,
@@ -86,8 +86,9 @@ def negation_penalty(negated: Column, scores: Column) -> Column:
     hits = F.filter(
         F.transform(negated, lambda w: F.try_element_at(scores, w)), lambda s: s.isNotNull()
     )
-    total = F.aggregate(hits, F.lit(0.0), lambda a, s: a + s * F.lit(NEGATION_SCALE))
-    return F.coalesce(F.try_divide(total, F.size(hits)), F.lit(0.0))
+    total = lambda h: F.aggregate(h, F.lit(0.0), lambda a, s: a + s * F.lit(NEGATION_SCALE))
+    mean = let(hits, lambda h: F.try_divide(total(h), F.size(h)))
+    return F.when(F.size(negated) > 0, F.coalesce(mean, F.lit(0.0))).otherwise(0.0)
 
 
 def song_genres(rules: Rulebook, genre: str = "genre", artist: str = "artist") -> Column:
@@ -96,10 +97,13 @@ def song_genres(rules: Rulebook, genre: str = "genre", artist: str = "artist") -
         [{"genre": g, "words": w} for g, w in rules.genres.items()],
         "array<struct<genre:string,words:array<string>>>",
     )
-    g = F.lower(F.coalesce(F.col(genre), F.lit("")))
-    a = F.lower(F.coalesce(F.col(artist), F.lit("")))
-    named = F.filter(
-        table, lambda r: F.exists(r["words"], lambda w: F.contains(g, w) | F.contains(a, w))
+    lowered = lambda c: F.lower(F.coalesce(F.col(c), F.lit("")))
+    named = let(
+        F.struct(lowered(genre).alias("g"), lowered(artist).alias("a")),
+        lambda s: F.filter(
+            table,
+            lambda r: F.exists(r["words"], lambda w: F.contains(s["g"], w) | F.contains(s["a"], w)),
+        ),
     )
     return F.transform(named, lambda r: r["genre"])
 

@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ["prompts"]
+MODULES = ["prompts", "library", "media"]
 
 
 def load() -> None:

@@ -9,7 +9,7 @@ from tonelake.functions.vectors import hashed_words
 from tonelake.plans import ranking as rk
 from tonelake.plans import signals as sig
 from tonelake.plans.prompt import plan_prompts, split_negation, letter_tokens, with_weights
-from tonelake.rules import ACOUSTIC_DOMINANT, EMOTION_DOMINANT, FEATURE_SIGMA, NEGATION_WORDS, default_rulebook
+from tonelake.rules import ACOUSTIC_DOMINANT, EMOTION_DOMINANT, FEATURE_SIGMA, NEGATION_WORDS, default_rulebook, literal
 from workload.registry import q, query, r, rule, text
 from workload.views import PROMPTS, duck
 
@@ -250,12 +250,17 @@ _signal("V9_negation_penalty", "penalty")
 
 
 def _mood_matches(t, features: list[str]) -> DataFrame:
-    """Every song against every mood that sets one of the features; narrow."""
-    rows = [
-        F.struct(F.lit(m).alias("mood"), F.lit(f).alias("feature"), r(sig.feature_match(f, F.lit(p[f][0]))).alias("match"))
-        for m, p in RULES.profiles.items() for f in features if f in p
-    ]
-    return t.songs.select(F.col("id").alias("song_id"), *sig.SCALARS).select("song_id", F.inline(F.array(*rows)))
+    """Every song against every mood that sets one of the features; the fixed rules open each row."""
+    rows, _ = RULES.rows("profiles")
+    table = literal(
+        [{"mood": m, "feature": f, "target": x} for m, f, x, _ in rows if f in features],
+        "array<struct<mood:string,feature:string,target:double>>",
+    )
+    pairs = t.songs.select(F.col("id").alias("song_id"), *sig.SCALARS, F.inline(table))
+    match = F.lit(0.0)
+    for f in features:
+        match = F.when(F.col("feature") == f, sig.feature_match(f, F.col("target"))).otherwise(match)
+    return pairs.select("song_id", "mood", "feature", r(match).alias("match"))
 
 
 def _mood_sql(features: list[str]) -> str:

@@ -22,7 +22,11 @@ def lexicon_scores(chunks: DataFrame, lexicon: dict[str, list[str]] | None = Non
         key, "chunk_idx", "n_chunks",
         F.regexp_extract_all(F.lower("chunk"), F.lit("[a-z']+"), F.lit(0)).alias("_t"),
     )
-    counts = [F.size(F.filter("_t", lambda t, w=w: F.array_contains(words(w), t))) for w in lexicon.values()]
+
+    def count(label_words: list[str]) -> Column:
+        return F.size(F.filter("_t", lambda t: F.array_contains(words(label_words), t)))
+
+    counts = [count(w) for w in lexicon.values()]
     df = df.select(key, "chunk_idx", "n_chunks", F.array(*counts).alias("_n"))
     total = F.aggregate("_n", F.lit(0), lambda a, x: a + x)
     df = df.withColumn("_all", total)

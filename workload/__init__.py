@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ["prompts", "library", "media"]
+MODULES = ["prompts", "library", "media", "lyrics", "maintenance"]
 
 
 def load() -> None:

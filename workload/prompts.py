@@ -324,7 +324,7 @@ def o1(t):
 # ---------------------------------------------------------------- windows and sets over plans
 
 
-@query("W1_first_occurrence_dedupe", f"""WITH {TABLE_PROMPTS}, x AS (SELECT query_id, unnest(ws) AS word, generate_subscripts(ws, 1) AS pos FROM (SELECT query_id, regexp_split_to_array(trim(lower(prompt)), '\\s+') AS ws FROM p)),
+@query("Window1_first_occurrence_dedupe", f"""WITH {TABLE_PROMPTS}, x AS (SELECT query_id, unnest(ws) AS word, generate_subscripts(ws, 1) AS pos FROM (SELECT query_id, regexp_split_to_array(trim(lower(prompt)), '\\s+') AS ws FROM p)),
 d AS (SELECT query_id, word, min(pos) AS pos FROM x GROUP BY 1, 2) SELECT query_id, string_agg(word, ' ' ORDER BY pos) AS words FROM d GROUP BY 1""")
 def w1(t):
     from tonelake.plans.prompt import split_words
@@ -332,14 +332,14 @@ def w1(t):
     return t.prompt_rows.select("query_id", F.array_join(F.array_distinct(split_words(F.col("prompt"))), " ").alias("words"))
 
 
-@query("W2_best_per_key", f"WITH {rule('profiles')}, e AS (SELECT event_id, user_id, event_type, value, row_number() OVER (PARTITION BY user_id, event_type ORDER BY value DESC, event_id) AS n FROM events) SELECT user_id, event_type, event_id, value FROM e WHERE n = 1")
+@query("Window2_best_per_key", f"WITH {rule('profiles')}, e AS (SELECT event_id, user_id, event_type, value, row_number() OVER (PARTITION BY user_id, event_type ORDER BY value DESC, event_id) AS n FROM events) SELECT user_id, event_type, event_id, value FROM e WHERE n = 1")
 def w2(t):
     """Best row per key with an ordered tie-break, as an aggregation that combines on the map side."""
     best = F.max_by(F.struct("event_id", "value"), F.struct(F.col("value"), -F.col("event_id")))
     return t.events.groupBy("user_id", "event_type").agg(best.alias("b")).select("user_id", "event_type", "b.event_id", "b.value")
 
 
-@query("W4_rank_per_query", SCORING + "SELECT query_id, song_id, CAST(rank AS INT) AS rank FROM ranked WHERE rank <= 5")
+@query("Window4_rank_per_query", SCORING + "SELECT query_id, song_id, CAST(rank AS INT) AS rank FROM ranked WHERE rank <= 5")
 def w4(t):
     scores = rk.ensemble(scored(t)).withColumn("limit", F.lit(5))
     return rk.top_rows(scores, 5).select("query_id", "song_id", "rank")

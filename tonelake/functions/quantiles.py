@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-HOT_ROWS = 1_000_000  # keys above this take the bucketed way
+HOT_ROWS = 200_000  # keys above this take the bucketed way
+MAX_BROADCAST_KEYS = 100_000
 BUCKETS = 1024
 
 
@@ -14,30 +15,38 @@ def exact_percentiles(
 ) -> DataFrame:
     """Linear-interpolated percentiles of ``value`` per ``key``; one column per entry of probs.
 
-    Usual keys: Spark's exact ``percentile``, one shuffle. Keys above ``hot_rows`` would make its
-    per-key buffer large, so they go through :func:`bucketed_percentiles`. Both are exact.
+    A count per key (one action, combined on the map side) finds keys above ``hot_rows``, whose
+    values would make the buffer of Spark's exact ``percentile`` large. Without any, that function
+    does all the work in one shuffle; hot keys go through :func:`bucketed_percentiles`. Both ways
+    are exact.
     """
     rows = df.select(key, F.col(value).cast("double").alias("_v")).filter(
         F.col("_v").isNotNull() & ~F.isnan("_v")
     )
-    counts = rows.groupBy(key).agg(F.count("*").alias("_n"))
-    hot = counts.filter(F.col("_n") > hot_rows).select(key)
-    names, ps = list(probs), list(probs.values())
-    usual = (
-        rows.join(hot, key, "left_anti")
-        .groupBy(key)
-        .agg(F.percentile("_v", F.lit(ps)).alias("_p"))
-        .select(key, *[F.get("_p", F.lit(i)).alias(n) for i, n in enumerate(names)])
-    )
-    return usual.unionByName(bucketed_percentiles(rows.join(hot, key, "left_semi"), key, probs))
+    hot = rows.groupBy(key).agg(F.count("*").alias("_n")).filter(F.col("_n") > hot_rows).select(key)
+    n_hot = hot.limit(MAX_BROADCAST_KEYS + 1).count()
+    if n_hot == 0:
+        return _percentiles(rows, key, probs)
+    few = n_hot <= MAX_BROADCAST_KEYS
+    hot = F.broadcast(hot) if few else hot
+    usual = _percentiles(rows.join(hot, key, "left_anti"), key, probs)
+    return usual.unionByName(bucketed_percentiles(rows.join(hot, key, "left_semi"), key, probs, few))
+
 
+def _percentiles(rows: DataFrame, key: str, probs: dict[str, float]) -> DataFrame:
+    picked = rows.groupBy(key).agg(F.percentile("_v", F.lit(list(probs.values()))).alias("_p"))
+    return picked.select(key, *[F.get("_p", F.lit(i)).alias(n) for i, n in enumerate(probs)])
 
-def bucketed_percentiles(rows: DataFrame, key: str, probs: dict[str, float]) -> DataFrame:
+
+def bucketed_percentiles(
+    rows: DataFrame, key: str, probs: dict[str, float], few_keys: bool = False
+) -> DataFrame:
     """Percentiles by range buckets.
 
     Every key's value range is cut into equal buckets; counts per (key, bucket) say which bucket
     holds a rank, and only the rows of those buckets are ordered, equal values merged. No step
-    brings all rows of a key together.
+    brings all rows of a key together. ``few_keys``: the number of keys is known to be small enough
+    to broadcast their ranges.
     """
     span = rows.groupBy(key).agg(
         F.min("_v").alias("_lo"), F.max("_v").alias("_hi"), F.count("*").alias("_n")
@@ -47,8 +56,9 @@ def bucketed_percentiles(rows: DataFrame, key: str, probs: dict[str, float]) ->
         F.floor(F.coalesce(F.try_divide(F.col("_v") - F.col("_lo"), width), F.lit(0.0)) * BUCKETS),
         F.lit(BUCKETS - 1),
     )
+    ends = span.select(key, "_lo", "_hi")
     values = (
-        rows.join(span.select(key, "_lo", "_hi"), key)
+        rows.join(F.broadcast(ends) if few_keys else ends, key)
         .groupBy(key, bucket.alias("_b"), "_v")
         .agg(F.count("*").alias("_c"))
     )

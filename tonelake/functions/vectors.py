@@ -98,36 +98,35 @@ def block_similarity(vectors: Column, prompts: np.ndarray, cosine: bool) -> Colu
 
 
 def similarity_bounds(
-    songs: DataFrame, column: str, prompts: np.ndarray, cosine: bool
+    songs: DataFrame, signals: dict[str, tuple[str, np.ndarray, bool]]
 ) -> DataFrame:
-    """Lowest and highest similarity per prompt position over all songs.
+    """Lowest and highest similarity per prompt position over all songs, one pass for all signals.
 
-    Every Arrow batch is reduced to one row per prompt before anything is shuffled.
+    ``signals`` maps a name to (vector column, prompt matrix, cosine). Every task is reduced to one
+    row per prompt before anything is shuffled. Columns: pos, <name>_low, <name>_high.
     """
-    dims = prompts.shape[1]
+    names = list(signals)
+    width = max(m.shape[0] for _, m, _ in signals.values())
 
     def reduce_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        low = np.full(prompts.shape[0], np.inf)
-        high = np.full(prompts.shape[0], -np.inf)
+        low = {n: np.full(width, np.inf) for n in names}
+        high = {n: np.full(width, -np.inf) for n in names}
         for batch in batches:
-            rows, _ = _matrix(batch.column(0), dims)
-            if len(rows):
-                sims = similarity(rows, prompts, cosine)
-                low = np.minimum(low, sims.min(axis=0))
-                high = np.maximum(high, sims.max(axis=0))
-        seen = np.isfinite(low)
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(np.flatnonzero(seen).astype("int32")), pa.array(low[seen]), pa.array(high[seen])],
-            names=["pos", "low", "high"],
-        )
-
-    return (
-        songs.select(column)
-        .filter(F.col(column).isNotNull())
-        .mapInArrow(reduce_batches, "pos int, low double, high double")
-        .groupBy("pos")
-        .agg(F.min("low").alias("low"), F.max("high").alias("high"))
-    )
+            for i, n in enumerate(names):
+                _, prompts, cosine = signals[n]
+                rows, _ = _matrix(batch.column(i), prompts.shape[1])
+                if len(rows):
+                    sims = similarity(rows, prompts, cosine)
+                    low[n] = np.minimum(low[n], sims.min(axis=0))
+                    high[n] = np.maximum(high[n], sims.max(axis=0))
+        ends = [pa.array(x[n], mask=~np.isfinite(x[n])) for n in names for x in (low, high)]
+        columns = ["pos", *[f"{n}_{e}" for n in names for e in ("low", "high")]]
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(width, dtype="int32")), *ends], names=columns)
+
+    schema = "pos int, " + ", ".join(f"{n}_low double, {n}_high double" for n in names)
+    ends = [f(f"{n}_{e}").alias(f"{n}_{e}") for n in names for e, f in (("low", F.min), ("high", F.max))]
+    vectors = songs.select(*[column for column, _, _ in signals.values()])
+    return vectors.mapInArrow(reduce_batches, schema).groupBy("pos").agg(*ends)
 
 
 def with_model_vectors(

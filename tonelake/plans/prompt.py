@@ -7,10 +7,8 @@ wins); arrays keep it.
 
 from __future__ import annotations
 
-from functools import reduce
-from operator import or_
-
-from pyspark.sql import Column, DataFrame
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tonelake.functions.numbers import let
@@ -97,18 +95,15 @@ def profile_rows(keywords: Column, rules: Rulebook) -> Column:
     return _lookup(keywords, table)
 
 
-def merge_profile(rows: Column, rules: Rulebook) -> Column:
+def merge_profile(rows: str, rules: Rulebook) -> Column:
     """Struct of feature -> (target, weight): the largest weight, the earliest keyword on a tie."""
+    kind = "struct<target:double,weight:double>"
 
-    def best(i: int) -> Column:
-        def step(kept: Column, row: Column) -> Column:
-            new = row[i]
-            wins = new.isNotNull() & (kept.isNull() | (new["weight"] > kept["weight"]))
-            return F.when(wins, new).otherwise(kept)
-
-        return F.aggregate(rows, F.lit(None).cast("struct<target:double,weight:double>"), step)
+    def best(i: int) -> str:
+        wins = f"r[{i}] IS NOT NULL AND (kept IS NULL OR r[{i}].weight > kept.weight)"
+        return f"aggregate({rows}, cast(NULL AS {kind}), (kept, r) -> CASE WHEN {wins} THEN r[{i}] ELSE kept END)"
 
-    return F.struct(*[best(i).alias(f) for i, f in enumerate(rules.features)])
+    return F.expr(f"named_struct({', '.join(f"'{f}', {best(i)}" for i, f in enumerate(rules.features))})")
 
 
 def emotion_rows(keywords: Column, rules: Rulebook) -> Column:
@@ -119,10 +114,10 @@ def emotion_rows(keywords: Column, rules: Rulebook) -> Column:
     return _lookup(keywords, table)
 
 
-def merge_emotions(rows: Column, rules: Rulebook) -> Column:
+def merge_emotions(rows: str, rules: Rulebook) -> Column:
     """Struct of emotion -> target share: the largest over the keywords, NULL if none."""
-    top = lambda i: F.array_max(F.transform(rows, lambda r: r[i]))
-    return F.struct(*[top(i).alias(e) for i, e in enumerate(rules.emotions)])
+    top = lambda i: f"array_max(transform({rows}, r -> r[{i}]))"
+    return F.expr(f"named_struct({', '.join(f"'{e}', {top(i)}" for i, e in enumerate(rules.emotions))})")
 
 
 def boosts(keywords: Column) -> tuple[Column, Column]:
@@ -133,9 +128,9 @@ def boosts(keywords: Column) -> tuple[Column, Column]:
     return leads(emotion, acoustic), leads(acoustic, emotion)
 
 
-def any_set(struct: str, fields: list[str]) -> Column:
+def any_set(struct: str, fields: list[str]) -> str:
     """True if any field of the struct column is set."""
-    return reduce(or_, [F.col(f"{struct}.{f}").isNotNull() for f in fields])
+    return "(" + " OR ".join(f"{struct}.{f} IS NOT NULL" for f in fields) + ")"
 
 
 def plan_prompts(prompts: DataFrame, rules: Rulebook | None = None) -> DataFrame:
@@ -158,35 +153,43 @@ def plan_prompts(prompts: DataFrame, rules: Rulebook | None = None) -> DataFrame
     emotion_boost, acoustic_boost = boosts(F.col("keywords"))
     return step.select(
         *[c for c in step.columns if c not in ("_p", "_e")],
-        merge_profile(F.col("_p"), rules).alias("profile"),
-        merge_emotions(F.col("_e"), rules).alias("emotions"),
+        merge_profile("_p", rules).alias("profile"),
+        merge_emotions("_e", rules).alias("emotions"),
         emotion_boost.alias("emotion_boost"), acoustic_boost.alias("acoustic_boost"),
     )
 
 
+def prompt_table(spark: SparkSession, prompts: list[str], limit: int | None = None) -> DataFrame:
+    """Prompts of a request as a local table, numbered from 0."""
+    table = pa.table({
+        "query_id": pa.array(range(len(prompts)), pa.int32()), "prompt": pa.array(prompts, pa.string()),
+        "limit": pa.array([limit] * len(prompts), pa.int32()),
+    })
+    return spark.createDataFrame(table)
+
+
 def valid_limit(limit: Column) -> Column:
     """NULL and 0 mean the default; a negative limit is an error."""
     n = F.coalesce(F.nullif(limit.cast("int"), F.lit(0)), F.lit(DEFAULT_LIMIT))
     return F.when(n < 0, F.raise_error(F.lit("limit must not be negative"))).otherwise(n)
 
 
-def with_weights(plans: DataFrame, has_clap: Column, rules: Rulebook | None = None) -> DataFrame:
-    """Add ``weights``: a signal without a target gets 0, the rest is boosted and sums to 1."""
+def with_weights(plans: DataFrame, has_clap: str, rules: Rulebook | None = None) -> DataFrame:
+    """Add ``weights``: a signal without a target gets 0, the rest is boosted and sums to 1.
+
+    ``has_clap`` is a SQL condition on the plan row.
+    """
     rules = rules or default_rulebook()
     on = {
-        "semantic": F.lit(True),
-        "clap": has_clap,
+        "semantic": "true",
+        "clap": f"({has_clap})",
         "features": any_set("profile", rules.features),
-        "genre": F.size("genres") > 0,
+        "genre": "size(genres) > 0",
         "emotion": any_set("emotions", rules.emotions),
     }
-    boost = {
-        "clap": F.col("emotion_boost"), "emotion": F.col("emotion_boost"),
-        "features": F.col("acoustic_boost"),
-    }
-    raw = {
-        s: F.when(on[s], F.lit(w) * boost.get(s, F.lit(1.0))).otherwise(F.lit(0.0))
-        for s, w in SIGNAL_WEIGHTS.items()
-    }
-    total = sum(raw.values(), F.lit(0.0))
-    return plans.withColumn("weights", F.struct(*[(raw[s] / total).alias(s) for s in SIGNALS]))
+    boost = {"clap": "emotion_boost", "emotion": "emotion_boost", "features": "acoustic_boost"}
+    raw = {s: f"CASE WHEN {on[s]} THEN {w}D * {boost.get(s, '1D')} ELSE 0D END" for s, w in SIGNAL_WEIGHTS.items()}
+    total = f"({' + '.join(raw.values())})"
+    return plans.withColumn(
+        "weights", F.expr(f"named_struct({', '.join(f"'{s}', {raw[s]} / {total}" for s in SIGNALS)})")
+    )

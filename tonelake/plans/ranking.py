@@ -11,10 +11,9 @@ from __future__ import annotations
 from functools import reduce
 
 import numpy as np
-from pyspark.sql import Column, DataFrame, Row, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tonelake.functions.numbers import clip, stable_round
 from tonelake.functions.vectors import block_similarity, similarity_bounds
 from tonelake.plans import signals as sig
 from tonelake.plans.prompt import SIGNALS, with_weights
@@ -22,71 +21,69 @@ from tonelake.rules import Rulebook, default_rulebook
 
 MAX_BATCH = 256  # prompts scored in one pass over the songs
 MAX_BROADCAST_ROWS = 1_000_000
-SONG_COLUMNS = ["artist", "genre", "has_lyrics", "emotion_distribution", *sig.SCALARS]
 
 
-def prompt_batches(plans: DataFrame, max_batch: int = MAX_BATCH) -> list[DataFrame]:
-    """Split plans into batches of at most ``max_batch`` rows. Only counts reach the driver."""
-    n = plans.count()
-    if n <= max_batch:
-        return [plans]
-    parts = -(-n // max_batch)
-    while True:
-        part = F.pmod(F.xxhash64("query_id"), F.lit(parts))
-        largest = plans.groupBy(part).count().agg(F.max("count")).first()[0]
-        if largest <= max_batch:
-            return [plans.filter(part == i) for i in range(parts)]
-        parts *= 2
+class BatchTooLarge(ValueError):
+    pass
 
 
 class Batch:
-    """One bounded batch: its plans as a DataFrame, its vectors as matrices in batch order."""
+    """A bounded batch of prompts, held by the driver.
+
+    Vectors as matrices in batch order, the rest of the plans as a small local table.
+    """
 
     def __init__(self, plans: DataFrame, max_batch: int = MAX_BATCH):
-        clap = F.col("clap_vec") if "clap_vec" in plans.columns else F.lit(None)
-        rows = plans.select(
-            "query_id", "limit", "negated", "query_vec", clap.alias("clap_vec")
-        ).take(max_batch + 1)
-        if len(rows) > max_batch:
-            raise ValueError(f"more than {max_batch} prompts in a batch; use prompt_batches")
-        self.ids = [r.query_id for r in rows]
-        self.max_limit = max((r.limit for r in rows), default=0)
-        self.text = self._stack(rows, "query_vec")
-        self.clap = self._stack(rows, "clap_vec")
-        self.words = list(dict.fromkeys(w for r in rows for w in r.negated))
-        self.has_clap_vec = [r.query_id for r in rows if r.clap_vec is not None]
-        self.plans = plans.filter(F.col("query_id").isin(self.ids))
+        table = plans.limit(max_batch + 1).toArrow()
+        if table.num_rows > max_batch:
+            raise BatchTooLarge(f"more than {max_batch} prompts in a batch")
+        self.ids = table["query_id"].to_pylist()
+        self.max_limit = max(table["limit"].to_pylist(), default=0)
+        self.text = self._matrix(table, "query_vec")
+        self.clap = self._matrix(table, "clap_vec")
+        self.words = list(dict.fromkeys(w for ws in table["negated"].to_pylist() for w in ws))
+        vectors = table["clap_vec"].to_pylist() if "clap_vec" in table.column_names else []
+        self.has_clap_vec = [i for i, v in zip(self.ids, vectors) if v is not None]
+        kept = [c for c in table.column_names if c not in ("query_vec", "clap_vec")]
+        self.plans = plans.sparkSession.createDataFrame(table.select(kept))
 
     @staticmethod
-    def _stack(rows: list[Row], name: str) -> np.ndarray | None:
-        dims = next((len(r[name]) for r in rows if r[name] is not None), None)
+    def _matrix(table, name: str) -> np.ndarray | None:
+        rows = table[name].to_pylist() if name in table.column_names else []
+        dims = next((len(v) for v in rows if v is not None), None)
         if dims is None:
             return None
-        return np.array([r[name] if r[name] is not None else [0.0] * dims for r in rows], "float64")
+        return np.array([v if v is not None else [0.0] * dims for v in rows], "float64")
 
     def id_at(self, pos: Column) -> Column:
         return F.get(F.lit(self.ids), pos)
 
 
+def prompt_batches(plans: DataFrame, max_batch: int = MAX_BATCH) -> list[Batch]:
+    """All prompts, in batches of at most ``max_batch``: one if they fit, else hash parts."""
+    try:
+        return [Batch(plans, max_batch)]
+    except BatchTooLarge:
+        parts = -(-plans.count() // max_batch)
+    while True:
+        part = F.pmod(F.xxhash64("query_id"), F.lit(parts))
+        largest = plans.groupBy(part).count().agg(F.max("count")).first()[0]
+        if largest <= max_batch:
+            return [Batch(plans.filter(part == i), max_batch) for i in range(parts)]
+        parts *= 2
+
+
 def batch_plans(songs: DataFrame, batch: Batch, rules: Rulebook) -> DataFrame:
     """Plans of the batch with similarity bounds and weights: one small row per prompt."""
-    text = similarity_bounds(songs, "embedding", batch.text, True).select(
-        batch.id_at(F.col("pos")).alias("query_id"), F.col("low").alias("sem_low"),
-        F.col("high").alias("sem_high"),
-    )
-    plans = batch.plans.join(text, "query_id", "left")
+    signals = {"sem": ("embedding", batch.text, True)}
     if batch.clap is not None and "clap_embedding" in songs.columns:
-        clap = similarity_bounds(
-            songs.filter(F.col("embedding").isNotNull()), "clap_embedding", batch.clap, False
-        ).select(
-            batch.id_at(F.col("pos")).alias("query_id"), F.col("low").alias("clap_low"),
-            F.col("high").alias("clap_high"),
-        )
-        plans = plans.join(clap.filter(F.col("query_id").isin(batch.has_clap_vec)), "query_id", "left")
-    else:
-        none = F.lit(None).cast("double")
-        plans = plans.withColumn("clap_low", none).withColumn("clap_high", none)
-    return with_weights(plans, F.col("clap_low").isNotNull(), rules)
+        signals["clap"] = ("clap_embedding", batch.clap, False)
+    bounds = similarity_bounds(songs.filter(F.col("embedding").isNotNull()), signals)
+    bounds = bounds.withColumn("query_id", batch.id_at(F.col("pos"))).drop("pos")
+    # the audio signal counts only if the prompt has a vector and some song has one
+    of_clap = lambda c: F.when(F.col("query_id").isin(batch.has_clap_vec), F.col(c)) if "clap" in signals else F.lit(None).cast("double")
+    bounds = bounds.withColumns({c: of_clap(c) for c in ("clap_low", "clap_high")})
+    return with_weights(batch.plans.join(bounds, "query_id", "left"), "clap_low IS NOT NULL", rules)
 
 
 def pair_songs(songs: DataFrame, batch: Batch, plans: DataFrame, rules: Rulebook) -> DataFrame:
@@ -102,14 +99,16 @@ def pair_songs(songs: DataFrame, batch: Batch, plans: DataFrame, rules: Rulebook
         clap = F.lit(None).cast("array<double>")
     per_song = songs.filter(F.col("embedding").isNotNull()).select(
         F.col("id").alias("song_id"),
-        *[c for c in SONG_COLUMNS if c not in ("artist", "genre")],
+        *sig.song_inputs(rules),
         sig.song_genres(rules).alias("song_genres"),
         sig.mood_scores(moods, rules).alias("mood_scores"),
         block_similarity(F.col("embedding"), batch.text, True).alias("sims"),
         clap.alias("clap_sims"),
     )
+    # outer: a plain posexplode makes the optimizer compute the similarities once more as a filter;
+    # rows without any have no prompt and drop out of the join
     rows = per_song.select(
-        *[c for c in per_song.columns if c != "sims"], F.posexplode("sims").alias("pos", "semantic")
+        *[c for c in per_song.columns if c != "sims"], F.posexplode_outer("sims").alias("pos", "semantic")
     )
     rows = rows.withColumn("query_id", batch.id_at(F.col("pos"))).withColumn(
         "clap", F.get("clap_sims", F.col("pos"))
@@ -121,12 +120,12 @@ def signal_columns(pairs: DataFrame, rules: Rulebook) -> DataFrame:
     """The signals of every pair, unrounded."""
     return pairs.select(
         "query_id", "song_id", "limit", "weights", "semantic", "clap",
-        sig.min_max(F.col("semantic"), F.col("sem_low"), F.col("sem_high")).alias("norm_semantic"),
-        sig.min_max(F.col("clap"), F.col("clap_low"), F.col("clap_high")).alias("norm_clap"),
+        sig.min_max("semantic", "sem_low", "sem_high").alias("norm_semantic"),
+        sig.min_max("clap", "clap_low", "clap_high").alias("norm_clap"),
         sig.feature_score("profile", rules).alias("features"),
-        sig.genre_score(F.col("genres"), F.col("song_genres")).alias("genre"),
-        sig.emotion_score("emotions", F.col("emotion_distribution"), rules).alias("emotion"),
-        sig.negation_penalty(F.col("negated"), F.col("mood_scores")).alias("penalty"),
+        sig.genre_score("genres", "song_genres").alias("genre"),
+        sig.emotion_score("emotions", rules).alias("emotion"),
+        sig.negation_penalty("negated", "mood_scores").alias("penalty"),
     )
 
 
@@ -136,11 +135,11 @@ def ensemble(signals: DataFrame) -> DataFrame:
         "semantic": "norm_semantic", "clap": "norm_clap", "features": "features",
         "genre": "genre", "emotion": "emotion",
     }
-    total = sum((F.col(f"weights.{s}") * F.col(value[s]) for s in SIGNALS), F.lit(0.0))
-    score = clip((total - F.col("penalty")) * 100.0, 0.0, 100.0)
-    return signals.select(
-        "query_id", "song_id", "limit", stable_round(score, 4).alias("score"),
-        stable_round(F.col("semantic") * 100.0, 4).alias("semantic_score"),
+    total = " + ".join(f"weights.{s} * {value[s]}" for s in SIGNALS)
+    return signals.selectExpr(
+        "query_id", "song_id", "limit",
+        f"round(round(greatest(0D, least(100D, 100D * ({total} - penalty))), 9), 4) AS score",
+        "round(round(semantic * 100D, 9), 4) AS semantic_score",
     )
 
 
@@ -169,15 +168,10 @@ def rank_prompts(
     """
     rules = rules or default_rulebook()
 
-    def one(part: DataFrame) -> DataFrame | None:
-        batch = Batch(part, max_batch)
-        if batch.text is None:
-            return None
-        return top_rows(score_batch(songs, batch, rules), batch.max_limit)
-
-    parts = [r for r in map(one, prompt_batches(plans, max_batch)) if r is not None]
-    if not parts:
-        raise ValueError("no prompt has a query_vec")
+    batches = [b for b in prompt_batches(plans, max_batch) if b.ids]
+    if not batches or any(b.text is None for b in batches):
+        raise ValueError("no prompts, or none with a query_vec")
+    parts = [top_rows(score_batch(songs, b, rules), b.max_limit) for b in batches]
     return reduce(DataFrame.unionByName, parts).select(
         "query_id", "rank", "song_id", "score", "semantic_score",
         match_quality(F.col("score")).alias("match_quality"),

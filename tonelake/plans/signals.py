@@ -1,7 +1,9 @@
-"""The five signals of a (prompt, song) pair, as column expressions.
+"""The five signals of a (prompt, song) pair.
 
-Everything that depends on the song alone (genres named by its tags, scores against a mood's
-profile) is computed once per song, before songs are paired with prompts.
+Everything that depends on the song alone (cleaned feature values, genres named by its tags, scores
+against a mood's profile) is computed once per song, before songs are paired with prompts; a pair
+then needs plain arithmetic on numbers. The formulas are written as Spark SQL text: one parse in
+the JVM instead of hundreds of column calls.
 """
 
 from __future__ import annotations
@@ -9,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from tonelake.functions.numbers import gaussian, let, number_or
+from tonelake.functions.numbers import let
 from tonelake.rules import (
     AROUSAL_CONTRADICTION,
     FEATURE_SIGMA,
@@ -26,69 +28,81 @@ SCALARS = [
 ]
 
 
-def feature_match(feature: str, target: Column) -> Column:
-    """How well the song's value of one feature meets the target, 0 to 1."""
+def feature_value(feature: str) -> str:
+    """The song's value of a feature, as a number: missing is 0, for arousal 0.5 (as is a true 0)."""
     if feature == "mode_major":
-        major = F.coalesce(F.col("mode"), F.lit("")) == "major"
-        return F.when(major == (target > 0.5), 1.0).otherwise(0.0)
+        return "CASE WHEN mode = 'major' THEN 1D ELSE 0D END"
+    if feature == "arousal":
+        return "coalesce(nullif(nanvl(cast(arousal AS double), 0D), 0D), 0.5D)"
+    if feature.startswith("mfcc") and len(feature) == 5:
+        return f"coalesce(nanvl(cast(get(mfccs, {int(feature[4]) - 1}) AS double), 0D), 0D)"
+    if feature in FEATURE_SIGMA and feature != "mfcc":
+        return f"coalesce(nanvl(cast({feature} AS double), 0D), 0D)"
+    return "0D"
+
+
+def feature_match(feature: str, target: str, value: str | None = None) -> str:
+    """How well a value meets the target, 0 to 1. ``target`` and ``value`` are SQL text."""
+    v = value or f"({feature_value(feature)})"
+    if feature == "mode_major":
+        return f"CASE WHEN {v} = {target} THEN 1D ELSE 0D END"
+    sigma = FEATURE_SIGMA.get("mfcc" if feature.startswith("mfcc") else feature)
+    if sigma is None:
+        return "0D"
+    curve = f"exp(-({v} - {target}) * ({v} - {target}) / {2 * sigma * sigma}D)"
     if feature == "valence":
-        v = number_or(F.col("valence"), 0.0)
-        wrong = ((target < -0.1) & (v > 0.1)) | ((target > 0.1) & (v < -0.1))
-        gate = F.when(wrong, VALENCE_CONTRADICTION).otherwise(1.0)
-        return gaussian(v, target, FEATURE_SIGMA["valence"], True) * gate
+        wrong = f"({target} < -0.1D AND {v} > 0.1D) OR ({target} > 0.1D AND {v} < -0.1D)"
+        return f"{curve} * CASE WHEN {wrong} THEN {VALENCE_CONTRADICTION}D ELSE 1D END"
     if feature == "arousal":
-        v = number_or(F.col("arousal"), 0.5)
-        wrong = ((target > 0.5) & (v < 0.3)) | ((target < 0.3) & (v > 0.5))
-        gate = F.when(wrong, AROUSAL_CONTRADICTION).otherwise(1.0)
-        return gaussian(v, target, FEATURE_SIGMA["arousal"], True) * gate
-    if feature.startswith("mfcc"):
-        if len(feature) != 5:
-            return F.lit(0.0)
-        value = F.get(F.col("mfccs"), F.lit(int(feature[4]) - 1))
-        return gaussian(number_or(value, 0.0), target, FEATURE_SIGMA["mfcc"])
-    if feature in FEATURE_SIGMA:
-        return gaussian(number_or(F.col(feature), 0.0), target, FEATURE_SIGMA[feature])
-    return F.lit(0.0)
+        wrong = f"({target} > 0.5D AND {v} < 0.3D) OR ({target} < 0.3D AND {v} > 0.5D)"
+        return f"{curve} * CASE WHEN {wrong} THEN {AROUSAL_CONTRADICTION}D ELSE 1D END"
+    return f"CASE WHEN {v} > 0 THEN {curve} ELSE 0D END"
+
+
+def song_inputs(rules: Rulebook) -> list[Column]:
+    """Per song: f_<feature> numbers and e_<emotion> shares; shares are NULL without usable lyrics."""
+    usable = "coalesce(has_lyrics, false) AND coalesce(size(emotion_distribution), 0) > 0"
+    shares = [
+        f"CASE WHEN {usable} THEN coalesce(try_element_at(emotion_distribution, '{e}'), 0D) END AS e_{e}"
+        for e in rules.emotions
+    ]
+    values = [f"{feature_value(f)} AS f_{f}" for f in rules.features]
+    return [F.expr(x) for x in values + shares]
 
 
 def feature_score(profile: str, rules: Rulebook) -> Column:
-    """Weighted mean match over a plan's merged profile (a struct column).
+    """Weighted mean match over a plan's merged profile (a struct column), from song inputs.
 
     A feature the song cannot match still adds its weight.
     """
-    hits, weights = F.lit(0.0), F.lit(0.0)
+    hits, weights = [], []
     for f in rules.features:
-        target, weight = F.col(f"{profile}.{f}.target"), F.col(f"{profile}.{f}.weight")
-        hits = hits + F.when(weight.isNull(), 0.0).otherwise(feature_match(f, target) * weight)
-        weights = weights + F.coalesce(weight, F.lit(0.0))
-    return F.when(weights > 0, hits / weights).otherwise(0.0)
+        target, weight = f"{profile}.{f}.target", f"{profile}.{f}.weight"
+        hits.append(f"CASE WHEN {weight} IS NULL THEN 0D ELSE ({feature_match(f, target, f'f_{f}')}) * {weight} END")
+        weights.append(f"coalesce({weight}, 0D)")
+    return F.expr(f"coalesce(({' + '.join(hits)}) / nullif({' + '.join(weights)}, 0D), 0D)")
 
 
-def mood_score(mood: str, rules: Rulebook) -> Column:
+def mood_score(mood: str, rules: Rulebook) -> str:
     """Weighted mean match of the song with one mood's own profile."""
     profile = rules.profiles[mood]
-    total = sum(w for _, w in profile.values())
-    hits = F.lit(0.0)
-    for f, (target, weight) in profile.items():
-        hits = hits + feature_match(f, F.lit(target)) * F.lit(weight)
-    return hits / F.lit(total)
+    hits = " + ".join(f"({feature_match(f, f'{t}D')}) * {w}D" for f, (t, w) in profile.items())
+    return f"({hits}) / {sum(w for _, w in profile.values())}D"
 
 
 def mood_scores(moods: list[str], rules: Rulebook) -> Column:
     """Map mood -> score for the negated moods of a batch; once per song."""
     if not moods:
-        return F.lit(None).cast("map<string,double>")
-    return F.create_map(*[c for m in moods for c in (F.lit(m), mood_score(m, rules))])
+        return F.expr("cast(NULL AS map<string,double>)")
+    return F.expr("map(" + ", ".join(f"'{m}', {mood_score(m, rules)}" for m in moods) + ")")
 
 
-def negation_penalty(negated: Column, scores: Column) -> Column:
+def negation_penalty(negated: str, scores: str) -> Column:
     """Mean scaled score over the negated words that name a mood; other words do not count."""
-    hits = F.filter(
-        F.transform(negated, lambda w: F.try_element_at(scores, w)), lambda s: s.isNotNull()
-    )
-    total = lambda h: F.aggregate(h, F.lit(0.0), lambda a, s: a + s * F.lit(NEGATION_SCALE))
-    mean = let(hits, lambda h: F.try_divide(total(h), F.size(h)))
-    return F.when(F.size(negated) > 0, F.coalesce(mean, F.lit(0.0))).otherwise(0.0)
+    hits = f"filter(transform({negated}, w -> try_element_at({scores}, w)), s -> s IS NOT NULL)"
+    total = f"aggregate(h, 0D, (a, s) -> a + s * {NEGATION_SCALE}D)"
+    mean = f"get(transform(array({hits}), h -> try_divide({total}, size(h))), 0)"
+    return F.expr(f"CASE WHEN size({negated}) > 0 THEN coalesce({mean}, 0D) ELSE 0D END")
 
 
 def song_genres(rules: Rulebook, genre: str = "genre", artist: str = "artist") -> Column:
@@ -108,25 +122,20 @@ def song_genres(rules: Rulebook, genre: str = "genre", artist: str = "artist") -
     return F.transform(named, lambda r: r["genre"])
 
 
-def genre_score(targets: Column, of_song: Column) -> Column:
+def genre_score(targets: str, of_song: str) -> Column:
     """Share of the target genres that the song carries."""
-    shared = F.size(F.array_intersect(targets, of_song)).cast("double")
-    return F.when(F.size(targets) > 0, shared / F.size(targets)).otherwise(0.0)
+    shared = f"size(array_intersect({targets}, {of_song}))"
+    return F.expr(f"CASE WHEN size({targets}) > 0 THEN cast({shared} AS double) / size({targets}) ELSE 0D END")
 
 
-def emotion_score(targets: str, distribution: Column, rules: Rulebook) -> Column:
+def emotion_score(targets: str, rules: Rulebook) -> Column:
     """1 minus the mean distance between the song's emotion shares and the targets."""
-    distance, n = F.lit(0.0), F.lit(0)
-    for e in rules.emotions:
-        t = F.col(f"{targets}.{e}")
-        share = F.coalesce(F.try_element_at(distribution, F.lit(e)), F.lit(0.0))
-        distance = distance + F.when(t.isNull(), 0.0).otherwise(F.abs(share - t))
-        n = n + t.isNotNull().cast("int")
-    usable = F.coalesce(F.col("has_lyrics"), F.lit(False)) & (F.coalesce(F.size(distribution), F.lit(0)) > 0)
-    return F.when(usable & (n > 0), F.greatest(F.lit(0.0), 1.0 - distance / n)).otherwise(0.0)
+    t = lambda e: f"{targets}.{e}"
+    distance = " + ".join(f"CASE WHEN {t(e)} IS NULL THEN 0D ELSE abs(e_{e} - {t(e)}) END" for e in rules.emotions)
+    n = " + ".join(f"CASE WHEN {t(e)} IS NULL THEN 0 ELSE 1 END" for e in rules.emotions)
+    return F.expr(f"CASE WHEN ({n}) > 0 THEN coalesce(greatest(0D, 1D - try_divide({distance}, {n})), 0D) ELSE 0D END")
 
 
-def min_max(value: Column, low: Column, high: Column) -> Column:
+def min_max(value: str, low: str, high: str) -> Column:
     """Position between the lowest and highest value, with a floor on the range; missing -> 0."""
-    spread = F.greatest(high - low, F.lit(RANGE_FLOOR))
-    return F.coalesce((value - low) / spread, F.lit(0.0))
+    return F.expr(f"coalesce(({value} - {low}) / greatest({high} - {low}, {RANGE_FLOOR}D), 0D)")

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tonelake.functions.vectors import hashed_words
 from tonelake.plans import ranking as rk
 from tonelake.plans import signals as sig
-from tonelake.plans.prompt import plan_prompts, split_negation, letter_tokens, with_weights
+from tonelake.plans.prompt import letter_tokens, plan_prompts, prompt_table, split_negation, with_weights
 from tonelake.rules import ACOUSTIC_DOMINANT, EMOTION_DOMINANT, FEATURE_SIGMA, NEGATION_WORDS, default_rulebook, literal
 from workload.registry import q, query, r, rule, text
 from workload.views import PROMPTS, duck
@@ -119,12 +119,12 @@ _W = "SELECT query_id, " + ", ".join(f"{q(s)} AS {s}" for s in ("semantic", "cla
 
 @query("G8_weight_plan", plan_sql(TABLE_PROMPTS) + _W)
 def g8(t):
-    return _weights(with_weights(plan_prompts(t.prompt_rows), F.lit(True)))
+    return _weights(with_weights(plan_prompts(t.prompt_rows), "true"))
 
 
 @query("G8_weight_plan_without_clap", plan_sql(TABLE_PROMPTS, "false") + _W)
 def g8_plain(t):
-    return _weights(with_weights(plan_prompts(t.prompt_rows), F.lit(False)))
+    return _weights(with_weights(plan_prompts(t.prompt_rows), "false"))
 
 
 # ---------------------------------------------------------------- joins of the planning
@@ -163,7 +163,7 @@ def j2(t):
 
 def batch_prompts(t) -> DataFrame:
     """The batch: its prompts are the query's parameters."""
-    plans = plan_prompts(t.spark.createDataFrame(list(enumerate(PROMPTS)), "query_id int, prompt string"))
+    plans = plan_prompts(prompt_table(t.spark, PROMPTS))
     vec = hashed_words(F.col("clean_query"))
     return plans.withColumn("query_vec", vec).withColumn("clap_vec", F.reverse(vec))
 
@@ -257,10 +257,8 @@ def _mood_matches(t, features: list[str]) -> DataFrame:
         "array<struct<mood:string,feature:string,target:double>>",
     )
     pairs = t.songs.select(F.col("id").alias("song_id"), *sig.SCALARS, F.inline(table))
-    match = F.lit(0.0)
-    for f in features:
-        match = F.when(F.col("feature") == f, sig.feature_match(f, F.col("target"))).otherwise(match)
-    return pairs.select("song_id", "mood", "feature", r(match).alias("match"))
+    cases = " ".join(f"WHEN feature = '{f}' THEN {sig.feature_match(f, 'target')}" for f in features)
+    return pairs.select("song_id", "mood", "feature", r(F.expr(f"CASE {cases} ELSE 0D END")).alias("match"))
 
 
 def _mood_sql(features: list[str]) -> str:
@@ -314,9 +312,8 @@ def j8(t):
 @query("O1_top_songs", SCORING + "SELECT song_id, score FROM ranked WHERE query_id = 0 AND rank <= 20")
 def o1(t):
     """One prompt: a plain top-k instead of a window."""
-    one = t.spark.createDataFrame([(0, PROMPTS[0])], "query_id int, prompt string")
     vec = hashed_words(F.col("clean_query"))
-    plans = plan_prompts(one).withColumn("query_vec", vec).withColumn("clap_vec", F.reverse(vec))
+    plans = plan_prompts(prompt_table(t.spark, PROMPTS[:1])).withColumn("query_vec", vec).withColumn("clap_vec", F.reverse(vec))
     scores = rk.score_batch(t.songs, rk.Batch(plans), RULES)
     return scores.orderBy(F.desc("score"), F.desc("song_id")).limit(20).select("song_id", "score")
 

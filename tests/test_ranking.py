@@ -165,3 +165,13 @@ def test_hydrate_drops_missing_songs(spark):
     songs = spark.createDataFrame([(1, "x")], "id long, title string")
     for bound in (None, 2):
         assert [r.title for r in rk.hydrate(ranked, songs, ["title"], bound).collect()] == ["x"]
+
+
+def test_vectors_may_be_computed_on_the_fly(spark):
+    from tonelake.functions.vectors import hashed_words
+
+    df = spark.createDataFrame([song(i, artist=a) for i, a in enumerate(["night drive", "sad rain"])], SCHEMA)
+    songs = df.withColumn("embedding", hashed_words(F.col("artist")))
+    prompts = plan_prompts(prompt_table(spark, ["sad rain"])).withColumn("query_vec", hashed_words(F.col("clean_query")))
+    best = rk.rank_prompts(songs, prompts).filter("rank = 1").first()
+    assert best.song_id == 1 and best.semantic_score == pytest.approx(100.0)

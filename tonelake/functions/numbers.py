@@ -9,12 +9,22 @@ from pyspark.sql import functions as F
 
 
 def stable_round(x: Column, digits: int) -> Column:
-    """Round half up, after dropping noise beyond nine digits.
+    """Round half away from zero, after dropping noise beyond nine digits.
 
-    Distributed sums depend on the order of their partial sums; the first rounding makes the
-    result the same for every partitioning.
+    Distributed sums depend on the order of their partial sums; going through whole billionths
+    makes the result the same for every partitioning. Whole numbers also keep it in plain
+    arithmetic; Spark's own ``round`` works on decimals and is left for very large values.
     """
-    return F.round(F.round(x, 9), digits)
+    x = x.cast("double")
+    if digits == 9:
+        whole = (F.abs(x) * F.lit(1e9) + F.lit(0.5)).cast("bigint")
+    else:
+        step = 10 ** (9 - digits)
+        billionths = (F.abs(x) * F.lit(1e9) + F.lit(0.5)).cast("bigint")
+        whole = F.call_function("div", billionths + F.lit(step // 2), F.lit(step))
+    small = F.signum(x) * whole / F.lit(float(10**digits))
+    # + 0.0 turns a negative zero into zero
+    return F.when(F.abs(x) < 1e9, small + F.lit(0.0)).otherwise(F.round(F.round(x, 9), digits))
 
 
 def js_round(x: Column) -> Column:

@@ -56,10 +56,19 @@ def decode_float32(raw: Column) -> Column:
         ]
         return pa.array(out, type=pa.list_(pa.float32()))
 
-    return decode(raw)
+    return decode(as_input(raw))
 
 
-def _matrix(column: pa.Array, dims: int) -> tuple[np.ndarray, np.ndarray]:
+def as_input(column: Column) -> Column:
+    """A column as the argument of a Python function.
+
+    Spark cannot hand a lambda expression to Python, and the optimizer would put one that is used
+    once in place of the column. Naming the column twice keeps it a column.
+    """
+    return F.coalesce(column, column)
+
+
+def vector_matrix(column: pa.Array, dims: int) -> tuple[np.ndarray, np.ndarray]:
     """Rows of the right length as a float64 matrix, and the mask of those rows."""
     lengths = column.value_lengths().fill_null(-1).to_numpy(zero_copy_only=False)
     good = lengths == dims
@@ -87,14 +96,14 @@ def block_similarity(vectors: Column, prompts: np.ndarray, cosine: bool) -> Colu
 
     @F.arrow_udf("array<double>")
     def similarities(batch: pa.Array) -> pa.Array:
-        rows, good = _matrix(batch, dims)
+        rows, good = vector_matrix(batch, dims)
         sims = similarity(rows, prompts, cosine)
         offsets = np.concatenate([[0], np.cumsum(good * width)]).astype("int32")
         return pa.ListArray.from_arrays(
             pa.array(offsets), pa.array(sims.ravel()), mask=pa.array(~good)
         )
 
-    return similarities(vectors)
+    return similarities(as_input(vectors))
 
 
 def similarity_bounds(
@@ -114,7 +123,7 @@ def similarity_bounds(
         for batch in batches:
             for i, n in enumerate(names):
                 _, prompts, cosine = signals[n]
-                rows, _ = _matrix(batch.column(i), prompts.shape[1])
+                rows, _ = vector_matrix(batch.column(i), prompts.shape[1])
                 if len(rows):
                     sims = similarity(rows, prompts, cosine)
                     low[n] = np.minimum(low[n], sims.min(axis=0))

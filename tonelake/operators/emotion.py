@@ -18,16 +18,20 @@ SECOND_EMOTION = 0.2
 def lexicon_scores(chunks: DataFrame, lexicon: dict[str, list[str]] | None = None, key: str = "song_id") -> DataFrame:
     """(key, chunk_idx, n_chunks, label, score) from word counts; a stand-in that needs no model."""
     lexicon = lexicon or EMOTION_WORDS
-    df = chunks.select(
-        key, "chunk_idx", "n_chunks",
-        F.regexp_extract_all(F.lower("chunk"), F.lit("[a-z']+"), F.lit(0)).alias("_t"),
-    )
-
-    def count(label_words: list[str]) -> Column:
-        return F.size(F.filter("_t", lambda t: F.array_contains(words(label_words), t)))
-
-    counts = [count(w) for w in lexicon.values()]
-    df = df.select(key, "chunk_idx", "n_chunks", F.array(*counts).alias("_n"))
+    labels_of: dict[str, list[int]] = {}
+    for i, label_words in enumerate(lexicon.values()):
+        for w in label_words:
+            labels_of.setdefault(w, []).append(i)
+    table = literal(labels_of, "map<string,array<int>>")
+    tokens = F.regexp_extract_all(F.lower("chunk"), F.lit("[a-z']+"), F.lit(0))
+    # one lookup per token; the counts then run over the few tokens that carry a label
+    found = F.filter(F.transform(tokens, lambda t: F.try_element_at(table, t)), lambda x: x.isNotNull())
+    df = chunks.select(key, "chunk_idx", "n_chunks", F.flatten(found).alias("_l"))
+
+    def count(i: int) -> Column:
+        return F.size(F.filter("_l", lambda x: x == i))
+
+    df = df.select(key, "chunk_idx", "n_chunks", F.array(*[count(i) for i in range(len(lexicon))]).alias("_n"))
     total = F.aggregate("_n", F.lit(0), lambda a, x: a + x)
     df = df.withColumn("_all", total)
     rows = [

@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
-import math
-
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tonelake.functions.numbers import clip, let, stable_round
+from tonelake.functions.numbers import clip, stable_round
 from tonelake.functions.quantiles import exact_percentiles
-from tonelake.rules import KEY_MAJOR, KEY_MINOR, PITCH_NAMES, literal
+from tonelake.functions.vectors import as_input, vector_matrix
+from tonelake.rules import KEY_MAJOR, KEY_MINOR, PITCH_NAMES
 
 MFCC_COUNT = 13
 EPSILON = 1e-6
@@ -43,63 +44,59 @@ def dynamic_range(frames: DataFrame, value: str = "rms", key: str = "song_id", *
 
 def chroma_profile(chroma: DataFrame, key: str = "song_id") -> DataFrame:
     """Mean strength per pitch class, normalised over the twelve."""
-    means = chroma.groupBy(key).agg(
-        F.array(*[
-            F.coalesce(F.avg(F.when(F.col("pitch") == p, F.col("value"))), F.lit(0.0))
-            for p in range(12)
-        ]).alias("_m")
-    )
-    shares = let(
-        F.aggregate("_m", F.lit(0.0), lambda a, x: a + x) + F.lit(EPSILON),
-        lambda total: F.transform("_m", lambda x: x / total),
-    )
-    return means.select(key, shares.alias("chroma"))
+    means = chroma.groupBy(key).agg(*[
+        F.coalesce(F.avg(F.when(F.col("pitch") == p, F.col("value"))), F.lit(0.0)).alias(f"_m{p}")
+        for p in range(12)
+    ])
+    total = " + ".join(f"_m{p}" for p in range(12))
+    means = means.withColumn("_t", F.expr(f"{total} + {EPSILON}D"))
+    return means.select(key, F.array(*[F.col(f"_m{p}") / F.col("_t") for p in range(12)]).alias("chroma"))
 
 
-def _templates() -> list[dict]:
-    """24 rotated key templates, centred and scaled to length 1, in tie order."""
-    out = []
-    for shift in range(12):
-        for mode, base in (("major", KEY_MAJOR), ("minor", KEY_MINOR)):
-            turned = [base[(p - shift) % 12] for p in range(12)]
-            mean = sum(turned) / 12
-            size = math.sqrt(sum((x - mean) ** 2 for x in turned))
-            out.append({"key": PITCH_NAMES[shift], "mode": mode, "t": [(x - mean) / size for x in turned]})
-    return out
+def _templates() -> np.ndarray:
+    """24 rotated key templates, centred and scaled to length 1, in tie order: C major, C minor, ..."""
+    turned = np.array([np.roll(base, shift) for shift in range(12) for base in (KEY_MAJOR, KEY_MINOR)])
+    centred = turned - turned.mean(axis=1, keepdims=True)
+    return centred / np.linalg.norm(centred, axis=1, keepdims=True)
 
 
-def detect_key(profiles: DataFrame, key: str = "song_id") -> DataFrame:
-    """Best correlated template; an even profile or a weak match gives unknown.
+def best_template(chroma: Column) -> Column:
+    """Struct (template, corr): the best correlated template of each profile, first of equal ones.
 
-    Correlations are compared after rounding to nine digits, first template wins a tie.
+    One matrix product per Arrow batch. Correlations are compared as whole billionths; an even
+    profile correlates with nothing and gives NULL.
     """
-    table = literal(_templates(), "array<struct<key:string,mode:string,t:array<double>>>")
-    mean = F.aggregate("chroma", F.lit(0.0), lambda a, x: a + x) / F.lit(12.0)
-    centred = let(mean, lambda m: F.transform("chroma", lambda x: x - m))
-
-    def length(c: Column) -> Column:
-        return F.sqrt(F.aggregate(c, F.lit(0.0), lambda a, x: a + x * x))
-
-    def correlation(c: Column, size: Column, t: Column) -> Column:
-        s = F.aggregate(F.zip_with(c, t["t"], lambda a, b: a * b), F.lit(0.0), lambda a, x: a + x)
-        return F.round(s / F.when(size > 1e-12, size), 9)
-
-    def every_template(c: Column, size: Column) -> Column:
-        return F.transform(
-            table,
-            lambda t: F.struct(correlation(c, size, t).alias("corr"), t["key"].alias("key"), t["mode"].alias("mode")),
-        )
-
-    scored = let(centred, lambda c: let(length(c), lambda size: every_template(c, size)))
-    start = F.struct(F.lit(-1.0).alias("corr"), F.lit("C").alias("key"), F.lit("major").alias("mode"))
-    best = F.aggregate(scored, start, lambda a, t: F.when(t["corr"] > a["corr"], t).otherwise(a))
-    out = profiles.select(key, best.alias("_b"))
-    confidence = clip(F.col("_b.corr"), 0.0, 1.0)
+    templates = _templates()
+
+    @F.arrow_udf("struct<template:int,corr:double>")
+    def pick(batch: pa.Array) -> pa.Array:
+        rows, good = vector_matrix(batch, 12)
+        centred = rows - rows.mean(axis=1, keepdims=True)
+        size = np.linalg.norm(centred, axis=1)
+        known = size > 1e-12
+        steps = np.floor(centred @ templates.T / np.where(known, size, 1.0)[:, None] * 1e9 + 0.5)
+        at = steps.argmax(axis=1) if len(rows) else np.zeros(0, int)
+        best = np.zeros(len(good), int)
+        corr = np.zeros(len(good))
+        none = np.ones(len(good), bool)
+        best[good], corr[good], none[good] = at, steps[np.arange(len(rows)), at] / 1e9, ~known
+        fields = [pa.array(best.astype("int32"), mask=none), pa.array(corr, mask=none)]
+        return pa.StructArray.from_arrays(fields, names=["template", "corr"])
+
+    return pick(as_input(chroma))
+
+
+def detect_key(profiles: DataFrame, key: str = "song_id") -> DataFrame:
+    """Key, mode and confidence of each chroma profile; a weak match gives unknown."""
+    found = profiles.select(key, best_template(F.col("chroma")).alias("_b"))
+    confidence = clip(F.coalesce("_b.corr", F.lit(0.0)), 0.0, 1.0)
     known = confidence >= KEY_FLOOR
-    return out.select(
+    shift = F.floor(F.col("_b.template") / 2).cast("int")
+    mode = F.when(F.col("_b.template") % 2 == 0, "major").otherwise("minor")
+    return found.select(
         key,
-        F.when(known, F.col("_b.key")).otherwise("unknown").alias("key"),
-        F.when(known, F.col("_b.mode")).otherwise("unknown").alias("mode"),
+        F.when(known, F.get(F.lit(PITCH_NAMES), shift)).otherwise("unknown").alias("key"),
+        F.when(known, mode).otherwise("unknown").alias("mode"),
         confidence.alias("key_confidence"),
     )
 

@@ -155,7 +155,7 @@ def folder_rollup(files: DataFrame) -> DataFrame:
         F.sequence(F.lit(1), F.greatest(depth, F.lit(1))),
         lambda n: F.when(n == 1, F.lit("/")).otherwise(F.array_join(F.slice(parts, 1, n), "/")),
     )
-    rows = files.select(F.explode(above).alias("path"), is_audio(F.col("filepath")).alias("audio"))
+    rows = files.select(F.explode_outer(above).alias("path"), is_audio(F.col("filepath")).alias("audio"))
     return rows.groupBy("path").agg(F.bool_or("audio").alias("has_audio"))
 
 

@@ -118,8 +118,10 @@ def explode_chunks(songs: DataFrame, text: str = "lyrics_text", key: str = "song
     """(key, chunk_idx, n_chunks, chunk). Texts under 10 chars have no chunk."""
     usable = songs.filter(F.length(strip(F.col(text))) >= 10)
     rows = usable.select(key, chunk_text(F.col(text)).alias("_c"))
+    # outer, though there is always a chunk: a plain posexplode makes the optimizer compute the
+    # chunks once more as a filter
     return rows.select(
-        key, F.size("_c").alias("n_chunks"), F.posexplode("_c").alias("chunk_idx", "chunk")
+        key, F.size("_c").alias("n_chunks"), F.posexplode_outer("_c").alias("chunk_idx", "chunk")
     )
 
 

@@ -14,6 +14,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tonelake.functions.numbers import stable_round
 from tonelake.functions.vectors import block_similarity, similarity_bounds
 from tonelake.plans import signals as sig
 from tonelake.plans.prompt import SIGNALS, with_weights
@@ -136,10 +137,10 @@ def ensemble(signals: DataFrame) -> DataFrame:
         "genre": "genre", "emotion": "emotion",
     }
     total = " + ".join(f"weights.{s} * {value[s]}" for s in SIGNALS)
-    return signals.selectExpr(
-        "query_id", "song_id", "limit",
-        f"round(round(greatest(0D, least(100D, 100D * ({total} - penalty))), 9), 4) AS score",
-        "round(round(semantic * 100D, 9), 4) AS semantic_score",
+    score = F.expr(f"greatest(0D, least(100D, 100D * ({total} - penalty)))")
+    return signals.select(
+        "query_id", "song_id", "limit", stable_round(score, 4).alias("score"),
+        stable_round(F.col("semantic") * 100.0, 4).alias("semantic_score"),
     )
 
 

@@ -149,10 +149,15 @@ class Catalog:
         if force:
             self.clear()
         diff = settle(m.diff_files(files, self.read(), folder), "diff")
-        gone = diff.filter(F.col("status") == "deleted")
-        if not gone.isEmpty():
-            self.delete_paths(gone)
+        gone = diff.filter(F.col("status") == "deleted").select("filepath")
         changed = diff.filter(F.col("status").isin("new", "modified"))
-        if not changed.isEmpty():
-            self.upsert(process(changed.select("filepath", F.col("disk_mtime").alias("file_mtime"))))
+        if diff.filter(F.col("status").isin("new", "modified", "deleted")).isEmpty():
+            return diff
+        rows = process(changed.select("filepath", F.col("disk_mtime").alias("file_mtime")))
+        rows = settle(conform(m.fresh_rows(rows)), "changes")
+        # vanished and replaced rows leave in the same rewrite of their buckets
+        self.replace(
+            lambda current: m.upsert(current.join(gone, "filepath", "left_anti"), rows),
+            gone.unionByName(rows.select("filepath")),
+        )
         return diff

@@ -178,4 +178,4 @@ def j2_genre(t):
     from tonelake.plans.signals import song_genres
     from tonelake.rules import default_rulebook
 
-    return t.tags.select("id", F.explode(song_genres(default_rulebook())).alias("genre"))
+    return t.tags.select("id", F.explode_outer(song_genres(default_rulebook())).alias("genre")).filter("genre IS NOT NULL")

@@ -106,7 +106,7 @@ def t8(t):
 @query("Window3_line_positions", LYRICS + f", {REPEATS} SELECT song_id, x AS line, CAST(pos AS INT) AS pos, {q('pos / n')} AS place FROM m")
 def w3(t):
     rows = t.lyrics.select("song_id", F.filter(tx.lyric_lines(F.col("lyrics_text")), lambda x: F.length(x) > 8).alias("m"))
-    rows = rows.select("song_id", F.size("m").alias("n"), F.posexplode("m").alias("pos", "line"))
+    rows = rows.select("song_id", F.size("m").alias("n"), F.posexplode_outer("m").alias("pos", "line")).filter("pos IS NOT NULL")
     return rows.select("song_id", "line", "pos", r(F.col("pos") / F.col("n")).alias("place"))
 
 
@@ -116,7 +116,7 @@ def o5(t):
     from pyspark.sql import Window
 
     rows = t.lyrics.select("song_id", F.filter(tx.lyric_lines(F.col("lyrics_text")), lambda x: F.length(x) > 8).alias("m"))
-    rows = rows.select("song_id", F.size("m").alias("n"), F.posexplode("m").alias("pos", "line"))
+    rows = rows.select("song_id", F.size("m").alias("n"), F.posexplode_outer("m").alias("pos", "line")).filter("pos IS NOT NULL")
     lines = rows.groupBy("song_id", "line").agg(
         F.count("*").alias("c"), F.sum("pos").alias("s"), F.min("pos").alias("first"), F.first("n").alias("n")
     ).filter(F.col("c") > 1)

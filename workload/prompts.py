@@ -153,7 +153,7 @@ def j2(t):
     named = F.concat(
         F.array_distinct("tokens"), F.filter(phrases, lambda p: F.contains(F.col("clean_query"), p))
     )
-    rows = plans.select("query_id", F.explode(named).alias("term"))
+    rows = plans.select("query_id", F.explode_outer(named).alias("term"))
     known = RULES.frame(t.spark, "synonyms").select("term").distinct()
     return rows.join(F.broadcast(known), "term", "left_semi").select("query_id", "term")
 

@@ -213,12 +213,25 @@ def duck(*names: str) -> str:
     return ",\n".join(f"{n} AS ({_sql(n, False)})" for n in names)
 
 
+WORK_HEAVY = {"documents", "embeddings", "part"}  # few rows, much work per row
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A given table. A large one comes in many splits and is left as read; one that arrives in
+    fewer splits than there are cores, with much to do per row, is spread over them."""
+    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    cores = spark.sparkContext.defaultParallelism
+    if name in WORK_HEAVY and df._jdf.queryExecution().toRdd().getNumPartitions() < cores:
+        return df.repartition(cores)
+    return df
+
+
 def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A view, or a given table, as a DataFrame."""
     if name in TABLES:
-        return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+        return table(spark, sf_dir, name)
     text = _sql(name, True)
-    tables = {t: spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in VIEWS[name]}
+    tables = {t: table(spark, sf_dir, t) for t in VIEWS[name]}
     for t in tables:
         text = text.replace(f"FROM {t}", "FROM {" + t + "}")
     return spark.sql(text, **tables)

@@ -303,7 +303,13 @@ def test_model_vectors_with_prefix(spark):
     df = spark.createDataFrame([(1, "ab"), (2, None)], "id long, t string")
 
     def load():
-        return lambda texts: np.array([[len(t)] for t in texts])
+        return lambda texts: [[len(t)] if len(t) > 7 else None for t in texts]
 
     got = {r.id: r.v for r in with_model_vectors(df, "t", "v", load, "query: ").collect()}
-    assert got == {1: [9.0], 2: [7.0]}
+    assert got == {1: [9.0], 2: None}
+
+
+def test_chunks_are_computed_once(spark):
+    df = spark.createDataFrame([(1, "text " * 10)], "song_id long, lyrics_text string")
+    plan = ly.explode_chunks(df)._jdf.queryExecution().optimizedPlan().toString()
+    assert "size(transform" not in plan and plan.count("posexplode") == 1

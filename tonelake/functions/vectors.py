@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pandas as pd
@@ -142,13 +142,14 @@ def with_model_vectors(
     df: DataFrame,
     text: str,
     out: str,
-    load: Callable[[], Callable[[list[str]], "np.ndarray"]],
+    load: Callable[[], Callable[[list[str]], Sequence]],
     prefix: str = "",
 ) -> DataFrame:
-    """Vectors from a user's model.
+    """Vectors from a user's model, for texts or, with a column of paths, for audio.
 
-    ``load`` runs once per Python worker task and returns a function from a list of texts to a
-    matrix. ``prefix`` is put before every text; query and passage sides differ in some models.
+    ``load`` runs once per task and returns a function from a list of strings to their vectors,
+    None where there is none. ``prefix`` is put before every text; query and passage sides differ
+    in some models.
     """
 
     def encode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -156,8 +157,8 @@ def with_model_vectors(
         for pdf in batches:
             model = model or load()
             texts = [prefix + (t or "") for t in pdf[text]]
-            vectors = np.asarray(model(texts), dtype="float32")
-            yield pdf.assign(**{out: list(vectors)})
+            vectors = [None if v is None else np.asarray(v, dtype="float32") for v in model(texts)]
+            yield pdf.assign(**{out: pd.Series(vectors, index=pdf.index, dtype="object")})
 
     fields = [f for f in df.schema.fields if f.name != out]
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in fields)

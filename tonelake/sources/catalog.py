@@ -2,11 +2,13 @@
 
 A change reads and rewrites only the buckets it touches, into a new version folder; a manifest row
 per bucket then points to its newest version. Nothing is overwritten while it is read, a reader
-keeps the snapshot it started with, and a failed change leaves the old snapshot in place.
+keeps the snapshot it started with, and a failed change leaves the old snapshot in place. Of two
+writers that start from the same snapshot, the second fails when it publishes.
 """
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -43,14 +45,14 @@ class Catalog:
 
     # -- reading
 
-    def _manifest(self) -> tuple[int, dict[int, int]]:
+    def _manifest(self) -> tuple[int, dict[int, str]]:
         """(snapshot, {bucket: version}); at most ``buckets`` small rows."""
-        rows = self.spark.read.schema("bucket int, version int, snapshot int").parquet(f"{self.path}/manifest")
+        rows = self.spark.read.schema("bucket int, version string, snapshot int").parquet(f"{self.path}/manifest")
         last = rows.agg(F.max("snapshot")).first()[0]
         kept = rows.filter((F.col("snapshot") == last) & (F.col("bucket") >= 0))
         return last, {r.bucket: r.version for r in kept.collect()}
 
-    def _paths(self, manifest: dict[int, int], only: list[int] | None = None) -> DataFrame:
+    def _paths(self, manifest: dict[int, str], only: list[int] | None = None) -> DataFrame:
         paths = [
             f"{self.path}/data/version={v}/bucket={b}"
             for b, v in sorted(manifest.items()) if only is None or b in only
@@ -71,28 +73,29 @@ class Catalog:
     def bucket(self, path: Column) -> Column:
         return F.pmod(F.xxhash64(path), F.lit(self.buckets)).cast("int")
 
-    def _write(self, rows: DataFrame, version: int) -> list[int]:
-        """Write rows as one version; AQE sizes the files of large buckets. Returns the buckets."""
+    def _write(self, rows: DataFrame) -> dict[int, str]:
+        """Write rows as a new version, {bucket: version}; AQE sizes the files of large buckets."""
+        version = uuid.uuid4().hex[:12]
         target = f"{self.path}/data/version={version}"
         bucketed = conform(rows).withColumn("bucket", self.bucket(F.col("filepath")))
         bucketed.hint("rebalance", "bucket").write.partitionBy("bucket").parquet(target)
         try:
             written = self.spark.read.schema(SCHEMA + ", bucket int").parquet(target)
-            return [r.bucket for r in written.select("bucket").distinct().collect()]
+            return {r.bucket: version for r in written.select("bucket").distinct().collect()}
         except Exception as error:  # an empty write leaves no schema to read
             if "UNABLE_TO_INFER_SCHEMA" in str(error):
-                return []
+                return {}
             raise
 
-    def _publish(self, snapshot: int, manifest: dict[int, int]) -> None:
-        rows = list(manifest.items()) or [(-1, -1)]
-        self.spark.createDataFrame(rows, "bucket int, version int").coalesce(1).write.parquet(
+    def _publish(self, snapshot: int, manifest: dict[int, str]) -> None:
+        rows = list(manifest.items()) or [(-1, "")]
+        self.spark.createDataFrame(rows, "bucket int, version string").coalesce(1).write.parquet(
             f"{self.path}/manifest/snapshot={snapshot}"
         )
 
     def create(self, rows: DataFrame | None = None) -> "Catalog":
         rows = rows if rows is not None else self.spark.createDataFrame([], SCHEMA)
-        self._publish(0, {b: 0 for b in self._write(rows, 0)})
+        self._publish(0, self._write(rows))
         return self
 
     def replace(self, change: Callable[[DataFrame], DataFrame], touched: DataFrame | None = None) -> None:
@@ -102,9 +105,9 @@ class Catalog:
         if touched is not None:
             ids = touched.select(self.bucket(F.col("filepath")).alias("b")).distinct().collect()
             only = [r.b for r in ids]
-        written = self._write(change(self._paths(manifest, only)), last + 1)
+        written = self._write(change(self._paths(manifest, only)))
         kept = {} if only is None else {b: v for b, v in manifest.items() if b not in only}
-        self._publish(last + 1, {**kept, **{b: last + 1 for b in written}})
+        self._publish(last + 1, {**kept, **written})
 
     def upsert(self, rows: DataFrame) -> None:
         rows = settle(conform(m.fresh_rows(rows)), "changes")

@@ -151,7 +151,7 @@ chunks AS (SELECT song_id, len(c) AS n_chunks, unnest(c) AS chunk, generate_subs
 RAW_CHUNKS = f"bodies AS (SELECT song_id, {S('lyrics_text')} AS body FROM lyrics WHERE length({S('lyrics_text')}) >= 10), {chunks_sql('bodies')}"
 
 
-@query("T9_chunking", LYRICS + f", {RAW_CHUNKS} SELECT song_id, n_chunks, CAST(chunk_idx AS INT) AS chunk_idx, chunk FROM chunks")
+@query("T9_chunking", LYRICS + f", {RAW_CHUNKS} SELECT song_id, CAST(n_chunks AS INT) AS n_chunks, CAST(chunk_idx AS INT) AS chunk_idx, chunk FROM chunks")
 def t9(t):
     return ly.explode_chunks(t.lyrics)
 
@@ -227,8 +227,8 @@ def t12(t):
     return summary(t).select("song_id", F.array_join("mood_words", "|").alias("mood_words"))
 
 
-@query("A9_lyrics_emotion_pipeline", LYRICS + f", {ANALYSED}, {averages_sql('scored')} SELECT song_id, lyrics_emotion, {q('lyrics_emotion_score')} AS score, {q('lyrics_valence')} AS valence, mood_words FROM wordy")
-def pipeline(t):
+@query("A9_emotions_of_texts", LYRICS + f", {ANALYSED}, {averages_sql('scored')} SELECT song_id, lyrics_emotion, {q('lyrics_emotion_score')} AS score, {q('lyrics_valence')} AS valence, mood_words FROM wordy")
+def emotions_of_texts(t):
     s = em.summarise_emotions(em.average_emotions(scored(t)))
     return s.select(
         "song_id", "lyrics_emotion", r(F.col("lyrics_emotion_score")).alias("score"),

@@ -93,7 +93,7 @@ f AS (SELECT *, {VALENCE} AS valence, {AROUSAL} AS arousal FROM j)
 
 @query("P7_valence_estimate", FEATURES + f"SELECT song_id, {q('valence', 2)} AS valence FROM f")
 def p7(t):
-    return ft.song_features(t.frames, t.chroma, t.tempo).select("song_id", "valence").filter(F.col("valence").isNotNull())
+    return ft.song_features(t.frames, t.chroma, t.tempo).select("song_id", "valence")
 
 
 @query("P8_arousal_estimate", FEATURES + f"SELECT song_id, {q('arousal', 2)} AS arousal FROM f")

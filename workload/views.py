@@ -102,15 +102,16 @@ def _sql(name: str, spark: bool) -> str:
     epoch = "unix_micros(cast({0} as timestamp)) / 1e6" if spark else "epoch_us({0}) / 1e6"
     if name == "files":
         return f"""
-SELECT concat('/music/', o_custkey, '/', o_orderkey, '.flac') AS filepath, {epoch.format('o_orderdate')} AS file_mtime
-FROM orders WHERE o_orderkey % 11 <> 0"""
+SELECT concat('/music/', o_custkey, '/', o_orderkey, CASE WHEN o_orderkey % 11 = 0 THEN '.renamed' ELSE '' END, '.flac') AS filepath,
+  {epoch.format('o_orderdate')} AS file_mtime
+FROM orders"""
     if name == "catalog":
         return f"""
-SELECT o_orderkey AS id, concat('/music/', o_custkey, '/', o_orderkey, '.flac') AS filepath,
+SELECT o_orderkey AS id, concat('/music/', o_custkey, '/', o_orderkey, CASE WHEN o_orderkey % 10 = 0 THEN '.old' ELSE '' END, '.flac') AS filepath,
   CASE WHEN o_orderkey % 13 = 0 THEN cast(NULL as double) ELSE {epoch.format('o_orderdate')}
     - CASE WHEN o_orderkey % 7 = 0 THEN 3600e0 WHEN o_orderkey % 5 = 0 THEN 0.5e0 ELSE 0e0 END END AS file_mtime,
   o_orderstatus AS title
-FROM orders WHERE o_orderkey % 10 <> 0"""
+FROM orders"""
     if name == "frames":
         mfcc = ", ".join(f"cast((l_partkey * {i + 1} + l_linenumber) % 97 as double) - 30" for i in range(13))
         mfcc = f"array({mfcc})" if spark else f"[{mfcc}]"
@@ -188,9 +189,9 @@ SELECT doc_id % 300 AS song_id, {source} AS source,
 FROM documents"""
     if name == "cache":
         return f"""
-SELECT substr(md5(concat('/music/', p_brand, '/', p_partkey, '.mp3|', p_name, '|', p_brand)), 1, 16) AS cache_key,
+SELECT substr(md5(concat('/music/', p_brand, '/', p_partkey, CASE WHEN p_partkey % 3 = 0 THEN '.ogg|' ELSE '.mp3|' END, p_name, '|', p_brand)), 1, 16) AS cache_key,
   CASE WHEN p_partkey % 6 = 0 THEN '  ' ELSE concat(' ', p_type, chr(10)) END AS text
-FROM part WHERE p_partkey % 3 <> 0"""
+FROM part"""
     if name == "cache_songs":
         return f"""
 SELECT p_partkey AS id, concat('/music/', p_brand, '/', p_partkey, '.mp3') AS filepath,

@@ -280,10 +280,21 @@ def test_repeated_batch_changes_nothing(spark):
 
 def test_progress(spark):
     events = spark.sql("""SELECT * FROM VALUES ('a', timestamp_seconds(0), 0L, 10L), ('a', timestamp_seconds(8), 4L, 10L),
-      ('b', timestamp_seconds(3), 0L, 0L), ('c', timestamp_seconds(1), 0L, 5L), ('c', timestamp_seconds(9), 0L, 5L) AS t(run_id, ts, current, total)""")
+      ('b', timestamp_seconds(3), 0L, 0L), ('c', timestamp_seconds(1), 0L, 5L), ('c', timestamp_seconds(9), 0L, 5L), ('d', timestamp_seconds(0), 1L, 2L), ('d', timestamp_seconds(2), 2L, 2L) AS t(run_id, ts, current, total)""")
     got = {r.run_id: (r.elapsed_seconds, r.eta_seconds, r.percent) for r in progress(events).collect()}
-    assert got == {"a": (8.0, 12.0, 40.0), "b": (0.0, None, 0.0), "c": (8.0, None, 0.0)}
+    assert got == {"a": (8.0, 12.0, 40.0), "b": (0.0, None, 0.0), "c": (8.0, None, 0.0), "d": (2.0, None, 100.0)}
 
 
-def test_shared_folder_comes_from_the_session(spark):
-    assert shared_folder(spark) == spark.conf.get("spark.checkpoint.dir")
+def test_shared_folder(spark, monkeypatch):
+    import tonelake.session as ss
+
+    class Stub:
+        def __init__(self, folder, master):
+            self.conf = type("C", (), {"get": staticmethod(lambda key, default: folder)})
+            self.sparkContext = type("S", (), {"master": master})
+
+    assert ss.shared_folder(Stub("/shared", "yarn")) == "/shared"
+    assert os.path.isdir(ss.shared_folder(Stub(None, "local[2]")))
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        ss.shared_folder(Stub(None, "yarn"))
+    assert shared_folder(spark) == ss.shared_folder(spark)

@@ -120,10 +120,14 @@ def progress_counts(songs: DataFrame) -> DataFrame:
     )
 
 
-def sorted_library(songs: DataFrame, by: str, limit: int | None = None) -> DataFrame:
-    """By title, artist or album in locale order, or newest first. With a limit: a top-k."""
+def sorted_library(songs: DataFrame, by: str, limit: int | None = None, newest: str = "id") -> DataFrame:
+    """By title, artist or album in locale order, or newest first. With a limit: a top-k.
+
+    ``newest`` is the column that grows with time: a serial id, or ``file_mtime`` of the stored
+    catalog, whose ids are hashes.
+    """
     if by == "recent":
-        out = songs.orderBy(F.desc("id"))
+        out = songs.orderBy(F.desc(newest), F.desc("id"))
     else:
         out = songs.orderBy(F.expr(f"coalesce(`{by}`, '') COLLATE UNICODE"), "id")
     return out.limit(limit) if limit else out

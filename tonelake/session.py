@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+from functools import lru_cache
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -36,9 +37,12 @@ def shared_folder(spark: SparkSession) -> str:
         return folder
     if not spark.sparkContext.master.startswith("local"):
         raise ValueError("set spark.checkpoint.dir to a folder shared by all executors")
-    folder = tempfile.mkdtemp(prefix="tonelake-")
-    spark.conf.set("spark.checkpoint.dir", folder)
-    return folder
+    return _test_folder()
+
+
+@lru_cache(maxsize=1)
+def _test_folder() -> str:
+    return tempfile.mkdtemp(prefix="tonelake-")
 
 
 def work_path(spark: SparkSession, name: str) -> str:

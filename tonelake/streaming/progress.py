@@ -18,7 +18,7 @@ def short_item(path: Column) -> Column:
 
 
 def progress(events: DataFrame, key: str = "run_id") -> DataFrame:
-    """Current, total, percent, elapsed and remaining seconds per run.
+    """Current, total, percent, elapsed and remaining seconds per run; no estimate when done.
 
     ``events(run_id, ts, current, total)``; works on a batch table and, in complete or update mode,
     on a stream. One aggregation with map-side combine.
@@ -34,7 +34,7 @@ def progress(events: DataFrame, key: str = "run_id") -> DataFrame:
     percent = F.when(F.col("total") > 0, F.col("current") / F.nullif(F.col("total").cast("double"), F.lit(0.0)) * 100).otherwise(0.0)
     return df.select(
         key, "current", "total", F.round("_e", 1).alias("elapsed_seconds"),
-        F.round(eta, 1).alias("eta_seconds"), F.round(percent, 1).alias("percent"),
+        F.round(F.nullif(eta, F.lit(0.0)), 1).alias("eta_seconds"), F.round(percent, 1).alias("percent"),
     )
 
 

@@ -237,7 +237,7 @@ def r1(t):
 
 
 PROGRESS = f"""WITH {duck('progress_events')}, g AS (SELECT run_id, max(current) AS current, max(total) AS total, epoch_us(max(ts)) / 1e6 - epoch_us(min(ts)) / 1e6 AS e FROM progress_events GROUP BY 1)
-SELECT run_id, CAST(current AS BIGINT) AS current, total, {q('e', 1)} AS elapsed_seconds, {q('CASE WHEN e > 0 THEN (total - current) / (current / e) END', 1)} AS eta_seconds, {q('current / total * 100', 1)} AS percent FROM g"""
+SELECT run_id, CAST(current AS BIGINT) AS current, total, {q('e', 1)} AS elapsed_seconds, {q('CASE WHEN e > 0 AND total <> current THEN (total - current) / (current / e) END', 1)} AS eta_seconds, {q('current / total * 100', 1)} AS percent FROM g"""
 
 
 @query("R2_progress", PROGRESS)

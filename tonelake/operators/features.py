@@ -139,10 +139,12 @@ def song_features(frames: DataFrame, chroma: DataFrame, tempo: DataFrame) -> Dat
     mfcc)``, ``chroma(song_id, pitch, value)``, ``tempo(song_id, bpm)``. The means share one
     aggregation; each input is shuffled once by song and the joins reuse that.
     """
+    # thresholds decide on these means, so they must not depend on the order of partial sums
+    mean = lambda c: stable_round(F.avg(c), 9)
     means = frames.groupBy("song_id").agg(
-        F.avg("rms").alias("energy"), F.avg("centroid").alias("brightness"),
-        F.avg("contrast").alias("spectral_contrast"), F.avg("zcr").alias("zero_crossing"),
-        F.avg("rolloff").alias("spectral_rolloff"), F.avg("bandwidth").alias("spectral_bandwidth"),
+        mean("rms").alias("energy"), mean("centroid").alias("brightness"),
+        mean("contrast").alias("spectral_contrast"), mean("zcr").alias("zero_crossing"),
+        mean("rolloff").alias("spectral_rolloff"), mean("bandwidth").alias("spectral_bandwidth"),
         (F.avg(F.abs("harmonic_abs")) / (F.avg(F.abs("signal_abs")) + F.lit(EPSILON))).alias("harmonic_ratio"),
         F.array(*[stable_round(F.avg(F.get("mfcc", F.lit(i))), 4) for i in range(MFCC_COUNT)]).alias("mfccs"),
     )

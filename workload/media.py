@@ -76,15 +76,15 @@ def a8(t):
     return ft.detect_key(ft.chroma_profile(t.chroma)).select("song_id", "key", "mode", r(F.col("key_confidence")).alias("key_confidence"))
 
 
-@query("P6_octave_correction", f"WITH {duck('frames', 'tempo')}, e AS (SELECT song_id, avg(rms) AS energy FROM frames GROUP BY 1) SELECT song_id, {OCTAVE} AS bpm FROM tempo JOIN e USING (song_id)")
+@query("P6_octave_correction", f"WITH {duck('frames', 'tempo')}, e AS (SELECT song_id, {q('avg(rms)', 9)} AS energy FROM frames GROUP BY 1) SELECT song_id, {OCTAVE} AS bpm FROM tempo JOIN e USING (song_id)")
 def p6(t):
     energy = ft.frame_means(t.frames, ["rms"])
-    return t.tempo.join(energy, "song_id").select("song_id", ft.correct_octave(F.col("bpm"), F.col("rms")).alias("bpm"))
+    return t.tempo.join(energy, "song_id").select("song_id", ft.correct_octave(F.col("bpm"), r(F.col("rms"), 9)).alias("bpm"))
 
 
 FEATURES = f"""WITH {duck('frames', 'tempo')}, {KEYS},
-m AS (SELECT song_id, avg(rms) AS energy, avg(centroid) AS brightness, avg(contrast) AS contrast, avg(zcr) AS zcr, avg(rolloff) AS rolloff,
-  avg(bandwidth) AS bandwidth, avg(abs(harmonic_abs)) / (avg(abs(signal_abs)) + 1e-6) AS harmonic_ratio,
+m AS (SELECT song_id, {q('avg(rms)', 9)} AS energy, {q('avg(centroid)', 9)} AS brightness, {q('avg(contrast)', 9)} AS contrast, {q('avg(zcr)', 9)} AS zcr, {q('avg(rolloff)', 9)} AS rolloff,
+  {q('avg(bandwidth)', 9)} AS bandwidth, avg(abs(harmonic_abs)) / (avg(abs(signal_abs)) + 1e-6) AS harmonic_ratio,
   ln(1 + quantile_cont(rms, 0.95) / (quantile_cont(rms, 0.05) + 1e-6)) AS dynamic_range FROM frames GROUP BY 1),
 j AS (SELECT m.* EXCLUDE (bpm), k.key, k.mode, k.key_confidence, {OCTAVE} AS bpm FROM (SELECT m.*, t.bpm FROM m JOIN tempo t USING (song_id)) m JOIN keys k USING (song_id)),
 f AS (SELECT *, {VALENCE} AS valence, {AROUSAL} AS arousal FROM j)

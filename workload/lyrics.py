@@ -193,7 +193,7 @@ av AS (SELECT s.song_id, v.emotion, v.emotion_ord, v.valence, round(coalesce(sum
   FROM songs_of s CROSS JOIN emotion_valence v LEFT JOIN {source} c ON c.song_id = s.song_id AND c.label = v.emotion GROUP BY 1, 2, 3, 4),
 rk AS (SELECT *, row_number() OVER (PARTITION BY song_id ORDER BY a DESC, emotion_ord) AS k FROM av),
 summary AS (SELECT song_id, max(emotion) FILTER (WHERE k = 1) AS lyrics_emotion, max(a) FILTER (WHERE k = 1) AS lyrics_emotion_score,
-  max(emotion) FILTER (WHERE k = 2) AS second_emotion, max(a) FILTER (WHERE k = 2) AS second_score, sum(a * valence) AS lyrics_valence FROM rk GROUP BY 1),
+  max(emotion) FILTER (WHERE k = 2) AS second_emotion, max(a) FILTER (WHERE k = 2) AS second_score, {q('sum(a * valence)', 9)} AS lyrics_valence FROM rk GROUP BY 1),
 wordy AS (SELECT s.*, concat_ws('|', (SELECT string_agg(word, '|' ORDER BY word_ord) FROM emotion_words e WHERE e.emotion = s.lyrics_emotion AND word_ord < 2),
   CASE WHEN second_score > 0.2 THEN (SELECT word FROM emotion_words e WHERE e.emotion = s.second_emotion AND word_ord = 0) END) AS mood_words FROM summary s)"""
 

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+from tonelake.llm.packing import op5_packing
 from tonelake.llm.secrets import op4_secret_scans
+from tonelake.llm.tokens import op3_token_counts
 
-QUERIES = {q.__name__: q for q in [op4_secret_scans]}
+QUERIES = {q.__name__: q for q in [op3_token_counts, op4_secret_scans, op5_packing]}
 SQL: dict[str, str] = {}

@@ -6,6 +6,7 @@ from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tonelake.session import settle
@@ -59,4 +60,19 @@ def fold(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string")) % 5, F.lit(0))
 
 
-__all__ = ["WORD", "documents", "fold", "labels", "map_batches", "n_bytes", "n_words", "settle", "texts", "words"]
+def running_sums(df: DataFrame, group: list[str], bin_: Column, order: list[str], value: Column, name: str) -> DataFrame:
+    """Adds ``name``: the sum of ``value`` over the rows of the same group that come before this one.
+
+    Rows are in the order of ``bin_``, then of ``order``. Sums of bins give each bin's start, and a window
+    runs within a bin only, so a group of any size is spread over as many tasks as it has bins. ``df`` is
+    read twice and should be a stored table.
+    """
+    binned = df.withColumn("_bin", bin_)
+    sums = binned.groupBy(*group, "_bin").agg(F.sum(value).alias("_sum"))
+    before = sums.select(*group, "_bin", (F.sum("_sum").over(W.partitionBy(*group).orderBy("_bin")) - F.col("_sum")).alias("_before"))
+    inside = F.sum(value).over(W.partitionBy(*group, "_bin").orderBy(*order).rowsBetween(W.unboundedPreceding, -1))
+    total = F.col("_before") + F.coalesce(F.col("_inside"), F.lit(0))
+    return binned.withColumn("_inside", inside).join(before, [*group, "_bin"]).withColumn(name, total).drop("_bin", "_inside", "_before")
+
+
+__all__ = ["WORD", "documents", "fold", "labels", "map_batches", "n_bytes", "n_words", "running_sums", "settle", "texts", "words"]

@@ -6,10 +6,11 @@ from tonelake.llm import jaccard
 from tonelake.llm.jaccard import op8_ngram_jaccard_join
 from tonelake.llm.mixing import op7_mixing
 from tonelake.llm.packing import op5_packing
+from tonelake.llm.pii import op10_pii
 from tonelake.llm.rules import op9_quality_rules
 from tonelake.llm.secrets import op4_secret_scans
 from tonelake.llm.sharding import op6_sharding
 from tonelake.llm.tokens import op3_token_counts
 
-QUERIES = {q.__name__: q for q in [op3_token_counts, op4_secret_scans, op5_packing, op6_sharding, op7_mixing, op8_ngram_jaccard_join, op9_quality_rules]}
+QUERIES = {q.__name__: q for q in [op3_token_counts, op4_secret_scans, op5_packing, op6_sharding, op7_mixing, op8_ngram_jaccard_join, op9_quality_rules, op10_pii]}
 SQL: dict[str, str] = {"op8_ngram_jaccard_join": jaccard.ORACLE_SQL}

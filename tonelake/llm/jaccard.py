@@ -276,6 +276,16 @@ def jaccard_classes(docs: DataFrame, threshold: float = THRESHOLD, forest: Fores
     return signed.select("doc_id", "node").join(lookup, "node").select("doc_id", "class_id", "n_links", "node")
 
 
+def one_of_each_class(docs: DataFrame, id_col: str = "doc_id", **names) -> DataFrame:
+    """The rows of ``docs`` whose id is the least of their class, once each; rows without id stay."""
+    classes = settle(jaccard_classes(docs, id_col=id_col, **names).filter(F.col("doc_id") == F.col("class_id")).select("doc_id"), "kept-ids")
+    once = classes.distinct()
+    kept = docs.join(once, docs[id_col] == once["doc_id"], "left_semi")
+    if not classes.groupBy("doc_id").count().filter("count > 1").isEmpty():
+        kept = kept.dropDuplicates([id_col])
+    return kept.unionAll(docs.filter(docs[id_col].isNull()))
+
+
 def op8_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_classes(documents(spark, sf_dir)).select("doc_id", "class_id", "n_links")
 

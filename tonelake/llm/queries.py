@@ -11,6 +11,7 @@ from tonelake.llm.rules import op9_quality_rules
 from tonelake.llm.secrets import op4_secret_scans
 from tonelake.llm.sharding import op6_sharding
 from tonelake.llm.tokens import op3_token_counts
+from tonelake.llm.toxicity import op2_toxicity
 
-QUERIES = {q.__name__: q for q in [op3_token_counts, op4_secret_scans, op5_packing, op6_sharding, op7_mixing, op8_ngram_jaccard_join, op9_quality_rules, op10_pii]}
+QUERIES = {q.__name__: q for q in [op2_toxicity, op3_token_counts, op4_secret_scans, op5_packing, op6_sharding, op7_mixing, op8_ngram_jaccard_join, op9_quality_rules, op10_pii]}
 SQL: dict[str, str] = {"op8_ngram_jaccard_join": jaccard.ORACLE_SQL}

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from tonelake.llm import jaccard
 from tonelake.llm.jaccard import op8_ngram_jaccard_join
+from tonelake.llm.media import op1_media_copies
 from tonelake.llm.mixing import op7_mixing
 from tonelake.llm.packing import op5_packing
 from tonelake.llm.pii import op10_pii
@@ -13,5 +14,5 @@ from tonelake.llm.sharding import op6_sharding
 from tonelake.llm.tokens import op3_token_counts
 from tonelake.llm.toxicity import op2_toxicity
 
-QUERIES = {q.__name__: q for q in [op2_toxicity, op3_token_counts, op4_secret_scans, op5_packing, op6_sharding, op7_mixing, op8_ngram_jaccard_join, op9_quality_rules, op10_pii]}
+QUERIES = {q.__name__: q for q in [op1_media_copies, op2_toxicity, op3_token_counts, op4_secret_scans, op5_packing, op6_sharding, op7_mixing, op8_ngram_jaccard_join, op9_quality_rules, op10_pii]}
 SQL: dict[str, str] = {"op8_ngram_jaccard_join": jaccard.ORACLE_SQL}

@@ -157,14 +157,45 @@ def test_plan_shape(spark):
     text = ranked._jdf.queryExecution().executedPlan().toString()
     assert "CartesianProduct" not in text and "BroadcastNestedLoopJoin" not in text
     assert text.count("ArrowEvalPython") == 1  # both similarities in one pass
-    assert text.count("WindowGroupLimit") == 2 and "BroadcastHashJoin" in text
+    assert text.count("WindowGroupLimit") == 4 and "BroadcastHashJoin" in text
 
 
 def test_hydrate_drops_missing_songs(spark):
     ranked = spark.createDataFrame([(0, 1, 1), (0, 2, 99)], "query_id int, rank int, song_id long")
     songs = spark.createDataFrame([(1, "x")], "id long, title string")
-    for bound in (None, 2):
-        assert [r.title for r in rk.hydrate(ranked, songs, ["title"], bound).collect()] == ["x"]
+    assert [r.title for r in rk.hydrate(ranked, songs, ["title"]).collect()] == ["x"]
+
+
+@pytest.mark.parametrize("limit", [20, 1001])
+def test_any_limit_takes_the_same_way(spark, limit):
+    songs = spark.createDataFrame([song(i) for i in range(1500)], SCHEMA)
+    ranked = rk.rank_prompts(songs, plans(spark, ["sad"], [[1.0, 0.0]], limit=limit))
+    assert ranked._jdf.queryExecution().executedPlan().toString().count("WindowGroupLimit") == 4
+    assert sorted(r["rank"] for r in ranked.collect()) == list(range(1, limit + 1))
+
+
+def test_flawed_vectors(spark):
+    nan = float("nan")
+    songs = [song(1, (0.1, 1.0), [0.2, 0.1]), song(2, (1.0, 0.0), [nan, 0.0]), song(3, (nan, 1.0), [9.0, 9.0]), song(4, (0.5, 0.5), None), song(5, (0.6, 0.1), [1.0, 0.0])]
+    prompt = lambda **kw: plans(spark, ["peaceful breeze"], [[1.0, 0.0]], {0: [1.0, 0.0]}, **kw)
+    want = {(r.song_id, r.score) for r in rk.rank_prompts(spark.createDataFrame([s if s[0] != 2 else song(2) for s in songs if s[0] != 3], SCHEMA), prompt()).collect()}
+    for parts in (1, 5):
+        got = rk.rank_prompts(spark.createDataFrame(songs, SCHEMA).repartition(parts), prompt()).collect()
+        assert {(r.song_id, r.score) for r in got} == want and all(0 <= r.score <= 100 for r in got)
+    with pytest.raises(Exception, match="length 3"):
+        rk.rank_prompts(spark.createDataFrame([*songs, song(6, (1.0, 0.0, 0.0))], SCHEMA), prompt()).collect()
+
+
+def test_prompts_need_own_ids_and_vectors(spark):
+    songs = spark.createDataFrame([song(1)], SCHEMA)
+    twice = plans(spark, ["sad"], [[1.0, 0.0]])
+    with pytest.raises(ValueError, match="more than once"):
+        rk.rank_prompts(songs, twice.unionByName(twice))
+    with pytest.raises(ValueError, match="more than once"):
+        rk.rank_prompts(songs, twice.unionByName(twice).unionByName(twice), max_batch=2)
+    for vector in (None, [float("inf"), 0.0]):
+        with pytest.raises(ValueError, match="query_vec"):
+            rk.rank_prompts(songs, plans(spark, ["sad", "calm"], [[1.0, 0.0], vector]))
 
 
 def test_vectors_may_be_computed_on_the_fly(spark):

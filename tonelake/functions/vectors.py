@@ -5,8 +5,8 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -50,15 +50,25 @@ def decode_float32(raw: Column) -> Column:
 
     @F.arrow_udf("array<float>")
     def decode(batch: pa.Array) -> pa.Array:
-        out = [
-            None if b is None or len(b) % 4 else np.frombuffer(b, dtype="<f4")
-            for b in batch.to_pylist()
-        ]
-        return pa.array(out, type=pa.list_(pa.float32()))
+        lengths = np.diff(_offsets(batch)) if len(batch) else np.zeros(0, "int64")
+        good = (lengths % 4 == 0) & batch.is_valid().to_numpy(zero_copy_only=False)
+        kept = batch.filter(pa.array(good)) if not good.all() else batch
+        ends = _offsets(kept)
+        data = kept.buffers()[2]
+        values = np.frombuffer(data, "uint8", ends[-1] - ends[0], ends[0]).view("<f4") if data and len(kept) else np.zeros(0, "<f4")
+        sizes = np.concatenate([[0], np.cumsum(np.where(good, lengths // 4, 0))]).astype("int32")
+        return pa.ListArray.from_arrays(pa.array(sizes), pa.array(values, pa.float32()), mask=pa.array(~good))
 
     return decode(as_input(raw))
 
 
+def _offsets(batch: pa.Array) -> np.ndarray:
+    """Where each value of a binary array begins, and the last one ends, in its data buffer."""
+    wide = pa.types.is_large_binary(batch.type)
+    starts = np.frombuffer(batch.buffers()[1], "int64" if wide else "int32")
+    return starts[batch.offset : batch.offset + len(batch) + 1].astype("int64")
+
+
 def as_input(column: Column) -> Column:
     """A column as the argument of a Python function.
 
@@ -69,12 +79,23 @@ def as_input(column: Column) -> Column:
 
 
 def vector_matrix(column: pa.Array, dims: int) -> tuple[np.ndarray, np.ndarray]:
-    """Rows of the right length as a float64 matrix, and the mask of those rows."""
+    """The usable rows as a float64 matrix, and their mask.
+
+    A row that is missing, or has a component that is missing or not finite, has no vector. A vector of
+    another length belongs to another model and raises.
+    """
     lengths = column.value_lengths().fill_null(-1).to_numpy(zero_copy_only=False)
+    odd = lengths[(lengths >= 0) & (lengths != dims)]
+    if len(odd):
+        raise ValueError(f"a vector of length {odd[0]} among songs, where the prompts have {dims}")
     good = lengths == dims
     kept = column.filter(pa.array(good)) if not good.all() else column
-    values = kept.flatten().to_numpy(zero_copy_only=False).astype("float64")
-    return values.reshape(-1, dims), good
+    rows = kept.flatten().to_numpy(zero_copy_only=False).astype("float64").reshape(-1, dims)
+    finite = np.isfinite(rows).all(axis=1)
+    if not finite.all():
+        good[np.flatnonzero(good)[~finite]] = False
+        rows = rows[finite]
+    return rows, good
 
 
 def similarity(rows: np.ndarray, prompts: np.ndarray, cosine: bool) -> np.ndarray:
@@ -89,7 +110,7 @@ def block_similarity(vectors: Column, prompts: np.ndarray, cosine: bool) -> Colu
     """Similarity of each row's vector to every prompt of a batch, as an array in batch order.
 
     One matrix product per Arrow batch. ``prompts`` is one bounded batch. A row whose vector is
-    missing or of another length gives NULL.
+    missing or not finite gives NULL, one of another length raises.
     """
     dims = prompts.shape[1]
     width = prompts.shape[0]
@@ -107,11 +128,12 @@ def block_similarity(vectors: Column, prompts: np.ndarray, cosine: bool) -> Colu
 
 
 def similarity_bounds(
-    songs: DataFrame, signals: dict[str, tuple[str, np.ndarray, bool]]
+    songs: DataFrame, signals: dict[str, tuple[str, np.ndarray, bool]], needed: str
 ) -> DataFrame:
     """Lowest and highest similarity per prompt position over all songs, one pass for all signals.
 
-    ``signals`` maps a name to (vector column, prompt matrix, cosine). Every task is reduced to one
+    ``signals`` maps a name to (vector column, prompt matrix, cosine); only songs with a usable vector
+    in the column ``needed``, which is one of them, count. Every task is reduced to one
     row per prompt before anything is shuffled. Columns: pos, <name>_low, <name>_high.
     """
     names = list(signals)
@@ -121,9 +143,12 @@ def similarity_bounds(
         low = {n: np.full(width, np.inf) for n in names}
         high = {n: np.full(width, -np.inf) for n in names}
         for batch in batches:
-            for i, n in enumerate(names):
+            usable = {n: vector_matrix(batch.column(i), signals[n][1].shape[1]) for i, n in enumerate(names)}
+            ranked = next(usable[n][1] for n in names if signals[n][0] == needed)
+            for n in names:
                 _, prompts, cosine = signals[n]
-                rows, _ = vector_matrix(batch.column(i), prompts.shape[1])
+                rows, good = usable[n]
+                rows = rows[ranked[good]]
                 if len(rows):
                     sims = similarity(rows, prompts, cosine)
                     low[n] = np.minimum(low[n], sims.min(axis=0))
@@ -147,19 +172,26 @@ def with_model_vectors(
 ) -> DataFrame:
     """Vectors from a user's model, for texts or, with a column of paths, for audio.
 
-    ``load`` runs once per task and returns a function from a list of strings to their vectors,
-    None where there is none. ``prefix`` is put before every text; query and passage sides differ
+    ``load`` runs once per worker process and returns a function from a list of strings to their
+    vectors, None where there is none. Only the text column goes to Python. ``prefix`` is put before every text; query and passage sides differ
     in some models.
     """
 
-    def encode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        model = None
-        for pdf in batches:
-            model = model or load()
-            texts = [prefix + (t or "") for t in pdf[text]]
-            vectors = [None if v is None else np.asarray(v, dtype="float32") for v in model(texts)]
-            yield pdf.assign(**{out: pd.Series(vectors, index=pdf.index, dtype="object")})
-
-    fields = [f for f in df.schema.fields if f.name != out]
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in fields)
-    return df.select([f.name for f in fields]).mapInPandas(encode, f"{schema}, `{out}` array<float>")
+    @F.arrow_udf("array<float>")
+    def encode(batch: pa.Array) -> pa.Array:
+        found = worker_model(load)([prefix + (t or "") for t in batch.to_pylist()])
+        return pa.array([None if v is None else np.asarray(v, dtype="float32") for v in found], pa.list_(pa.float32()))
+
+    return df.withColumn(out, encode(as_input(F.col(text).cast("string"))))
+
+
+_MODELS: dict[bytes, Callable] = {}
+
+
+def worker_model(load: Callable[[], Callable]) -> Callable:
+    """The model that ``load`` makes, kept for the life of the worker process."""
+    key = cloudpickle.dumps(load)
+    if key not in _MODELS:
+        _MODELS.clear()
+        _MODELS[key] = load()
+    return _MODELS[key]

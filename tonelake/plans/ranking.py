@@ -21,7 +21,8 @@ from tonelake.plans.prompt import SIGNALS, with_weights
 from tonelake.rules import Rulebook, default_rulebook
 
 MAX_BATCH = 256  # prompts scored in one pass over the songs
-MAX_BROADCAST_ROWS = 1_000_000
+MERGE_PARTS = 32  # parts of a prompt's songs that are cut to its limit before they meet
+GROUP_LIMIT = "spark.sql.optimizer.windowGroupLimitThreshold"
 
 
 class BatchTooLarge(ValueError):
@@ -39,9 +40,14 @@ class Batch:
         if table.num_rows > max_batch:
             raise BatchTooLarge(f"more than {max_batch} prompts in a batch")
         self.ids = table["query_id"].to_pylist()
+        if len(set(self.ids)) < len(self.ids):
+            raise ValueError("a query_id comes more than once")
         self.max_limit = max(table["limit"].to_pylist(), default=0)
         self.text = self._matrix(table, "query_vec")
         self.clap = self._matrix(table, "clap_vec")
+        vectors = table["query_vec"].to_pylist() if "query_vec" in table.column_names else []
+        if any(v is None for v in vectors) or len(vectors) < len(self.ids):
+            raise ValueError("every prompt needs a query_vec")
         self.words = list(dict.fromkeys(w for ws in table["negated"].to_pylist() for w in ws))
         vectors = table["clap_vec"].to_pylist() if "clap_vec" in table.column_names else []
         self.has_clap_vec = [i for i, v in zip(self.ids, vectors) if v is not None]
@@ -51,10 +57,15 @@ class Batch:
     @staticmethod
     def _matrix(table, name: str) -> np.ndarray | None:
         rows = table[name].to_pylist() if name in table.column_names else []
-        dims = next((len(v) for v in rows if v is not None), None)
-        if dims is None:
+        lengths = {len(v) for v in rows if v is not None}
+        if not lengths:
             return None
-        return np.array([v if v is not None else [0.0] * dims for v in rows], "float64")
+        if len(lengths) > 1:
+            raise ValueError(f"{name} of lengths {sorted(lengths)}")
+        matrix = np.array([v if v is not None else [0.0] * max(lengths) for v in rows], "float64")
+        if not np.isfinite(matrix).all():
+            raise ValueError(f"{name} with a component that is not finite")
+        return matrix
 
     def id_at(self, pos: Column) -> Column:
         return F.get(F.lit(self.ids), pos)
@@ -66,6 +77,8 @@ def prompt_batches(plans: DataFrame, max_batch: int = MAX_BATCH) -> list[Batch]:
         return [Batch(plans, max_batch)]
     except BatchTooLarge:
         parts = -(-plans.count() // max_batch)
+    if not plans.groupBy("query_id").count().filter("count > 1").isEmpty():
+        raise ValueError("a query_id comes more than once")
     while True:
         part = F.pmod(F.xxhash64("query_id"), F.lit(parts))
         largest = plans.groupBy(part).count().agg(F.max("count")).first()[0]
@@ -79,7 +92,7 @@ def batch_plans(songs: DataFrame, batch: Batch, rules: Rulebook) -> DataFrame:
     signals = {"sem": ("embedding", batch.text, True)}
     if batch.clap is not None and "clap_embedding" in songs.columns:
         signals["clap"] = ("clap_embedding", batch.clap, False)
-    bounds = similarity_bounds(songs.filter(F.col("embedding").isNotNull()), signals)
+    bounds = similarity_bounds(songs.filter(F.col("embedding").isNotNull()), signals, "embedding")
     bounds = bounds.withColumn("query_id", batch.id_at(F.col("pos"))).drop("pos")
     # the audio signal counts only if the prompt has a vector and some song has one
     of_clap = lambda c: F.when(F.col("query_id").isin(batch.has_clap_vec), F.col(c)) if "clap" in signals else F.lit(None).cast("double")
@@ -107,7 +120,7 @@ def pair_songs(songs: DataFrame, batch: Batch, plans: DataFrame, rules: Rulebook
         clap.alias("clap_sims"),
     )
     # outer: a plain posexplode makes the optimizer compute the similarities once more as a filter;
-    # rows without any have no prompt and drop out of the join
+    # songs without a usable vector have no prompt and drop out of the join
     rows = per_song.select(
         *[c for c in per_song.columns if c != "sims"], F.posexplode_outer("sims").alias("pos", "semantic")
     )
@@ -150,10 +163,22 @@ def score_batch(songs: DataFrame, batch: Batch, rules: Rulebook) -> DataFrame:
 
 
 def top_rows(scores: DataFrame, max_limit: int) -> DataFrame:
-    """Best rows per prompt by score, then by larger id. Partitions cut to the limit first."""
-    w = Window.partitionBy("query_id").orderBy(F.desc("score"), F.desc("song_id"))
-    ranked = scores.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= max_limit)
-    return ranked.filter(F.col("rank") <= F.col("limit"))
+    """Best rows per prompt by score, then by larger id.
+
+    Every partition keeps a prompt's best rows only, parts of the prompt are cut to the limit again, and
+    the last step sees ``MERGE_PARTS`` times the limit at most. Spark's own bound for the first
+    cut is raised to the limit, so any limit takes this way.
+    """
+    conf = scores.sparkSession.conf
+    if int(conf.get(GROUP_LIMIT, "1000")) < max_limit:
+        conf.set(GROUP_LIMIT, str(max_limit))
+    order = [F.desc("score"), F.desc("song_id")]
+    part = F.pmod(F.xxhash64("song_id"), F.lit(MERGE_PARTS))
+    for keys in (["query_id", "_part"], ["query_id"]):
+        scores = scores.withColumn("_part", part) if "_part" in keys else scores.drop("_part", "rank")
+        place = F.row_number().over(Window.partitionBy(*keys).orderBy(*order))
+        scores = scores.withColumn("rank", place).filter(F.col("rank") <= max_limit)
+    return scores.filter(F.col("rank") <= F.col("limit"))
 
 
 def rank_prompts(
@@ -165,13 +190,15 @@ def rank_prompts(
     """Ranked playlists: query_id, rank, song_id, score, semantic_score, match_quality.
 
     ``plans`` comes from :func:`plan_prompts` with a ``query_vec`` and, for the audio signal, a
-    ``clap_vec`` column. Any number of prompts: they are taken in batches.
+    ``clap_vec`` column. Prompts are taken in batches; their ids must differ and each needs a finite
+    ``query_vec``. A song whose text vector is missing or not finite is not ranked, one whose audio
+    vector is has no audio signal; a vector of another length than the prompts' raises.
     """
     rules = rules or default_rulebook()
 
     batches = [b for b in prompt_batches(plans, max_batch) if b.ids]
-    if not batches or any(b.text is None for b in batches):
-        raise ValueError("no prompts, or none with a query_vec")
+    if not batches:
+        raise ValueError("no prompts")
     parts = [top_rows(score_batch(songs, b, rules), b.max_limit) for b in batches]
     return reduce(DataFrame.unionByName, parts).select(
         "query_id", "rank", "song_id", "score", "semantic_score",
@@ -186,12 +213,7 @@ def match_quality(score: Column) -> Column:
     )
 
 
-def hydrate(ranked: DataFrame, songs: DataFrame, columns: list[str], max_rows: int | None = None) -> DataFrame:
-    """Add song columns to ranked rows; a song that is gone drops its row.
-
-    ``max_rows`` is the known size of ``ranked`` (prompts x limit). Only below a bound is it
-    broadcast; otherwise Spark picks the join from the sizes it sees.
-    """
-    side = F.broadcast(ranked) if max_rows is not None and max_rows <= MAX_BROADCAST_ROWS else ranked
+def hydrate(ranked: DataFrame, songs: DataFrame, columns: list[str]) -> DataFrame:
+    """Add song columns to ranked rows; a song that is gone drops its row. Spark picks the join from the sizes it sees."""
     picked = songs.select(F.col("id").alias("song_id"), *columns)
-    return picked.join(side, "song_id")
+    return picked.join(ranked, "song_id")

@@ -306,7 +306,7 @@ def j7(t):
 @query("J8_hydrate_results", SCORING + "SELECT k.query_id, k.song_id, CAST(k.rank AS INT) AS rank, s.title, s.artist, s.filepath FROM ranked k JOIN songs s ON s.id = k.song_id WHERE rank <= 20")
 def j8(t):
     ranked = rk.rank_prompts(t.songs, batch_prompts(t)).select("query_id", "song_id", "rank")
-    return rk.hydrate(ranked, t.songs, ["title", "artist", "filepath"], max_rows=len(PROMPTS) * 20)
+    return rk.hydrate(ranked, t.songs, ["title", "artist", "filepath"])
 
 
 @query("O1_top_songs", SCORING + "SELECT song_id, score FROM ranked WHERE query_id = 0 AND rank <= 20")

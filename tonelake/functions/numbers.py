@@ -12,19 +12,18 @@ def stable_round(x: Column, digits: int) -> Column:
     """Round half away from zero, after dropping noise beyond nine digits.
 
     Distributed sums depend on the order of their partial sums; going through whole billionths
-    makes the result the same for every partitioning. Whole numbers also keep it in plain
-    arithmetic; Spark's own ``round`` works on decimals and is left for very large values.
+    makes the result the same for every partitioning. All of it is plain arithmetic on doubles, the
+    same for values of any size.
     """
     x = x.cast("double")
-    if digits == 9:
-        whole = (F.abs(x) * F.lit(1e9) + F.lit(0.5)).cast("bigint")
-    else:
-        step = 10 ** (9 - digits)
-        billionths = (F.abs(x) * F.lit(1e9) + F.lit(0.5)).cast("bigint")
-        whole = F.call_function("div", billionths + F.lit(step // 2), F.lit(step))
-    small = F.signum(x) * whole / F.lit(float(10**digits))
+    step = float(10 ** (9 - digits))
+    near = F.abs(x) * F.lit(1e9) + F.lit(0.5)
+    billionths = near - F.pmod(near, F.lit(1.0))
+    if digits < 9:
+        half = billionths + F.lit(step / 2)
+        billionths = half - F.pmod(half, F.lit(step))
     # + 0.0 turns a negative zero into zero
-    return F.when(F.abs(x) < 1e9, small + F.lit(0.0)).otherwise(F.round(F.round(x, 9), digits))
+    return F.signum(x) * (billionths / F.lit(step)) / F.lit(float(10**digits)) + F.lit(0.0)
 
 
 def js_round(x: Column) -> Column:
@@ -36,25 +35,11 @@ def clip(x: Column, low: float, high: float) -> Column:
     return F.greatest(F.lit(float(low)), F.least(F.lit(float(high)), x))
 
 
-def number_or(x: Column, default: float) -> Column:
-    """NULL, NaN and 0 become ``default``."""
-    x = x.cast("double")
-    return F.when(x.isNull() | F.isnan(x) | (x == 0), F.lit(float(default))).otherwise(x)
-
-
 def text_or(x: Column, default: str) -> Column:
     """NULL and '' become ``default``."""
     return F.coalesce(F.nullif(x, F.lit("")), F.lit(default))
 
 
-def gaussian(value: Column, target: Column, sigma: float, allow_negative: bool = False) -> Column:
-    """1 at the target, falling with distance. A missing value counts as 0."""
-    v = F.coalesce(value.cast("double"), F.lit(0.0))
-    d = v - target
-    match = F.exp(-(d * d) / F.lit(2.0 * sigma * sigma))
-    return match if allow_negative else F.when(v > 0, match).otherwise(F.lit(0.0))
-
-
 def let(value: Column, use: Callable[[Column], Column]) -> Column:
     """``use(value)`` with the value computed once.
 

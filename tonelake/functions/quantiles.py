@@ -5,97 +5,41 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-HOT_ROWS = 200_000  # keys above this take the bucketed way
-MAX_BROADCAST_KEYS = 100_000
-BUCKETS = 1024
+from tonelake.session import settle
+
+BUCKETS = 64
+ACCURACY = 1000
 
 
 def exact_percentiles(
-    df: DataFrame, key: str, value: str, probs: dict[str, float], hot_rows: int = HOT_ROWS
+    df: DataFrame, key: str, value: str, probs: dict[str, float], buckets: int = BUCKETS
 ) -> DataFrame:
     """Linear-interpolated percentiles of ``value`` per ``key``; one column per entry of probs.
 
-    A count per key (one action, combined on the map side) finds keys above ``hot_rows``, whose
-    values would make the buffer of Spark's exact ``percentile`` large. Without any, that function
-    does all the work in one shuffle; hot keys go through :func:`bucketed_percentiles`. Both ways
-    are exact.
-    """
-    rows = df.select(key, F.col(value).cast("double").alias("_v")).filter(
-        F.col("_v").isNotNull() & ~F.isnan("_v")
-    )
-    hot = rows.groupBy(key).agg(F.count("*").alias("_n")).filter(F.col("_n") > hot_rows).select(key)
-    n_hot = hot.limit(MAX_BROADCAST_KEYS + 1).count()
-    if n_hot == 0:
-        return _percentiles(rows, key, probs)
-    few = n_hot <= MAX_BROADCAST_KEYS
-    hot = F.broadcast(hot) if few else hot
-    usual = _percentiles(rows.join(hot, key, "left_anti"), key, probs)
-    return usual.unionByName(bucketed_percentiles(rows.join(hot, key, "left_semi"), key, probs, few))
-
-
-def _percentiles(rows: DataFrame, key: str, probs: dict[str, float]) -> DataFrame:
-    picked = rows.groupBy(key).agg(F.percentile("_v", F.lit(list(probs.values()))).alias("_p"))
-    return picked.select(key, *[F.get("_p", F.lit(i)).alias(n) for i, n in enumerate(probs)])
-
-
-def bucketed_percentiles(
-    rows: DataFrame, key: str, probs: dict[str, float], few_keys: bool = False
-) -> DataFrame:
-    """Percentiles by range buckets.
-
-    Every key's value range is cut into equal buckets; counts per (key, bucket) say which bucket
-    holds a rank, and only the rows of those buckets are ordered, equal values merged. No step
-    brings all rows of a key together. ``few_keys``: the number of keys is known to be small enough
-    to broadcast their ranges.
+    Equal values of a key become one row with a count before anything else. Approximate quantiles of
+    a key's values cut them into up to ``buckets`` buckets of like size, however they are spread;
+    counts of buckets say where each begins, and values are ordered within a bucket only. The ranks
+    read from there are exact. Missing values don't count; every key takes this one way.
     """
-    span = rows.groupBy(key).agg(
-        F.min("_v").alias("_lo"), F.max("_v").alias("_hi"), F.count("*").alias("_n")
-    )
-    width = F.col("_hi") - F.col("_lo")
-    bucket = F.least(
-        F.floor(F.coalesce(F.try_divide(F.col("_v") - F.col("_lo"), width), F.lit(0.0)) * BUCKETS),
-        F.lit(BUCKETS - 1),
-    )
-    ends = span.select(key, "_lo", "_hi")
-    values = (
-        rows.join(F.broadcast(ends) if few_keys else ends, key)
-        .groupBy(key, bucket.alias("_b"), "_v")
-        .agg(F.count("*").alias("_c"))
-    )
-    # one row per (key, bucket): at most BUCKETS rows per key in the window
+    v = F.col(value).cast("double")
+    rows = df.select(key, v.alias("_v")).filter(v.isNotNull() & ~F.isnan(v))
+    counts = settle(rows.groupBy(key, "_v").agg(F.count("*").alias("_c")), "value-counts")
+    shares = F.lit([i / buckets for i in range(1, buckets)])
+    cuts = counts.groupBy(key).agg(F.sum("_c").alias("_n"), F.percentile_approx("_v", shares, ACCURACY).alias("_cuts"))
+    bucket = F.size(F.filter("_cuts", lambda c: c < F.col("_v")))
+    placed = counts.join(cuts, key).select(key, "_v", "_c", "_n", bucket.alias("_b"))
     before = Window.partitionBy(key).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
-    held = values.groupBy(key, "_b").agg(F.sum("_c").alias("_c"))
-    held = held.select(
-        key, "_b", "_c", F.coalesce(F.sum("_c").over(before), F.lit(0)).alias("_before")
-    )
-    ranks = span.select(
-        key,
-        F.inline(
-            F.array(*[
-                F.struct(F.lit(n).alias("_name"), (F.lit(float(p)) * (F.col("_n") - 1)).alias("_pos"))
-                for n, p in probs.items()
-            ])
-        ),
-    )
-    ends = ranks.select(
-        key, "_name", "_pos", F.explode(F.array(F.floor("_pos"), F.ceil("_pos"))).alias("_rank")
-    ).distinct()
-    wanted = ends.join(held, key).filter(
-        (F.col("_rank") >= F.col("_before")) & (F.col("_rank") < F.col("_before") + F.col("_c"))
-    )
-    needed = wanted.select(key, "_b", "_before").distinct()
+    starts = placed.groupBy(key, "_b").agg(F.sum("_c").alias("_s"))
+    starts = starts.select(key, "_b", F.coalesce(F.sum("_s").over(before), F.lit(0)).alias("_before"))
     within = Window.partitionBy(key, "_b").orderBy("_v").rowsBetween(Window.unboundedPreceding, -1)
-    placed = values.join(needed, [key, "_b"]).select(
-        key, "_b", "_v", "_c",
-        (F.col("_before") + F.coalesce(F.sum("_c").over(within), F.lit(0))).alias("_first"),
-    )
-    found = wanted.select(key, "_b", "_name", "_pos", "_rank").join(placed, [key, "_b"]).filter(
-        (F.col("_rank") >= F.col("_first")) & (F.col("_rank") < F.col("_first") + F.col("_c"))
-    )
-    low = F.max(F.when(F.col("_rank") == F.floor("_pos"), F.col("_v")))
-    high = F.max(F.when(F.col("_rank") == F.ceil("_pos"), F.col("_v")))
-    part = F.first("_pos") - F.floor(F.first("_pos"))
-    merged = found.groupBy(key, "_name").agg((low + (high - low) * part).alias("_q"))
-    return merged.groupBy(key).agg(
-        *[F.max(F.when(F.col("_name") == n, F.col("_q"))).alias(n) for n in probs]
-    )
+    placed = placed.withColumn("_inside", F.coalesce(F.sum("_c").over(within), F.lit(0))).join(starts, [key, "_b"])
+    first = F.col("_before") + F.col("_inside")
+    holds = lambda rank: (rank >= first) & (rank < first + F.col("_c"))
+    at = {n: F.lit(float(p)) * (F.col("_n") - 1) for n, p in probs.items()}
+    ends = [
+        F.max(F.when(holds(end(at[n])), F.col("_v"))).alias(f"_{side}_{n}")
+        for n in probs for side, end in (("low", F.floor), ("high", F.ceil))
+    ]
+    found = placed.groupBy(key).agg(F.max("_n").alias("_n"), *ends)
+    part = lambda n: at[n] - F.floor(at[n])
+    return found.select(key, *[(F.col(f"_low_{n}") + (F.col(f"_high_{n}") - F.col(f"_low_{n}")) * part(n)).alias(n) for n in probs])

@@ -35,9 +35,9 @@ def harmonic_ratio(frames: DataFrame, key: str = "song_id") -> DataFrame:
     return frames.groupBy(key).agg(ratio.alias("harmonic_ratio"))
 
 
-def dynamic_range(frames: DataFrame, value: str = "rms", key: str = "song_id", **kw) -> DataFrame:
+def dynamic_range(frames: DataFrame, value: str = "rms", key: str = "song_id") -> DataFrame:
     """Log of the ratio of loud to quiet frames (95th to 5th percentile)."""
-    q = exact_percentiles(frames, key, value, {"_p5": 0.05, "_p95": 0.95}, **kw)
+    q = exact_percentiles(frames, key, value, {"_p5": 0.05, "_p95": 0.95})
     ratio = F.col("_p95") / (F.col("_p5") + F.lit(EPSILON))
     return q.select(key, F.log1p(ratio).alias("dynamic_range"))
 

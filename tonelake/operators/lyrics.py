@@ -130,9 +130,11 @@ def analysis_text(text: Column) -> Column:
     return let(clean_lyrics(text), lambda c: F.when(c == "", text).otherwise(c))
 
 
-def resolve_sources(candidates: DataFrame, key: str = "song_id") -> DataFrame:
+def resolve_sources(candidates: DataFrame, key: str = "song_id", ordinal: str | None = None) -> DataFrame:
     """First filled source by priority, from rows (key, source, text).
 
+    Of several rows of a source the least ``ordinal`` counts, or the least text where none is named.
+
     A sidecar file that exists settles the matter even when it is empty. ``min_by`` combines on the
     map side, so no key's texts are gathered.
     """
@@ -142,9 +144,9 @@ def resolve_sources(candidates: DataFrame, key: str = "song_id") -> DataFrame:
     text = F.when(F.col("source") == "cache", strip(F.col("text"))).when(
         F.col("source") == "sidecar_lrc", clean_lyrics(F.col("text"))
     ).otherwise(F.col("text"))
-    rows = candidates.select(key, "source", text.alias("text"), priority.alias("_p"))
+    rows = candidates.select(key, "source", text.alias("text"), F.struct(priority.alias("p"), (F.col(ordinal) if ordinal else text).alias("o")).alias("_p"))
     rows = rows.filter(
-        F.col("_p").isNotNull()
+        F.col("_p.p").isNotNull()
         & ((F.coalesce("text", F.lit("")) != "") | F.col("source").startswith("sidecar"))
     )
     picked = rows.groupBy(key).agg(F.min_by(F.struct("source", "text"), "_p").alias("_b"))
@@ -160,10 +162,11 @@ def lookup_text(source: Column, text: Column, synced: Column) -> Column:
     return F.when(source == "lrclib", plain).when(source == "musixmatch", cut).otherwise(strip(text))
 
 
-def resolve_lookup(candidates: DataFrame, key: str = "song_id") -> DataFrame:
+def resolve_lookup(candidates: DataFrame, key: str = "song_id", ordinal: str | None = None) -> DataFrame:
     """First good result by source order, from rows (key, title, artist, source, text, synced).
 
-    Instrumental artists get none; sources that need an artist are skipped without one.
+    Instrumental artists get none; sources that need an artist are skipped without one. Of several
+    rows of a source the least ``ordinal`` counts, or the least text where none is named.
     """
     artist = F.coalesce("artist", F.lit(""))
     priority = F.lit(None).cast("int")
@@ -175,9 +178,9 @@ def resolve_lookup(candidates: DataFrame, key: str = "song_id") -> DataFrame:
         & ~is_instrumental_artist(F.col("artist"))
         & (~needs_artist | (clean_lookup(artist) != ""))
     ).select(
-        key, "source", priority.alias("_p"),
-        lookup_text(F.col("source"), F.col("text"), F.col("synced")).alias("text"),
+        key, "source", lookup_text(F.col("source"), F.col("text"), F.col("synced")).alias("text"),
+        F.struct(priority.alias("p"), F.col(ordinal or "text").alias("o")).alias("_p"),
     )
-    rows = rows.filter(F.col("_p").isNotNull() & is_valid_lyrics(F.col("text")))
+    rows = rows.filter(F.col("_p.p").isNotNull() & is_valid_lyrics(F.col("text")))
     picked = rows.groupBy(key).agg(F.min_by(F.struct("source", "text"), "_p").alias("_b"))
     return picked.select(key, "_b.source", F.col("_b.text").alias("lyrics_text"))

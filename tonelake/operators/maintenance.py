@@ -11,7 +11,6 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tonelake.functions.numbers import text_or
 from tonelake.operators.describe import describe_songs
 from tonelake.operators.emotion import blend_valence
 from tonelake.operators.lyrics import with_snippet
@@ -62,11 +61,26 @@ def scan_totals(diff: DataFrame) -> DataFrame:
 
 
 def upsert(catalog: DataFrame, changes: DataFrame, key: str = "filepath") -> DataFrame:
-    """Replace whole rows by key and add new ones. Columns a change lacks become NULL."""
+    """Replace whole rows by key and add new ones. Columns a change lacks become NULL.
+
+    Of several changes of a key the one with the latest ``file_mtime`` counts.
+    """
+    changes = one_per_key(changes, key, ["file_mtime"])
     kept = catalog.join(changes.select(key), key, "left_anti")
     return kept.unionByName(changes, allowMissingColumns=True).select(catalog.columns)
 
 
+def one_per_key(rows: DataFrame, key: str, first: list[str]) -> DataFrame:
+    """One row of each key: the greatest by the columns ``first``, then by all others that have an order.
+
+    Combines on the map side, so rows of a key that comes often never meet in one task.
+    """
+    ordered = [f.name for f in rows.schema if "map<" not in f.dataType.simpleString()]
+    order = F.struct(*dict.fromkeys([c for c in first if c in rows.columns] + ordered))
+    best = rows.groupBy(F.col(key).alias("_key")).agg(F.max_by(F.struct(*rows.columns), order).alias("_row"))
+    return best.select("_row.*")
+
+
 def fresh_rows(rows: DataFrame) -> DataFrame:
     """Rows as they enter the catalog: id from the path, vectors unset, nothing pending."""
     out = rows.withColumn("id", song_id(F.col("filepath"))).withColumn("lyrics_processed", F.lit(True))
@@ -98,8 +112,10 @@ def apply_lyrics(catalog: DataFrame, found: DataFrame) -> DataFrame:
     """Merge found lyrics (id, lyrics_text, lyrics_emotion, lyrics_emotion_score,
     emotion_distribution, lyrics_valence, mood_words) and mark the rows pending.
 
-    A neutral lyrics valence leaves the song's own.
+    A neutral lyrics valence leaves the song's own. Of several results of an id the one with the
+    highest emotion score counts.
     """
+    found = one_per_key(found, "id", ["lyrics_emotion_score"])
     fields = ["lyrics_text", "lyrics_emotion", "lyrics_emotion_score", "emotion_distribution", "mood_words"]
     new = found.select("id", *[F.col(c).alias(f"_{c}") for c in fields], F.col("lyrics_valence").alias("_v"), F.lit(True).alias("_hit"))
     rows = catalog.join(new, "id", "left")
@@ -138,10 +154,3 @@ def lyrics_outcomes(results: DataFrame) -> DataFrame:
         n("found").alias("found"), n("not_found").alias("not_found"), n("error").alias("errors"),
         F.count_if(F.col("outcome").isin("found", "not_found", "error")).alias("total"),
     )
-
-
-def lookup_names(songs: DataFrame) -> DataFrame:
-    """Song names as the lyrics pass reports them."""
-    return songs.select(
-        "id", "filepath", text_or(F.col("title"), "Unknown").alias("title"), text_or(F.col("artist"), "Unknown").alias("artist")
-    )

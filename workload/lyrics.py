@@ -241,30 +241,28 @@ def emotions_of_texts(t):
 _PRI = "CASE source " + " ".join(f"WHEN '{s}' THEN {p}" for s, p in ly.SOURCE_PRIORITY.items()) + " END"
 
 
-@query("L1_source_resolution", f"""WITH {duck('lyrics_sources')}, u AS (SELECT song_id, source, min(text) AS lyrics_text FROM lyrics_sources GROUP BY 1, 2), lyrics AS (SELECT song_id * 10 + {_PRI} AS song_id, song_id AS sid, source, lyrics_text FROM u), {LINES},
-x AS (SELECT l.sid, l.source, {_PRI} AS p, CASE source WHEN 'cache' THEN {S('l.lyrics_text')} WHEN 'sidecar_lrc' THEN c.t ELSE l.lyrics_text END AS text FROM lyrics l JOIN cleaned c USING (song_id)),
-k AS (SELECT *, row_number() OVER (PARTITION BY sid ORDER BY p) AS n FROM x WHERE text <> '' OR starts_with(source, 'sidecar'))
+@query("L1_source_resolution", f"""WITH {duck('lyrics_sources')}, lyrics AS (SELECT ordinal AS song_id, song_id AS sid, source, text AS lyrics_text FROM lyrics_sources), {LINES},
+x AS (SELECT l.sid, l.song_id AS ordinal, l.source, {_PRI} AS p, CASE source WHEN 'cache' THEN {S('l.lyrics_text')} WHEN 'sidecar_lrc' THEN c.t ELSE l.lyrics_text END AS text FROM lyrics l JOIN cleaned c USING (song_id)),
+k AS (SELECT *, row_number() OVER (PARTITION BY sid ORDER BY p, ordinal) AS n FROM x WHERE text <> '' OR starts_with(source, 'sidecar'))
 SELECT sid AS song_id, source, nullif(text, '') AS lyrics_text FROM k WHERE n = 1""")
 def l1(t):
-    one = t.lyrics_sources.groupBy("song_id", "source").agg(F.min("text").alias("text"))
-    return ly.resolve_sources(one)
+    return ly.resolve_sources(t.lyrics_sources, ordinal="ordinal")
 
 
 _LPRI = "CASE source " + " ".join(f"WHEN '{s}' THEN {p}" for s, p in ly.LOOKUP_PRIORITY.items()) + " END"
 
 
-@query("L2_lookup_fallback", f"""WITH {duck('lookup_results')}, u AS (SELECT song_id, source, title, artist, min(text) AS text, min(synced) AS synced FROM lookup_results GROUP BY ALL),
-ln AS (SELECT song_id, source, unnest(string_split(synced, chr(10))) AS raw, generate_subscripts(string_split(synced, chr(10)), 1) AS i FROM u),
-z AS (SELECT song_id, source, string_agg({S(f"regexp_replace(raw, '{tx.LRC_TIMESTAMP}', '', 'g')")}, chr(10) ORDER BY i) FILTER (WHERE {S(f"regexp_replace(raw, '{tx.LRC_TIMESTAMP}', '', 'g')")} <> '') AS plain
-  FROM ln WHERE NOT regexp_matches(raw, '{tx.LRC_METADATA}') GROUP BY 1, 2),
-x AS (SELECT u.song_id, u.source, u.title, u.artist, {_LPRI.replace('source', 'u.source')} AS p, CASE u.source WHEN 'lrclib' THEN CASE WHEN length(text) > 20 THEN {S('text')} ELSE z.plain END
-   WHEN 'musixmatch' THEN {S("string_split(text, '*******')[1]")} ELSE {S('text')} END AS text FROM u LEFT JOIN z USING (song_id, source)),
-k AS (SELECT *, row_number() OVER (PARTITION BY song_id ORDER BY p) AS n FROM x WHERE title <> '' AND NOT {instrumental_sql('artist')}
+@query("L2_lookup_fallback", f"""WITH {duck('lookup_results')}, u AS (SELECT * FROM lookup_results),
+ln AS (SELECT ordinal, unnest(string_split(synced, chr(10))) AS raw, generate_subscripts(string_split(synced, chr(10)), 1) AS i FROM u),
+z AS (SELECT ordinal, string_agg({S(f"regexp_replace(raw, '{tx.LRC_TIMESTAMP}', '', 'g')")}, chr(10) ORDER BY i) FILTER (WHERE {S(f"regexp_replace(raw, '{tx.LRC_TIMESTAMP}', '', 'g')")} <> '') AS plain
+  FROM ln WHERE NOT regexp_matches(raw, '{tx.LRC_METADATA}') GROUP BY 1),
+x AS (SELECT u.song_id, u.ordinal, u.source, u.title, u.artist, {_LPRI.replace('source', 'u.source')} AS p, CASE u.source WHEN 'lrclib' THEN CASE WHEN length(text) > 20 THEN {S('text')} ELSE z.plain END
+   WHEN 'musixmatch' THEN {S("string_split(text, '*******')[1]")} ELSE {S('text')} END AS text FROM u LEFT JOIN z USING (ordinal)),
+k AS (SELECT *, row_number() OVER (PARTITION BY song_id ORDER BY p, ordinal) AS n FROM x WHERE title <> '' AND NOT {instrumental_sql('artist')}
    AND (source NOT IN ('ovh', 'genius_title') OR {lookup_sql('artist')} <> '') AND {valid_sql('text')})
 SELECT song_id, source, text AS lyrics_text FROM k WHERE n = 1""")
 def l2(t):
-    one = t.lookup_results.groupBy("song_id", "source", "title", "artist").agg(F.min("text").alias("text"), F.min("synced").alias("synced"))
-    return ly.resolve_lookup(one)
+    return ly.resolve_lookup(t.lookup_results, ordinal="ordinal")
 
 
 CACHE = f"WITH {duck('cache', 'cache_songs')}, keyed AS (SELECT *, left(md5(concat(filepath, '|', coalesce(title, 'None'), '|', artist)), 16) AS cache_key FROM cache_songs)"

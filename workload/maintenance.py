@@ -63,9 +63,8 @@ def j5(t):
 @query("U1_path_difference", DIFF_ALL + " SELECT filepath, CASE WHEN known IS NULL AND title IS NULL THEN 'disk' ELSE 'catalog' END AS only_in FROM d WHERE status IN ('new', 'deleted')")
 def u1(t):
     disk, known = t.files.select("filepath"), t.catalog.select("filepath")
-    return disk.exceptAll(known).withColumn("only_in", F.lit("disk")).unionByName(
-        known.exceptAll(disk).withColumn("only_in", F.lit("catalog"))
-    )
+    only = lambda a, b, side: a.join(b, "filepath", "left_anti").withColumn("only_in", F.lit(side))
+    return only(disk, known, "disk").unionByName(only(known, disk, "catalog"))
 
 
 @query("U3_merge_vectors", f"WITH {duck('songs')} SELECT id, {q('list_sum(list_transform(coalesce(clap_embedding, embedding), lambda x: x::DOUBLE))')} AS total FROM songs")

@@ -60,10 +60,12 @@ def a6(t):
     return ft.dynamic_range(t.frames).select("song_id", r(F.col("dynamic_range")).alias("dynamic_range"))
 
 
-@query("A6_dynamic_range_hot_songs", _A6)
+@query("A6_dynamic_range_hot_songs", f"""WITH {duck('frames')}, few AS (SELECT CASE WHEN song_id % 3 = 0 THEN -1 ELSE song_id % 7 END AS song_id, rms FROM frames)
+ SELECT song_id, {q('ln(1 + quantile_cont(rms, 0.95) / (quantile_cont(rms, 0.05) + 1e-6))')} AS dynamic_range FROM few GROUP BY 1""")
 def a6_hot(t):
-    """The same with nearly every song taken as hot: the bucketed way."""
-    return ft.dynamic_range(t.frames, hot_rows=2).select("song_id", r(F.col("dynamic_range")).alias("dynamic_range"))
+    """The same where one song has a third of all frames."""
+    few = t.frames.select(F.when(F.col("song_id") % 3 == 0, F.lit(-1)).otherwise(F.col("song_id") % 7).alias("song_id"), "rms")
+    return ft.dynamic_range(few).select("song_id", r(F.col("dynamic_range")).alias("dynamic_range"))
 
 
 @query("A7_chroma_profile", f"WITH {CHROMA} SELECT song_id, CAST(pitch AS INT) AS pitch, {q('v')} AS share FROM profile")
@@ -83,6 +85,9 @@ def p6(t):
 
 
 FEATURES = f"""WITH {duck('frames', 'tempo')}, {KEYS},
+mfcc_rows AS (SELECT song_id, unnest(mfcc) AS v, generate_subscripts(mfcc, 1) AS i FROM frames),
+mfcc_means AS (SELECT song_id, i, {q('avg(v)')} AS mean FROM mfcc_rows GROUP BY 1, 2),
+mfcc_lists AS (SELECT song_id, list(mean ORDER BY i) AS mfccs FROM mfcc_means GROUP BY 1),
 m AS (SELECT song_id, {q('avg(rms)', 9)} AS energy, {q('avg(centroid)', 9)} AS brightness, {q('avg(contrast)', 9)} AS contrast, {q('avg(zcr)', 9)} AS zcr, {q('avg(rolloff)', 9)} AS rolloff,
   {q('avg(bandwidth)', 9)} AS bandwidth, avg(abs(harmonic_abs)) / (avg(abs(signal_abs)) + 1e-6) AS harmonic_ratio,
   ln(1 + quantile_cont(rms, 0.95) / (quantile_cont(rms, 0.05) + 1e-6)) AS dynamic_range FROM frames GROUP BY 1),
@@ -103,9 +108,12 @@ def p8(t):
 
 @query("A0_song_features", FEATURES + f"""SELECT song_id, key, mode, {q('bpm', 1)} AS bpm, {q('energy', 4)} AS energy, {q('brightness', 1)} AS brightness, {q('key_confidence', 2)} AS key_confidence,
  {q('valence', 2)} AS valence, {q('arousal', 2)} AS arousal, {q('contrast', 2)} AS spectral_contrast, {q('zcr', 4)} AS zero_crossing, {q('harmonic_ratio', 2)} AS harmonic_ratio,
- {q('rolloff', 1)} AS spectral_rolloff, {q('bandwidth', 1)} AS spectral_bandwidth, {q('dynamic_range', 2)} AS dynamic_range FROM f""")
+ {q('rolloff', 1)} AS spectral_rolloff, {q('bandwidth', 1)} AS spectral_bandwidth, {q('dynamic_range', 2)} AS dynamic_range,
+ array_to_string(list_transform(mfccs, lambda x: printf('%.4f', x)), ',') AS mfccs FROM f LEFT JOIN mfcc_lists USING (song_id)""")
 def a0(t):
-    return ft.song_features(t.frames, t.chroma, t.tempo).drop("mfccs")
+    """Cepstral means as text, missing ones left out."""
+    mfccs = F.array_join(F.transform(F.filter("mfccs", lambda x: x.isNotNull()), lambda x: F.format_string("%.4f", x)), ",")
+    return ft.song_features(t.frames, t.chroma, t.tempo).withColumn("mfccs", mfccs)
 
 
 @query("P9_theory_label", f"""WITH {duck('songs')} SELECT id, concat_ws(', ',

@@ -170,17 +170,17 @@ FROM customer"""
         return """
 SELECT concat('/music/', c_nationkey, '/', c_custkey) AS path, 1.65e9 + c_custkey AS last_scan_time,
   cast(c_custkey % 300 as bigint) AS song_count, cast(c_custkey + 500 as bigint) AS total_songs_in_db
-FROM customer WHERE c_acctbal > 3000"""
+FROM customer"""
     if name == "lyrics_sources":
         source = pick(["stored", "sidecar_lrc", "sidecar_txt", "cache", "tag", "online"], "(doc_id * 5 + s) % 6", spark)
         every = "explode(sequence(0, 2)) AS s" if spark else "unnest(range(0, 3)) AS s"
         return f"""
-SELECT song_id, {source} AS source, CASE WHEN (doc_id + s) % 4 = 0 THEN '' ELSE text END AS text
+SELECT song_id, {source} AS source, doc_id * 3 + s AS ordinal, CASE WHEN (doc_id + s) % 4 = 0 THEN '' ELSE text END AS text
 FROM (SELECT doc_id % 700 AS song_id, doc_id, concat(' ', text, chr(10)) AS text, {every} FROM documents) x"""
     if name == "lookup_results":
         source = pick(["lrclib", "genius", "ovh", "musixmatch", "genius_title"], "doc_id % 5", spark)
         return f"""
-SELECT doc_id % 300 AS song_id, {source} AS source,
+SELECT doc_id % 300 AS song_id, {source} AS source, doc_id AS ordinal,
   CASE WHEN doc_id % 300 % 41 = 0 THEN '' ELSE 'A Title' END AS title,
   CASE WHEN doc_id % 300 % 17 = 0 THEN 'Ghost Singers' WHEN doc_id % 300 % 13 = 0 THEN '' ELSE 'Band' END AS artist,
   CASE WHEN doc_id % 15 = 0 THEN 'short' ELSE concat(CASE WHEN doc_id % 9 = 2 THEN 'Lyrics not available. ' ELSE '' END,
@@ -214,17 +214,9 @@ def duck(*names: str) -> str:
     return ",\n".join(f"{n} AS ({_sql(n, False)})" for n in names)
 
 
-WORK_HEAVY = {"documents", "embeddings", "part"}  # few rows, much work per row
-
-
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A given table. A large one comes in many splits and is left as read; one that arrives in
-    fewer splits than there are cores, with much to do per row, is spread over them."""
-    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
-    cores = spark.sparkContext.defaultParallelism
-    if name in WORK_HEAVY and df._jdf.queryExecution().toRdd().getNumPartitions() < cores:
-        return df.repartition(cores)
-    return df
+    """A given table, in the splits in which it is read."""
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -298,3 +298,25 @@ def test_shared_folder(spark, monkeypatch):
     with pytest.raises(ValueError, match="spark.checkpoint.dir"):
         ss.shared_folder(Stub(None, "yarn"))
     assert shared_folder(spark) == ss.shared_folder(spark)
+
+
+def test_merges_keep_one_row_per_key(spark):
+    """Several changes of a path, or several results of an id, leave the row that counts last."""
+    schema = "id long, filepath string, file_mtime double, title string, emotion_distribution map<string,double>"
+    catalog = spark.createDataFrame([(1, "/a", 1.0, "old", {"joy": 1.0}), (2, "/b", 1.0, "b", None)], schema)
+    changes = spark.createDataFrame([(1, "/a", 2.0, "first", None), (1, "/a", 3.0, "last", {"sad": 1.0}), (3, "/c", 1.0, "x", None), (3, "/c", 1.0, "y", None)], schema)
+    for parts in (1, 4):
+        got = {r.filepath: r.title for r in mt.upsert(catalog, changes.repartition(parts)).collect()}
+        assert got == {"/a": "last", "/b": "b", "/c": "y"}
+        assert mt.upsert(catalog, changes.repartition(parts)).count() == 3
+
+
+def test_release_removes_files(spark):
+    import os
+
+    from tonelake.session import release, settle
+
+    df = settle(spark.range(3), "gone")
+    assert os.path.isdir(df._settled) and df.count() == 3
+    release(df)
+    assert not os.path.exists(df._settled)

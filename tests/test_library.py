@@ -320,3 +320,35 @@ def test_release_removes_files(spark):
     assert os.path.isdir(df._settled) and df.count() == 3
     release(df)
     assert not os.path.exists(df._settled)
+
+
+def test_scan_makes_full_rows_with_both_vectors(spark):
+    from tonelake.plans.scan import scan_songs
+
+    files = spark.createDataFrame([("/m/one.mp3", 5.0, 1), ("/m/two.mp3", 6.0, 2)], "filepath string, file_mtime double, song_id long")
+    frames = spark.createDataFrame([(s, 0.2, 2500.0, 20.0, 0.1, 4000.0, 2000.0, 0.5, 1.0, [1.0] * 13) for s in (1, 1, 9)], "song_id long, rms double, centroid double, contrast double, zcr double, rolloff double, bandwidth double, harmonic_abs double, signal_abs double, mfcc array<double>")
+    chroma = spark.createDataFrame([(1, p, float(p in (0, 4, 7))) for p in range(12)], "song_id long, pitch int, value double")
+    tempo = spark.createDataFrame([(1, 120.0)], "song_id long, bpm double")
+    tags = spark.createDataFrame([(1, "Song", "Band", None, "rock")], "song_id long, title string, artist string, album string, genre string")
+    text = "\n".join(["sad sad melancholy words again", "a different line here"] * 2)
+    lyrics = spark.createDataFrame([(1, text), (2, "  "), (9, "x")], "song_id long, lyrics_text string")
+    audio = spark.createDataFrame([(1, [0.5, 0.5])], "song_id long, clap_embedding array<float>")
+    store = Catalog(spark, work_path(spark, "cat"), 2).create()
+    store.sync(files.drop("song_id"), lambda rows: scan_songs(rows.join(files.select("filepath", "song_id"), "filepath"), frames, chroma, tempo, tags, lyrics, None, hashed_words, audio))
+    one, two = store.read().orderBy("filepath").collect()
+    assert (one.title, one.artist, one.album, one.genre, one.bpm, one.mode) == ("Song", "Band", "Unknown Album", "rock", 120.0, "major")
+    assert one.has_lyrics and one.lyrics_emotion == "sadness" and one.valence < 0 and "Lyrics: " in one.rich_description
+    assert len(one.embedding) == 64 and one.clap_embedding == [0.5, 0.5] and one.lyrics_processed
+    assert (two.title, two.artist, two.bpm, two.has_lyrics, two.clap_embedding) == ("two", "Unknown Artist", None, False, None)
+    assert len(two.embedding) == 64
+
+
+def test_flush_of_a_folder_takes_its_entry(spark):
+    from tonelake.sources.registry import FolderRegistry
+
+    store = Catalog(spark, work_path(spark, "cat"), 2).create()
+    store.upsert(rows(spark, [("/a/x", 1.0, "x", "d"), ("/b/y", 1.0, "y", "d")]))
+    registry = FolderRegistry(spark, work_path(spark, "reg")).create()
+    registry.upsert(spark.createDataFrame([("/a", 1.0, 1, 2), ("/b", 1.0, 1, 2)], "path string, last_scan_time double, song_count long, total_songs_in_db long"))
+    store.delete_folder("/a", registry)
+    assert titles(store) == {"/b/y": "y"} and [r.path for r in registry.read().collect()] == ["/b"]

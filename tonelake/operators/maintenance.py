@@ -82,10 +82,11 @@ def one_per_key(rows: DataFrame, key: str, first: list[str]) -> DataFrame:
 
 
 def fresh_rows(rows: DataFrame) -> DataFrame:
-    """Rows as they enter the catalog: id from the path, vectors unset, nothing pending."""
+    """Rows as they enter the catalog: id from the path, nothing pending, vectors as the scan made them, else unset."""
     out = rows.withColumn("id", song_id(F.col("filepath"))).withColumn("lyrics_processed", F.lit(True))
     for v in VECTORS:
-        out = out.withColumn(v, F.lit(None).cast("array<float>"))
+        made = F.col(v) if v in rows.columns else F.lit(None)
+        out = out.withColumn(v, made.cast("array<float>"))
     return out
 
 

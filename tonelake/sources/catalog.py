@@ -2,8 +2,9 @@
 
 A change reads and rewrites only the buckets it touches, into a new version folder; a manifest row
 per bucket then points to its newest version. Nothing is overwritten while it is read, a reader
-keeps the snapshot it started with, and a failed change leaves the old snapshot in place. Of two
-writers that start from the same snapshot, the second fails when it publishes.
+keeps the snapshot it started with, and a failed change leaves the old snapshot in place. One writer at
+a time: two that start from the same snapshot are noticed only where the folder's file system makes
+creating a folder atomic. Old versions stay until the folder is removed.
 """
 
 from __future__ import annotations
@@ -117,8 +118,11 @@ class Catalog:
         paths = settle(paths.select("filepath"), "deleted")
         self.replace(lambda current: current.join(paths, "filepath", "left_anti"), paths)
 
-    def delete_folder(self, folder: str) -> None:
+    def delete_folder(self, folder: str, registry=None) -> None:
+        """Remove a folder's songs and, with the registry given, its entry."""
         self.delete_paths(self.read().filter(m.under(F.col("filepath"), folder)))
+        if registry is not None:
+            registry.forget(folder)
 
     def update(self, rows: DataFrame) -> None:
         """Replace whole rows as given, id and vectors included."""

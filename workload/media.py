@@ -199,3 +199,22 @@ def t13(t):
 def t14(t):
     v = l2_normalise(F.transform("embedding", lambda x: x.cast("double") * 3))
     return t.embeddings.select(F.col("vec_id").alias("id"), v.alias("v")).select("id", r(norm(F.col("v"))).alias("size"), r(F.get("v", F.lit(0))).alias("first"))
+
+
+@query("scan_new_files", FEATURES + f""", {duck('files')}, keyed AS (SELECT *, CAST(regexp_extract(filepath, '/([0-9]+)[^/]*$', 1) AS BIGINT) AS song_id FROM files)
+SELECT filepath, file_mtime, regexp_extract(filepath, '([^/]*)[.][^.]*$', 1) AS title, 'Unknown Artist' AS artist, 'Unknown Album' AS album, '' AS genre, mode,
+ {q('bpm', 1)} AS bpm, {q('energy', 4)} AS energy, {q('brightness', 1)} AS brightness, {q('valence', 2)} AS valence, {q('arousal', 2)} AS arousal,
+ {q('rolloff', 1)} AS spectral_rolloff, {q('bandwidth', 1)} AS spectral_bandwidth, {q('dynamic_range', 2)} AS dynamic_range, {q('key_confidence', 2)} AS key_confidence,
+ {q('harmonic_ratio', 2)} AS harmonic_ratio, false AS has_lyrics, true AS lyrics_processed, true AS has_text_vector, f.song_id IS NOT NULL AS described
+FROM keyed LEFT JOIN f USING (song_id)""")
+def scan_new_files(t):
+    """Every file of the listing scanned: features from frames, defaults for missing tags, sentence, vector."""
+    from tonelake.plans.scan import scan_songs
+
+    files = t.files.withColumn("song_id", F.regexp_extract("filepath", "/([0-9]+)[^/]*$", 1).cast("long"))
+    rows = scan_songs(files, t.frames, t.chroma, t.tempo)
+    return rows.select(
+        "filepath", "file_mtime", "title", "artist", "album", "genre", "mode", "bpm", "energy", "brightness", "valence", "arousal", "spectral_rolloff",
+        "spectral_bandwidth", "dynamic_range", "key_confidence", "harmonic_ratio", "has_lyrics", "lyrics_processed",
+        (F.size("embedding") == 64).alias("has_text_vector"), F.contains("rich_description", F.lit(" BPM (")).alias("described"),
+    )

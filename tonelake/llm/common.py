@@ -14,7 +14,7 @@ from tonelake.session import settle
 #: Fixed value: a word is a run of anything but the six white-space characters of ASCII.
 WORD = r"[^\x20\x09-\x0D]+"
 #: Rows in an Arrow batch; a batch holds whole texts, so it bounds a worker's memory.
-BATCH_ROWS = 512
+BATCH_ROWS = 192
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:

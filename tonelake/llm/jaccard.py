@@ -27,6 +27,7 @@ from pyspark.sql import functions as F
 
 from tonelake.llm.common import documents, map_batches, settle, texts
 from tonelake.llm.components import components
+from tonelake.session import release
 
 SHINGLE = 5
 THRESHOLD = 0.8
@@ -256,7 +257,11 @@ def jaccard_classes(docs: DataFrame, threshold: float = THRESHOLD, forest: Fores
     signed = settle(signatures(docs, forest, forest.prefix(threshold), id_col, text_col), "signatures")
     nodes = settle(signed.groupBy("node").agg(F.count("*").alias("copies"), F.min("doc_id").alias("first_id"), F.min("keys").alias("keys")), "nodes")
     candidates = candidate_components(nodes.select("node", "keys"))
-    wanted = settle(nodes.select("node", "copies", "first_id").join(candidates, "node"), "candidates")
+    # The keys are the bulk of what is stored, and go as soon as nothing reads them any more.
+    with_keys = signed, nodes
+    signed, nodes = settle(signed.select("doc_id", "node"), "doc-nodes"), settle(nodes.select("node", "copies", "first_id"), "nodes")
+    release(*with_keys)
+    wanted = settle(nodes.join(candidates, "node"), "candidates")
 
     def with_sets(batch: pa.RecordBatch) -> pa.RecordBatch:
         sets = shingle_sets(texts(batch))
@@ -269,7 +274,7 @@ def jaccard_classes(docs: DataFrame, threshold: float = THRESHOLD, forest: Fores
     found = settle(verify(members, threshold, block), "links")
     classes = components(found.select(F.col("node").alias("a"), F.col("root").alias("b")))
     links = found.groupBy("node").agg(F.sum("links").alias("links"))
-    nodes = nodes.select("node", "copies", "first_id").join(classes, "node", "left").join(links, "node", "left")
+    nodes = nodes.join(classes, "node", "left").join(links, "node", "left")
     nodes = settle(nodes.select("node", F.coalesce("label", "node").alias("label"), "first_id", (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links")), "node-classes")
     ids = nodes.groupBy("label").agg(F.min("first_id").alias("class_id"))
     lookup = settle(nodes.join(ids, "label").select("node", "class_id", "n_links"), "classes")

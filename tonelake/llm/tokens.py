@@ -56,7 +56,7 @@ class Encoder:
     pre-tokens as well. Texts with special strings, and all other files, are encoded as they are.
     """
 
-    def __init__(self, path: str, chunks: int = 400_000, parts: int = 700_000):
+    def __init__(self, path: str, chunks: int = 150_000, parts: int = 450_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         self.specials: list[str] = []
         self.chunked = False

@@ -57,7 +57,7 @@ def clear(word: str) -> str:
 class _Words(dict):
     """What is known of a word as written, as bits and a weight; emptied when full."""
 
-    def __init__(self, learned: dict[str, float], limit: int = 300_000):
+    def __init__(self, learned: dict[str, float], limit: int = 120_000):
         super().__init__()
         self.learned, self.limit = learned, limit
 

@@ -161,9 +161,9 @@ def j2(t):
 # ---------------------------------------------------------------- V: all songs against the prompt batch
 
 
-def batch_prompts(t) -> DataFrame:
+def batch_prompts(t, times: int = 1) -> DataFrame:
     """The batch: its prompts are the query's parameters."""
-    plans = plan_prompts(prompt_table(t.spark, PROMPTS))
+    plans = plan_prompts(prompt_table(t.spark, PROMPTS * times))
     vec = hashed_words(F.col("clean_query"))
     return plans.withColumn("query_vec", vec).withColumn("clap_vec", F.reverse(vec))
 

@@ -47,6 +47,21 @@ def test_a_hot_group_fills_few_shards(spark):
     assert sum(hot.values()) == 300 and len(hot) <= 5  # 300 rows need at least four shards of 87 or 88
 
 
+def cut_links(rows):
+    shards = defaultdict(set)
+    for r in rows:
+        shards[r["link"]].add(r["shard"])
+    return sum(len(s) > 1 for s in shards.values())
+
+
+@pytest.mark.parametrize("hot,paired", [(0, 4000), (0, 3800), (1333, 3880)])
+def test_groups_stay_whole_where_hardly_a_row_is_loose(spark, hot, paired):
+    rows = [(i, "hot" if i < hot else f"t{i // 2}" if i < paired else f"one{i}", "a") for i in range(4000)]
+    out = sharded(table(spark, rows)).collect()
+    assert_even(out, 4000)
+    assert cut_links(out) <= 7  # at most one at each border of two shards
+
+
 def water_level(sizes, weights=(5, 2, 1), most=3):
     names = sorted(sizes, key=lambda s: (s is None, (s or "").encode()))
     weight = {s: weights[i % len(weights)] for i, s in enumerate(names)}

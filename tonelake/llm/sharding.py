@@ -4,8 +4,11 @@ Documents of one link (equal texts) are neighbours. Labels start as a hash of th
 one label are alike, so the state is one row per link and shard with a count, however many copies a link
 has. In every round a link's rows ask for the shard that holds most of their neighbours and still has
 room; a shard admits moves, in hashed order, up to its capacity, the last one in part. Moves only ever
-join what was apart, so cut edges fall. At the end documents take their link's places, and unlinked
-documents fill the shards to counts that differ by one at most.
+join what was apart, so cut edges fall. Moves need free room, and where few documents are unlinked there is
+hardly any; so links that are still apart after the rounds leave their shards all at once, and what they leave
+is room. They come back whole, in one line of falling size that is cut where a shard is full, so at most one
+link is cut at each border of two shards. At the end documents take their link's places, and unlinked documents
+fill the shards to counts that differ by one at most.
 
 The driver sees one number per shard. No window spans a whole shard or link.
 
@@ -53,6 +56,28 @@ def propagate(cells: DataFrame, capacity: int, shards: int = SHARDS, seed: int =
     return settle(parts.groupBy("link", "shard").agg(F.sum("n").alias("n")).filter("n > 0"), "shard-cells"), moved
 
 
+def deal_whole(cells: DataFrame, want: list[int], seed: int = SEED) -> DataFrame:
+    """The cells with all split links dealt anew: shard loads stay within ``want``, ``len(want) - 1`` links are cut at most.
+
+    Links of a shard that holds more than it should are dealt anew with them.
+    """
+    marked = settle(cells.select("link", "shard", "n", (F.count("*").over(W.partitionBy("link")) > 1).alias("out")), "shard-split")
+    loads = _loads(marked.filter(~F.col("out")), len(want))
+    over = F.element_at(_by_shard([load > w for w, load in zip(want, loads)]), F.col("shard") + 1) > 0
+    room = [w if load > w else w - load for w, load in zip(want, loads)]
+    lifted = settle(marked.filter(F.col("out") | over).groupBy("link").agg(F.sum("n").alias("n")), "shard-lifted")
+    # Large links come first, so that one larger than a shard starts with an empty one.
+    bins = (63 - F.floor(F.log2("n"))) * BINS + F.pmod(F.xxhash64(F.lit(seed), "link"), F.lit(BINS))
+    line = running_sums(lifted.withColumn("one", F.lit(1)), ["one"], bins, ["link"], F.col("n"), "from")
+    parts, start = [], 0
+    for s in sorted(range(len(want)), key=lambda s: (-room[s], s)):
+        inside = F.least(F.col("from") + F.col("n"), F.lit(start + room[s])) - F.greatest(F.col("from"), F.lit(start))
+        parts.append(F.struct(F.lit(s).alias("shard"), inside.cast("long").alias("n")))
+        start += room[s]
+    dealt = line.select("link", F.explode(F.filter(F.array(*parts), lambda p: p["n"] > 0)).alias("p")).select("link", "p.shard", "p.n")
+    return settle(marked.filter(~(F.col("out") | over)).select("link", "shard", "n").unionAll(dealt), "shard-cells")
+
+
 def balanced_shards(docs: DataFrame, shards: int = SHARDS, rounds: int = ROUNDS, seed: int = SEED) -> DataFrame:
     """``docs`` (a stored table with ``doc_id`` and ``link``) with ``shard`` and ``slot``; ``link`` groups neighbours.
 
@@ -68,6 +93,7 @@ def balanced_shards(docs: DataFrame, shards: int = SHARDS, rounds: int = ROUNDS,
         cells, moved = propagate(cells, min(want), shards, seed)
         if not moved:
             break
+    cells = deal_whole(cells, want, seed)
     kept = [min(w, load) for w, load in zip(want, _loads(cells, shards))]
     by_link = W.partitionBy("link").orderBy("shard").rowsBetween(W.unboundedPreceding, -1)
     cells = running_sums(cells, ["shard"], F.pmod(F.xxhash64("link"), F.lit(BINS)).cast("int"), ["link"], F.col("n"), "at")

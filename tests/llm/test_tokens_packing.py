@@ -13,7 +13,7 @@ from tonelake.llm.tokens import Encoder, TokenCache, count_tokens, tokenizer_pat
 from tonelake.session import work_path
 
 PATH = tokenizer_path("byte_bpe_50k.json")
-TOKENIZER, ENCODER = Tokenizer.from_file(PATH), Encoder(PATH, chunks=50, parts=50)
+TOKENIZER, ENCODER = Tokenizer.from_file(PATH), Encoder(PATH)
 
 
 def ids(text):

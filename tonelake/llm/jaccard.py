@@ -144,11 +144,18 @@ def signatures(docs: DataFrame, forest: Forest, length: int, id_col: str, text_c
 
 
 def candidate_components(nodes: DataFrame) -> DataFrame:
-    """``node, label``: components of nodes (with keys) that share a bucket; loners have no row."""
+    """``node, label``: components of nodes (with keys) that share a bucket; loners have no row.
+
+    A node is joined to the least hub of its buckets, and its other hubs to that one. Nodes of a group share
+    their hubs, so hardly any of these edges are distinct, and only hubs go through the rounds.
+    """
     buckets = nodes.select("node", F.explode("keys").alias("key"))
     hubs = settle(buckets.groupBy("key").agg(F.min("node").alias("hub"), F.max("node").alias("last")).filter("hub != last").select("key", "hub"), "buckets")
-    edges = buckets.join(hubs, "key").filter("node != hub").select(F.col("node").alias("a"), F.col("hub").alias("b"))
-    return components(edges)
+    # A node has one hub in each tree at most.
+    joined = settle(buckets.join(hubs, "key").groupBy("node").agg(F.min("hub").alias("least"), F.collect_set("hub").alias("hubs")), "node-hubs")
+    edges = joined.select(F.col("least").alias("a"), F.explode("hubs").alias("b")).filter("a != b").distinct()
+    labels = components(edges).withColumnRenamed("node", "least")
+    return joined.select("node", "least").join(labels, "least", "left").select("node", F.coalesce("label", "least").alias("label"))
 
 
 def intersections(left: list[np.ndarray], right: list[np.ndarray] | None = None, width: int = 4096) -> np.ndarray:

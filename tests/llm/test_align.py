@@ -3,6 +3,7 @@
 import hashlib
 from collections import Counter, defaultdict
 
+import numpy as np
 import pytest
 import sentencepiece
 from hypothesis import given, settings
@@ -97,7 +98,9 @@ def test_empty_tokens_link_with_all_that_end_there():
     keys, last_a, last_b = align.common_ends(ends_a, ends_b)
     assert (keys, last_a, last_b) == ([2, 5], [1, 2], [0, 2])
     assert align.links(ends_a, ends_b, keys, last_a, last_b) == ([0, 1, 2, 2], [0, 0, 1, 2])
-    assert align.group_text(["1", "2", "3"], ["7", "8", "9"], last_a, last_b) == "1,2|7;3|8,9"
+    both = align.pair(PATH_A, PATH_B)
+    out = align.laid_out(*(np.array(x) for x in ([1, 2, 3], [7, 8, 9], last_a, last_b)), both.n_a, both.n_b)
+    assert "".join(both.names[out]) == "1,2|7;3|8,9;"
 
 
 @pytest.mark.parametrize("vocabulary", [PATH_A])

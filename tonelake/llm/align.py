@@ -2,7 +2,7 @@
 
 Per text the ends of both token lists are running sums of byte lengths, kept as dictionaries from end to
 index. The keys they share, sorted, cut both lists into groups that cover the same bytes, and a group's
-links are the pairs of its tokens that end where it ends.
+links are the pairs of its tokens that end where it ends. The slices of many texts are laid out together.
 
 Linked tokens end together, so the bytes of the shorter are the end of the longer's. A token has no more
 ends than bytes, so the distinct linked pairs are at most the bytes of both vocabularies (about a
@@ -42,16 +42,21 @@ class Pair:
         bytes_a, self.bytes_b = byte_tokens(path_a), piece_bytes(self.b)
         self.length_a = np.array([len(t) for t in bytes_a], np.int64)
         self.length_b = np.array([len(t) for t in self.bytes_b], np.int64)
-        self.name_a, self.name_b = [str(i) for i in range(len(bytes_a))], [str(i) for i in range(len(self.bytes_b))]
+        self.n_a, self.n_b = len(bytes_a), len(self.bytes_b)
+        # Decimal ids with what may follow: in A a comma or the bar, in B a comma or the next group.
+        ends = [(self.n_a, ","), (self.n_a, "|"), (self.n_b, ","), (self.n_b, ";")]
+        self.names = np.array([f"{i}{sign}" for n, sign in ends for i in range(n)], object)
 
-    def encode(self, texts: list[str]) -> Iterator[tuple[list[int], list[int]]]:
+    def encode(self, texts: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         """Ids of A and B of each text; none where a tokenizer does not give the text's bytes."""
+        none = np.zeros(0, np.int64)
+        of_piece = self.bytes_b.__getitem__
         for text in texts:
             ids_b = self.b.encode(text, num_threads=1) if text else []
-            if not text or b"".join([self.bytes_b[i] for i in ids_b]) != b" " + text.encode():
-                yield [], []
-            else:
-                yield self.a.encode_ordinary(" " + text), ids_b  # a byte-level encoder keeps all bytes
+            if not text or b"".join(map(of_piece, ids_b)) != b" " + text.encode():
+                yield none, none
+            else:  # a byte-level encoder keeps all bytes
+                yield np.asarray(self.a.encode_ordinary(" " + text), np.int64), np.asarray(ids_b, np.int64)
 
 
 def piece_bytes(model) -> list[bytes]:
@@ -69,21 +74,24 @@ def pair(path_a: str, path_b: str) -> Pair:
     return Pair(path_a, path_b)
 
 
-def common_ends(ends_a: list[int], ends_b: list[int]) -> tuple[list[int], list[int], list[int]]:
-    """The sorted ends that both lists have, and the index of the last token with each end in either."""
-    at_a, at_b = dict(zip(ends_a, range(len(ends_a)))), dict(zip(ends_b, range(len(ends_b))))
+def common_ends(ends_a: list[int], ends_b: list[int], first_a: int = 0, first_b: int = 0) -> tuple[list[int], list[int], list[int]]:
+    """The sorted ends that both lists have, and the index of the last token with each end in either, counted from the first ones."""
+    at_a, at_b = dict(zip(ends_a, range(first_a, first_a + len(ends_a)))), dict(zip(ends_b, range(first_b, first_b + len(ends_b))))
     keys = sorted(at_a.keys() & at_b.keys())
     return keys, [at_a[k] for k in keys], [at_b[k] for k in keys]
 
 
-def group_text(names_a: list[str], names_b: list[str], last_a: list[int], last_b: list[int]) -> str:
-    """``a1,a2|b1;a3|b2,b3``: both lists cut after the given indexes."""
-    out, i, j = [], 0, 0
-    for x, y in zip(last_a, last_b):
-        left = names_a[x] if x == i else ",".join(names_a[i : x + 1])
-        out.append(left + "|" + (names_b[y] if y == j else ",".join(names_b[j : y + 1])))
-        i, j = x + 1, y + 1
-    return ";".join(out)
+def laid_out(a: np.ndarray, b: np.ndarray, last_a: np.ndarray, last_b: np.ndarray, n_a: int, n_b: int) -> np.ndarray:
+    """Both id lists cut after the given indexes: each A slice and then its B slice, as places in :attr:`Pair.names`."""
+    of_a, of_b = a.copy(), b + 2 * n_a
+    of_a[last_a] += n_a
+    of_b[last_b] += n_b
+    before_a = np.repeat(np.concatenate([[0], last_b[:-1] + 1]), np.diff(last_a, prepend=-1))
+    before_b = np.repeat(last_a + 1, np.diff(last_b, prepend=-1))
+    out = np.empty(len(a) + len(b), np.int64)
+    out[np.arange(len(a)) + before_a] = of_a
+    out[np.arange(len(b)) + before_b] = of_b
+    return out
 
 
 def links(ends_a: list[int], ends_b: list[int], keys: list[int], last_a: list[int], last_b: list[int]) -> tuple[list[int], list[int]]:
@@ -101,6 +109,31 @@ def links(ends_a: list[int], ends_b: list[int], keys: list[int], last_a: list[in
     return out_a, out_b
 
 
+def align_texts(both: Pair, texts: list[str]) -> tuple[np.ndarray, list[str], list[np.ndarray], np.ndarray]:
+    """Per text the four counts and its groups; and of all linked id pairs text, code (A id, B id) and times."""
+    found = list(both.encode(texts))
+    a, b = (np.concatenate([f[k] for f in found]) for k in (0, 1))
+    first_a, first_b = (np.cumsum([0] + [len(f[k]) for f in found]) for k in (0, 1))
+    # Bytes of earlier texts are in the ends of later ones, on both sides alike.
+    ends_a, ends_b = np.cumsum(both.length_a[a]).tolist(), np.cumsum(both.length_b[b]).tolist()
+    keys, last_a, last_b, first_key = [], [], [], [0]
+    for i, j, k, m in zip(first_a[:-1].tolist(), first_a[1:].tolist(), first_b[:-1].tolist(), first_b[1:].tolist()):
+        for whole, part in zip((keys, last_a, last_b), common_ends(ends_a[i:j], ends_b[k:m], i, k)):
+            whole += part
+        first_key.append(len(keys))
+    empty = not (both.length_a.all() and both.length_b.all())
+    linked_a, linked_b = (np.array(x, np.int64) for x in (links(ends_a, ends_b, keys, last_a, last_b) if empty else (last_a, last_b)))
+    text_of = np.searchsorted(first_a, linked_a, "right") - 1
+    last_a, last_b = np.array(last_a, np.int64), np.array(last_b, np.int64)
+    names = both.names[laid_out(a, b, last_a, last_b, both.n_a, both.n_b)].tolist()
+    first = (first_a + first_b).tolist()
+    groups = ["".join(names[x:y])[:-1] for x, y in zip(first[:-1], first[1:])]
+    code, times = np.unique(text_of << 42 | a[linked_a] * both.n_b + b[linked_b], return_counts=True)
+    text_of_code, code = code >> 42, code & ((1 << 42) - 1)
+    counts = np.stack([np.diff(first_a), np.diff(first_b), np.diff(first_key), np.bincount(text_of, minlength=len(texts))])
+    return counts, groups, [text_of_code, code // both.n_b << 32 | code % both.n_b], times
+
+
 def aligned(docs: DataFrame, path_a: str, path_b: str, id_col: str, text_col: str) -> DataFrame:
     """Per row ``doc_id, n_a, n_b, n_groups, n_links, groups_sha256`` and its linked id pairs as ``codes`` with ``times``."""
     ids = docs.schema[id_col].dataType.simpleString()
@@ -111,24 +144,11 @@ def aligned(docs: DataFrame, path_a: str, path_b: str, id_col: str, text_col: st
                 yield align(batch.slice(low, ROWS))
 
     def align(batch: pa.RecordBatch) -> pa.RecordBatch:
-        both = pair(path_a, path_b)
-        empty = not (both.length_a.all() and both.length_b.all())
-        numbers, digests, codes, times = [], [], [], []
-        for ids_a, ids_b in both.encode([t or "" for t in batch.column("text").to_pylist()]):
-            a, b = np.array(ids_a, np.int64), np.array(ids_b, np.int64)
-            ends_a, ends_b = np.cumsum(both.length_a[a]).tolist(), np.cumsum(both.length_b[b]).tolist()
-            keys, last_a, last_b = common_ends(ends_a, ends_b)
-            text = group_text([both.name_a[i] for i in ids_a], [both.name_b[i] for i in ids_b], last_a, last_b)
-            linked_a, linked_b = links(ends_a, ends_b, keys, last_a, last_b) if empty else (last_a, last_b)
-            code, n = np.unique(a[linked_a] << 32 | b[linked_b], return_counts=True) if keys else (a, b)
-            numbers.append((len(ids_a), len(ids_b), len(keys), len(linked_a)))
-            digests.append(hashlib.sha256(text.encode()).hexdigest() if ids_a else "")
-            codes.append(code)
-            times.append(n)
-        offsets = pa.array(np.cumsum([0] + [len(c) for c in codes]), pa.int32())
-        columns = [pa.array(c, pa.int64()) for c in np.array(numbers, np.int64).reshape(-1, 4).T]
-        lists = [pa.ListArray.from_arrays(offsets, pa.array(np.concatenate(codes), pa.int64())), pa.ListArray.from_arrays(offsets, pa.array(np.concatenate(times).astype(np.int32), pa.int32()))]
-        return pa.RecordBatch.from_arrays([batch.column("doc_id"), *columns, pa.array(digests), *lists], ["doc_id", "n_a", "n_b", "n_groups", "n_links", "groups_sha256", "codes", "times"])
+        counts, groups, (text_of, code), times = align_texts(pair(path_a, path_b), [t or "" for t in batch.column("text").to_pylist()])
+        offsets = pa.array(np.searchsorted(text_of, np.arange(batch.num_rows + 1)), pa.int32())
+        digests = pa.array([hashlib.sha256(g.encode()).hexdigest() if g else "" for g in groups])
+        lists = [pa.ListArray.from_arrays(offsets, pa.array(code)), pa.ListArray.from_arrays(offsets, pa.array(times.astype(np.int32)))]
+        return pa.RecordBatch.from_arrays([batch.column("doc_id"), *map(pa.array, counts), digests, *lists], ["doc_id", "n_a", "n_b", "n_groups", "n_links", "groups_sha256", "codes", "times"])
 
     source = docs.select(docs[id_col].alias("doc_id"), docs[text_col].alias("text"))
     return source.mapInArrow(run, f"doc_id {ids}, n_a long, n_b long, n_groups long, n_links long, groups_sha256 string, codes array<long>, times array<int>")

@@ -41,6 +41,11 @@ def value(spark, expression, **columns):
     return row.select(F.expr(expression).alias("x")).first().x
 
 
+def match(spark, feature, target, **columns):
+    values = np.array([value(spark, sig.feature_value(feature), **columns)])
+    return sig.matches(feature, values, np.array([target]))[0, 0]
+
+
 @pytest.mark.parametrize("feature,columns,target,expected", [
     ("valence", {"valence": 0.05}, -0.55, 0.0111), ("valence", {"valence": -0.50}, -0.55, 0.9692),
     ("valence", {"valence": -0.30}, -0.55, 0.4578), ("arousal", {"arousal": 0.75}, 0.82, 0.8825),
@@ -51,7 +56,7 @@ def value(spark, expression, **columns):
     ("valence", {"valence": 0.3}, -0.2, math.exp(-0.25 / 0.08) * 0.15), ("arousal", {"arousal": 0.2}, 0.6, math.exp(-0.16 / 0.0392) * 0.2),
 ])
 def test_feature_match(spark, feature, columns, target, expected):
-    assert value(spark, sig.feature_match(feature, f"{target}D"), **columns) == pytest.approx(expected, abs=1e-4)
+    assert match(spark, feature, target, **columns) == pytest.approx(expected, abs=1e-4)
 
 
 def expected_scores(songs, prompt_vectors, clap_vectors, plan_rows):
@@ -155,9 +160,44 @@ def test_plan_shape(spark):
     songs = spark.createDataFrame([song(i, clap=[1.0, 0.0]) for i in range(8)], SCHEMA)
     ranked = rk.rank_prompts(songs, plans(spark, ["sad"], [[1.0, 0.0]], {0: [1.0, 0.0]}))
     text = ranked._jdf.queryExecution().executedPlan().toString()
-    assert "CartesianProduct" not in text and "BroadcastNestedLoopJoin" not in text
-    assert text.count("ArrowEvalPython") == 1  # both similarities in one pass
-    assert text.count("WindowGroupLimit") == 4 and "BroadcastHashJoin" in text
+    assert "Join" not in text and text.count("MapInArrow") == 1
+    assert "Sort" not in text[text.index("MapInArrow"):]  # pairs are not sorted: tasks hand on a prompt's limit at most
+
+
+def test_tasks_hand_on_the_limit_and_change_no_setting(spark):
+    rng = np.random.default_rng(6)
+    rows = [song(i, tuple(rng.normal(size=2).tolist()), valence=float(rng.uniform(-1, 1)), bpm=float(rng.integers(60, 180))) for i in range(900)]
+    songs = spark.createDataFrame(rows, SCHEMA).repartition(3)
+    df = plans(spark, ["sad", "happy but not energetic", "hype workout"], [[1.0, 0.0], [0.2, 1.0], [-1.0, 0.5]], limit=7)
+    before = dict(spark.conf.getAll)
+    best = rk.best_in_tasks(songs, rk.Batch(df), RULES)
+    assert best.groupBy(F.spark_partition_id(), "query_id").count().agg(F.max("count")).first()[0] == 7
+    assert dict(spark.conf.getAll) == before
+    everything = {}
+    for r in rk.score_batch(songs, rk.Batch(df), RULES).collect():
+        everything.setdefault(r.query_id, []).append((r.score, r.song_id))
+    got = {}
+    for r in rk.rank_prompts(songs, df).orderBy("query_id", "rank").collect():
+        got.setdefault(r.query_id, []).append((r.score, r.song_id))
+    assert got == {k: sorted(v, reverse=True)[:7] for k, v in everything.items()}
+
+
+def test_songs_below_the_ceiling_are_not_scored(spark):
+    rng = np.random.default_rng(1)
+    rows = spark.createDataFrame([song(i, tuple(rng.normal(size=2).tolist())) for i in range(500)], SCHEMA)
+    scorer = rk.Scorer(rows, rk.Batch(plans(spark, ["xyz"], [[1.0, 0.0]], limit=3)), RULES)
+    full = []
+    complete = scorer.complete
+    scorer.complete = lambda block, at, found: full.append(len(at)) or complete(block, at, found)
+    scorer.rows, best, scores = 50, rk.Best(scorer.limits), []
+    for block in scorer.blocks(scorer.inputs(rows, RULES).toArrow().to_batches()):
+        at, found = scorer.similarities(block)
+        scores += complete(block, at, found)["score"][:, 0].tolist()
+        assert (scorer.ceiling(found)[:, 0] >= scores[-len(at) :]).all()
+        open_ = (scorer.ceiling(found) >= best.least).any(axis=1)
+        out = scorer.complete(block, at[open_], {c: v[open_] for c, v in found.items()})
+        best.add(0, out["score"][:, 0], rk._song_ids(block)[at[open_]], out["semantic_score"][:, 0])
+    assert sum(full) < 400 and sorted(best.rows[0][0]) == sorted(scores)[-3:]
 
 
 def test_hydrate_drops_missing_songs(spark):
@@ -170,7 +210,6 @@ def test_hydrate_drops_missing_songs(spark):
 def test_any_limit_takes_the_same_way(spark, limit):
     songs = spark.createDataFrame([song(i) for i in range(1500)], SCHEMA)
     ranked = rk.rank_prompts(songs, plans(spark, ["sad"], [[1.0, 0.0]], limit=limit))
-    assert ranked._jdf.queryExecution().executedPlan().toString().count("WindowGroupLimit") == 4
     assert sorted(r["rank"] for r in ranked.collect()) == list(range(1, limit + 1))
 
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -26,6 +27,13 @@ def stable_round(x: Column, digits: int) -> Column:
     return F.signum(x) * (billionths / F.lit(step)) / F.lit(float(10**digits)) + F.lit(0.0)
 
 
+def stable_round_array(x: np.ndarray, digits: int) -> np.ndarray:
+    """:func:`stable_round` of an array, to the same numbers."""
+    step = float(10 ** (9 - digits))
+    half = np.floor(np.abs(x) * 1e9 + 0.5) + (step / 2 if digits < 9 else 0.0)
+    return np.sign(x) * ((half - np.fmod(half, step) if digits < 9 else half) / step) / float(10**digits) + 0.0
+
+
 def js_round(x: Column) -> Column:
     """Round half towards positive infinity."""
     return F.floor(x + F.lit(0.5))

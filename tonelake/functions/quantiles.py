@@ -1,45 +1,92 @@
-"""Exact percentiles per key that hold when one key owns a large share of the rows."""
+"""Exact percentiles per key by radix selection: ranks are found by counts, no values are sorted."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tonelake.functions.vectors import as_input
 from tonelake.session import settle
 
-BUCKETS = 64
-ACCURACY = 1000
+#: Values of a key that Spark's own exact aggregate may hold in one task.
+FEW = 1 << 16
+#: Bits of a value that are left after each pass.
+SHIFTS = (44, 22, 0)
 
 
-def exact_percentiles(
-    df: DataFrame, key: str, value: str, probs: dict[str, float], buckets: int = BUCKETS
-) -> DataFrame:
+def ordered_bits(value: Column) -> Column:
+    """The bits of a double as a long that sorts as the double does; both zeros are one."""
+
+    @F.arrow_udf("long")
+    def bits(batch: pa.Array) -> pa.Array:
+        raw = (batch.to_numpy(zero_copy_only=False) + 0.0).view(np.int64)
+        return pa.array(raw ^ ((raw >> 63) & np.int64(0x7FFFFFFFFFFFFFFF)))
+
+    return bits(as_input(value))
+
+
+def double_of(bits: Column) -> Column:
+    """The double of :func:`ordered_bits`."""
+
+    @F.arrow_udf("double")
+    def value(batch: pa.Array) -> pa.Array:
+        raw = batch.to_numpy(zero_copy_only=False)
+        return pa.array((raw ^ ((raw >> 63) & np.int64(0x7FFFFFFFFFFFFFFF))).view(np.float64))
+
+    return value(as_input(bits))
+
+
+def select_ranks(codes: DataFrame, ranks: DataFrame, key: str, shifts: tuple[int, ...] = SHIFTS) -> DataFrame:
+    """``key, _rank, _v``: for each row of ``ranks`` (key, _rank from 0) the value of that rank among the key's ``_u``.
+
+    Each pass counts, on the map side first, the leading bits of values that share the bits found so far
+    with a wanted rank, and the counts in order say where the rank lies. A pass orders at most 2**22
+    counts of a key and bucket, and ends the search where buckets hold one value each.
+    """
+    open_ = ranks.select(key, "_rank", F.col("_rank").alias("_left"))
+    before = None
+    for shift in shifts:
+        wanted = codes
+        group = [key]
+        if before is not None:
+            wanted = codes.withColumn("_prefix", F.shiftright("_u", before)).join(open_.select(key, "_prefix").distinct(), [key, "_prefix"], "left_semi")
+            group = [key, "_prefix"]
+        counts = wanted.groupBy(*group, F.shiftright("_u", shift).alias("_next")).agg(F.count("*").alias("_c"), F.min("_u").alias("_least"), F.max("_u").alias("_most"))
+        upto = F.sum("_c").over(Window.partitionBy(*group).orderBy("_next"))
+        starts = counts.withColumn("_first", upto - F.col("_c"))
+        joined = open_.select(*group, "_rank", "_left").join(starts, group)
+        inside = (F.col("_left") >= F.col("_first")) & (F.col("_left") < F.col("_first") + F.col("_c"))
+        open_ = settle(joined.filter(inside).select(key, "_rank", (F.col("_left") - F.col("_first")).alias("_left"), F.col("_next").alias("_prefix"), "_least", "_most"), "ranks")
+        if open_.filter("_least < _most").isEmpty():
+            break
+        before = shift
+    return open_.select(key, "_rank", double_of(F.col("_least")).alias("_v"))
+
+
+def exact_percentiles(df: DataFrame, key: str, value: str, probs: dict[str, float], few: int = FEW, shifts: tuple[int, ...] = SHIFTS) -> DataFrame:
     """Linear-interpolated percentiles of ``value`` per ``key``; one column per entry of probs.
 
-    Equal values of a key become one row with a count before anything else. Approximate quantiles of
-    a key's values cut them into up to ``buckets`` buckets of like size, however they are spread;
-    counts of buckets say where each begins, and values are ordered within a bucket only. The ranks
-    read from there are exact. Missing values don't count; every key takes this one way.
+    A key with up to ``few`` values is read by Spark's own exact aggregate, which merges counts of equal
+    values on the map side. Of a key with more, however many, the ranks next to each percentile are selected by their
+    leading bits. Missing values don't count.
     """
     v = F.col(value).cast("double")
     rows = df.select(key, v.alias("_v")).filter(v.isNotNull() & ~F.isnan(v))
-    counts = settle(rows.groupBy(key, "_v").agg(F.count("*").alias("_c")), "value-counts")
-    shares = F.lit([i / buckets for i in range(1, buckets)])
-    cuts = counts.groupBy(key).agg(F.sum("_c").alias("_n"), F.percentile_approx("_v", shares, ACCURACY).alias("_cuts"))
-    bucket = F.size(F.filter("_cuts", lambda c: c < F.col("_v")))
-    placed = counts.join(cuts, key).select(key, "_v", "_c", "_n", bucket.alias("_b"))
-    before = Window.partitionBy(key).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
-    starts = placed.groupBy(key, "_b").agg(F.sum("_c").alias("_s"))
-    starts = starts.select(key, "_b", F.coalesce(F.sum("_s").over(before), F.lit(0)).alias("_before"))
-    within = Window.partitionBy(key, "_b").orderBy("_v").rowsBetween(Window.unboundedPreceding, -1)
-    placed = placed.withColumn("_inside", F.coalesce(F.sum("_c").over(within), F.lit(0))).join(starts, [key, "_b"])
-    first = F.col("_before") + F.col("_inside")
-    holds = lambda rank: (rank >= first) & (rank < first + F.col("_c"))
+    sizes = settle(rows.groupBy(key).agg(F.count("*").alias("_n")), "key-sizes")
+    small = lambda of: of.groupBy(key).agg(F.percentile("_v", F.lit(list(probs.values()))).alias("_p")).select(key, *[F.get("_p", F.lit(i)).alias(n) for i, n in enumerate(probs)])
+    many = sizes.filter(F.col("_n") > few)
+    if many.isEmpty():
+        return small(rows)
+    codes = settle(rows.join(many, key, "left_semi").select(key, ordered_bits(F.col("_v")).alias("_u")), "value-bits")
     at = {n: F.lit(float(p)) * (F.col("_n") - 1) for n, p in probs.items()}
-    ends = [
-        F.max(F.when(holds(end(at[n])), F.col("_v"))).alias(f"_{side}_{n}")
-        for n in probs for side, end in (("low", F.floor), ("high", F.ceil))
-    ]
-    found = placed.groupBy(key).agg(F.max("_n").alias("_n"), *ends)
+    ends = F.array_distinct(F.flatten(F.array(*[F.array(F.floor(x), F.ceil(x)) for x in at.values()])))
+    found = settle(select_ranks(codes, many.select(key, F.explode(ends).alias("_rank")), key, shifts), "selected")
+    joined = many.join(found, key).groupBy(key).agg(
+        F.max("_n").alias("_n"),
+        *[F.max(F.when(F.col("_rank") == end(at[n]), F.col("_v"))).alias(f"_{side}_{n}") for n in probs for side, end in (("low", F.floor), ("high", F.ceil))],
+    )
     part = lambda n: at[n] - F.floor(at[n])
-    return found.select(key, *[(F.col(f"_low_{n}") + (F.col(f"_high_{n}") - F.col(f"_low_{n}")) * part(n)).alias(n) for n in probs])
+    large = joined.select(key, *[(F.col(f"_low_{n}") + (F.col(f"_high_{n}") - F.col(f"_low_{n}")) * part(n)).alias(n) for n in probs])
+    return small(rows.join(many, key, "left_anti")).unionByName(large)

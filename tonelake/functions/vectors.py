@@ -106,27 +106,6 @@ def similarity(rows: np.ndarray, prompts: np.ndarray, cosine: bool) -> np.ndarra
     return sims
 
 
-def block_similarity(vectors: Column, prompts: np.ndarray, cosine: bool) -> Column:
-    """Similarity of each row's vector to every prompt of a batch, as an array in batch order.
-
-    One matrix product per Arrow batch. ``prompts`` is one bounded batch. A row whose vector is
-    missing or not finite gives NULL, one of another length raises.
-    """
-    dims = prompts.shape[1]
-    width = prompts.shape[0]
-
-    @F.arrow_udf("array<double>")
-    def similarities(batch: pa.Array) -> pa.Array:
-        rows, good = vector_matrix(batch, dims)
-        sims = similarity(rows, prompts, cosine)
-        offsets = np.concatenate([[0], np.cumsum(good * width)]).astype("int32")
-        return pa.ListArray.from_arrays(
-            pa.array(offsets), pa.array(sims.ravel()), mask=pa.array(~good)
-        )
-
-    return similarities(as_input(vectors))
-
-
 def similarity_bounds(
     songs: DataFrame, signals: dict[str, tuple[str, np.ndarray, bool]], needed: str
 ) -> DataFrame:
@@ -138,6 +117,7 @@ def similarity_bounds(
     """
     names = list(signals)
     width = max(m.shape[0] for _, m, _ in signals.values())
+    step = max(64, (1 << 20) // width)
 
     def reduce_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         low = {n: np.full(width, np.inf) for n in names}
@@ -149,8 +129,8 @@ def similarity_bounds(
                 _, prompts, cosine = signals[n]
                 rows, good = usable[n]
                 rows = rows[ranked[good]]
-                if len(rows):
-                    sims = similarity(rows, prompts, cosine)
+                for at in range(0, len(rows), step):
+                    sims = similarity(rows[at : at + step], prompts, cosine)
                     low[n] = np.minimum(low[n], sims.min(axis=0))
                     high[n] = np.maximum(high[n], sims.max(axis=0))
         ends = [pa.array(x[n], mask=~np.isfinite(x[n])) for n in names for x in (low, high)]

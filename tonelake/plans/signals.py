@@ -1,14 +1,18 @@
-"""The five signals of a (prompt, song) pair.
+"""The five signals of (song, prompt) pairs, in blocks.
 
-Everything that depends on the song alone (cleaned feature values, genres named by its tags, scores
-against a mood's profile) is computed once per song, before songs are paired with prompts; a pair
-then needs plain arithmetic on numbers. The formulas are written as Spark SQL text: one parse in
-the JVM instead of hundreds of column calls.
+What depends on the song alone is a row of numbers, made in the JVM. Prompts repeat each other: a
+batch sets few distinct targets, so every distinct (feature, target) pair is numbered once and matched
+once per song. A signal of all pairs of a block is then one product of that table with a matrix of
+weights.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from collections.abc import Iterable, Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tonelake.functions.numbers import let
@@ -41,24 +45,6 @@ def feature_value(feature: str) -> str:
     return "0D"
 
 
-def feature_match(feature: str, target: str, value: str | None = None) -> str:
-    """How well a value meets the target, 0 to 1. ``target`` and ``value`` are SQL text."""
-    v = value or f"({feature_value(feature)})"
-    if feature == "mode_major":
-        return f"CASE WHEN {v} = {target} THEN 1D ELSE 0D END"
-    sigma = FEATURE_SIGMA.get("mfcc" if feature.startswith("mfcc") else feature)
-    if sigma is None:
-        return "0D"
-    curve = f"exp(-({v} - {target}) * ({v} - {target}) / {2 * sigma * sigma}D)"
-    if feature == "valence":
-        wrong = f"({target} < -0.1D AND {v} > 0.1D) OR ({target} > 0.1D AND {v} < -0.1D)"
-        return f"{curve} * CASE WHEN {wrong} THEN {VALENCE_CONTRADICTION}D ELSE 1D END"
-    if feature == "arousal":
-        wrong = f"({target} > 0.5D AND {v} < 0.3D) OR ({target} < 0.3D AND {v} > 0.5D)"
-        return f"{curve} * CASE WHEN {wrong} THEN {AROUSAL_CONTRADICTION}D ELSE 1D END"
-    return f"CASE WHEN {v} > 0 THEN {curve} ELSE 0D END"
-
-
 def song_inputs(rules: Rulebook) -> list[Column]:
     """Per song: f_<feature> numbers and e_<emotion> shares; shares are NULL without usable lyrics."""
     usable = "coalesce(has_lyrics, false) AND coalesce(size(emotion_distribution), 0) > 0"
@@ -70,46 +56,11 @@ def song_inputs(rules: Rulebook) -> list[Column]:
     return [F.expr(x) for x in values + shares]
 
 
-def feature_score(profile: str, rules: Rulebook) -> Column:
-    """Weighted mean match over a plan's merged profile (a struct column), from song inputs.
-
-    A feature the song cannot match still adds its weight.
-    """
-    hits, weights = [], []
-    for f in rules.features:
-        target, weight = f"{profile}.{f}.target", f"{profile}.{f}.weight"
-        hits.append(f"CASE WHEN {weight} IS NULL THEN 0D ELSE ({feature_match(f, target, f'f_{f}')}) * {weight} END")
-        weights.append(f"coalesce({weight}, 0D)")
-    return F.expr(f"coalesce(({' + '.join(hits)}) / nullif({' + '.join(weights)}, 0D), 0D)")
-
-
-def mood_score(mood: str, rules: Rulebook) -> str:
-    """Weighted mean match of the song with one mood's own profile."""
-    profile = rules.profiles[mood]
-    hits = " + ".join(f"({feature_match(f, f'{t}D')}) * {w}D" for f, (t, w) in profile.items())
-    return f"({hits}) / {sum(w for _, w in profile.values())}D"
-
-
-def mood_scores(moods: list[str], rules: Rulebook) -> Column:
-    """Map mood -> score for the negated moods of a batch; once per song."""
-    if not moods:
-        return F.expr("cast(NULL AS map<string,double>)")
-    return F.expr("map(" + ", ".join(f"'{m}', {mood_score(m, rules)}" for m in moods) + ")")
-
-
-def negation_penalty(negated: str, scores: str) -> Column:
-    """Mean scaled score over the negated words that name a mood; other words do not count."""
-    hits = f"filter(transform({negated}, w -> try_element_at({scores}, w)), s -> s IS NOT NULL)"
-    total = f"aggregate(h, 0D, (a, s) -> a + s * {NEGATION_SCALE}D)"
-    mean = f"get(transform(array({hits}), h -> try_divide({total}, size(h))), 0)"
-    return F.expr(f"CASE WHEN size({negated}) > 0 THEN coalesce({mean}, 0D) ELSE 0D END")
-
-
 def song_genres(rules: Rulebook, genre: str = "genre", artist: str = "artist") -> Column:
-    """Rule genres with a keyword inside the song's genre or artist text."""
+    """Numbers of the rule genres with a keyword inside the song's genre or artist text."""
     table = literal(
-        [{"genre": g, "words": w} for g, w in rules.genres.items()],
-        "array<struct<genre:string,words:array<string>>>",
+        [{"number": k, "words": w} for k, w in enumerate(rules.genres.values())],
+        "array<struct<number:int,words:array<string>>>",
     )
     lowered = lambda c: F.lower(F.coalesce(F.col(c), F.lit("")))
     named = let(
@@ -119,23 +70,118 @@ def song_genres(rules: Rulebook, genre: str = "genre", artist: str = "artist") -
             lambda r: F.exists(r["words"], lambda w: F.contains(s["g"], w) | F.contains(s["a"], w)),
         ),
     )
-    return F.transform(named, lambda r: r["genre"])
-
-
-def genre_score(targets: str, of_song: str) -> Column:
-    """Share of the target genres that the song carries."""
-    shared = f"size(array_intersect({targets}, {of_song}))"
-    return F.expr(f"CASE WHEN size({targets}) > 0 THEN cast({shared} AS double) / size({targets}) ELSE 0D END")
-
+    return F.transform(named, lambda r: r["number"])
 
-def emotion_score(targets: str, rules: Rulebook) -> Column:
-    """1 minus the mean distance between the song's emotion shares and the targets."""
-    t = lambda e: f"{targets}.{e}"
-    distance = " + ".join(f"CASE WHEN {t(e)} IS NULL THEN 0D ELSE abs(e_{e} - {t(e)}) END" for e in rules.emotions)
-    n = " + ".join(f"CASE WHEN {t(e)} IS NULL THEN 0 ELSE 1 END" for e in rules.emotions)
-    return F.expr(f"CASE WHEN ({n}) > 0 THEN coalesce(greatest(0D, 1D - try_divide({distance}, {n})), 0D) ELSE 0D END")
 
-
-def min_max(value: str, low: str, high: str) -> Column:
+def matches(feature: str, values: np.ndarray, targets: np.ndarray) -> np.ndarray:
+    """How well each value meets each target, 0 to 1: values x targets."""
+    v, t = values[:, None], targets[None, :]
+    if feature == "mode_major":
+        return (v == t).astype(float)
+    sigma = FEATURE_SIGMA.get("mfcc" if feature.startswith("mfcc") else feature)
+    if sigma is None:
+        return np.zeros((len(values), len(targets)))
+    curve = np.exp(-(v - t) * (v - t) / (2 * sigma * sigma))
+    if feature == "valence":
+        return np.where(((t < -0.1) & (v > 0.1)) | ((t > 0.1) & (v < -0.1)), curve * VALENCE_CONTRADICTION, curve)
+    if feature == "arousal":
+        return np.where(((t > 0.5) & (v < 0.3)) | ((t < 0.3) & (v > 0.5)), curve * AROUSAL_CONTRADICTION, curve)
+    return np.where(v > 0, curve, 0.0)
+
+
+class Targets:
+    """Distinct (name, target) pairs, numbered as they come; pairs of a name lie together in the end."""
+
+    def __init__(self, pairs: Iterable[tuple[str, float]]):
+        by_name: dict[str, dict[float, None]] = {}
+        for name, target in pairs:
+            by_name.setdefault(name, {})[target] = None
+        self.by_name = {name: np.array(list(ts)) for name, ts in by_name.items()}
+        self.number = {pair: k for k, pair in enumerate((name, float(t)) for name, ts in self.by_name.items() for t in ts)}
+
+    def __len__(self) -> int:
+        return len(self.number)
+
+    def weights(self, rows: list[dict[str, tuple[float, float]]]) -> np.ndarray:
+        """Targets x rows, from each row's name -> (target, weight)."""
+        out = np.zeros((len(self), len(rows)))
+        for k, row in enumerate(rows):
+            for name, (target, weight) in row.items():
+                out[self.number[name, float(target)], k] = weight
+        return out
+
+    def table(self, columns: dict[str, np.ndarray], match) -> np.ndarray:
+        """Songs x targets by ``match(name, values, targets)``."""
+        n = len(next(iter(columns.values())))
+        return np.hstack([match(name, columns[name], ts) for name, ts in self.by_name.items()] or [np.zeros((n, 0))])
+
+
+def shares(total: np.ndarray, weights: np.ndarray) -> np.ndarray:
+    """Columns divided by their weight, 0 where there is none."""
+    whole = weights.sum(axis=0)
+    return np.divide(total, whole, out=np.zeros_like(total), where=whole > 0)
+
+
+class SongSignals:
+    """The signals of a batch's plans that do not come from vectors, for blocks of songs."""
+
+    def __init__(self, plans: list[dict], rules: Rulebook):
+        set_ = lambda struct: {k: v for k, v in (struct or {}).items() if v is not None}
+        profiles = [{f: (p["target"], p["weight"]) for f, p in set_(plan["profile"]).items()} for plan in plans]
+        emotions = [set_(plan["emotions"]) for plan in plans]
+        negated = [[w for w in plan["negated"] or [] if w in rules.profiles] for plan in plans]
+        self.moods = list(dict.fromkeys(w for ws in negated for w in ws))
+        moods = [rules.profiles[m] for m in self.moods]
+        self.features = Targets((f, t) for row in [*profiles, *moods] for f, (t, _) in row.items())
+        self.profile_weights, self.mood_weights = self.features.weights(profiles), self.features.weights(moods)
+        self.mood_shares = np.zeros((len(self.moods), len(plans)))
+        for k, ws in enumerate(negated):
+            for w in ws:
+                self.mood_shares[self.moods.index(w), k] += NEGATION_SCALE / len(ws)
+        self.emotions = Targets(pair for row in emotions for pair in row.items())
+        self.emotion_weights = self.emotions.weights([{e: (t, 1.0) for e, t in row.items()} for row in emotions])
+        self.genres = np.zeros((len(rules.genres), len(plans)))
+        at = {g: k for k, g in enumerate(rules.genres)}
+        for k, plan in enumerate(plans):
+            for g in plan["genres"] or []:
+                self.genres[at[g], k] = 1.0
+
+    def of(self, values: dict[str, np.ndarray], emotions: dict[str, np.ndarray], genres: np.ndarray) -> dict[str, np.ndarray]:
+        """Songs x prompts of each signal. ``genres``: songs x rule genres of 0 and 1."""
+        match = self.features.table(values, matches)
+        away = self.emotions.table(emotions, lambda _, v, t: np.abs(v[:, None] - t[None, :]))
+        distance = shares(away @ self.emotion_weights, self.emotion_weights)
+        near = np.maximum(0.0, 1.0 - distance)
+        wanted = self.emotion_weights.any(axis=0) if len(self.emotions) else np.zeros(self.emotion_weights.shape[1], bool)
+        return {
+            "features": shares(match @ self.profile_weights, self.profile_weights),
+            "genre": shares(genres @ self.genres, self.genres),
+            "emotion": np.where(wanted & ~np.isnan(near), near, 0.0),
+            "penalty": shares(match @ self.mood_weights, self.mood_weights) @ self.mood_shares,
+        }
+
+
+def min_max(values: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray:
     """Position between the lowest and highest value, with a floor on the range; missing -> 0."""
-    return F.expr(f"coalesce(({value} - {low}) / greatest({high} - {low}, {RANGE_FLOOR}D), 0D)")
+    return np.nan_to_num((values - low) / np.maximum(high - low, RANGE_FLOOR), nan=0.0)
+
+
+def mood_matches(songs: DataFrame, features: list[str], rules: Rulebook) -> DataFrame:
+    """``song_id, mood, feature, match``: every song against every mood that sets one of the features."""
+    wanted = [(m, f, t) for m, profile in rules.profiles.items() for f, (t, _) in profile.items() if f in features]
+    targets = Targets((f, t) for _, f, t in wanted)
+    numbers = np.array([targets.number[f, float(t)] for _, f, t in wanted], np.int64)
+    moods, names = pa.array([m for m, _, _ in wanted], pa.string()), pa.array([f for _, f, _ in wanted], pa.string())
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 1024):
+                block = batch.slice(at, 1024)
+                n = block.num_rows
+                table = targets.table({f: block.column(f"f_{f}").to_numpy() for f in targets.by_name}, matches)
+                row = pa.array(np.tile(np.arange(len(wanted)), n))
+                columns = [block.column("song_id").take(pa.array(np.repeat(np.arange(n), len(wanted)))), moods.take(row), names.take(row), pa.array(table[:, numbers].ravel())]
+                yield pa.RecordBatch.from_arrays(columns, ["song_id", "mood", "feature", "match"])
+
+    inputs = songs.select(F.col("id").alias("song_id"), *[F.expr(f"{feature_value(f)} AS f_{f}") for f in targets.by_name])
+    return inputs.mapInArrow(run, f"song_id {inputs.schema['song_id'].dataType.simpleString()}, mood string, feature string, match double")

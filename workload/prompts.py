@@ -9,7 +9,7 @@ from tonelake.functions.vectors import hashed_words
 from tonelake.plans import ranking as rk
 from tonelake.plans import signals as sig
 from tonelake.plans.prompt import letter_tokens, plan_prompts, prompt_table, split_negation, with_weights
-from tonelake.rules import ACOUSTIC_DOMINANT, EMOTION_DOMINANT, FEATURE_SIGMA, NEGATION_WORDS, default_rulebook, literal
+from tonelake.rules import ACOUSTIC_DOMINANT, EMOTION_DOMINANT, FEATURE_SIGMA, NEGATION_WORDS, default_rulebook
 from workload.registry import q, query, r, rule, text
 from workload.views import PROMPTS, duck
 
@@ -169,9 +169,7 @@ def batch_prompts(t, times: int = 1) -> DataFrame:
 
 
 def scored(t) -> DataFrame:
-    songs = t.songs
-    batch = rk.Batch(batch_prompts(t))
-    return rk.signal_columns(rk.pair_songs(songs, batch, rk.batch_plans(songs, batch, RULES), RULES), RULES)
+    return rk.score_batch(t.songs, rk.Batch(batch_prompts(t)))
 
 
 VECTORS = """
@@ -250,15 +248,8 @@ _signal("V9_negation_penalty", "penalty")
 
 
 def _mood_matches(t, features: list[str]) -> DataFrame:
-    """Every song against every mood that sets one of the features; the fixed rules open each row."""
-    rows, _ = RULES.rows("profiles")
-    table = literal(
-        [{"mood": m, "feature": f, "target": x} for m, f, x, _ in rows if f in features],
-        "array<struct<mood:string,feature:string,target:double>>",
-    )
-    pairs = t.songs.select(F.col("id").alias("song_id"), *sig.SCALARS, F.inline(table))
-    cases = " ".join(f"WHEN feature = '{f}' THEN {sig.feature_match(f, 'target')}" for f in features)
-    return pairs.select("song_id", "mood", "feature", r(F.expr(f"CASE {cases} ELSE 0D END")).alias("match"))
+    """Every song against every mood that sets one of the features."""
+    return sig.mood_matches(t.songs, features, RULES).withColumn("match", r(F.col("match")))
 
 
 def _mood_sql(features: list[str]) -> str:
@@ -279,7 +270,7 @@ def v6(t):
 
 @query("V10_ensemble_score", SCORING + "SELECT query_id, song_id, score, semantic_score FROM scores")
 def v10(t):
-    return rk.ensemble(scored(t)).drop("limit")
+    return scored(t).select("query_id", "song_id", "score", "semantic_score")
 
 
 @query("V11_ranked_playlist", SCORING + """SELECT query_id, CAST(rank AS INT) AS rank, song_id, score, semantic_score,
@@ -298,9 +289,8 @@ def j3(t):
 
 @query("J7_prompts_by_songs", SCORING + f"SELECT query_id, count(*) AS songs, {q('avg(score)')} AS mean_score, {q('max(score)')} AS best FROM scores GROUP BY 1")
 def j7(t):
-    return rk.ensemble(scored(t)).groupBy("query_id").agg(
-        F.count("*").alias("songs"), r(F.avg("score")).alias("mean_score"), r(F.max("score")).alias("best")
-    )
+    sums = rk.score_summary(t.songs, rk.Batch(batch_prompts(t)))
+    return sums.select("query_id", "songs", r(F.col("total") / F.col("songs")).alias("mean_score"), r(F.col("best")).alias("best"))
 
 
 @query("J8_hydrate_results", SCORING + "SELECT k.query_id, k.song_id, CAST(k.rank AS INT) AS rank, s.title, s.artist, s.filepath FROM ranked k JOIN songs s ON s.id = k.song_id WHERE rank <= 20")
@@ -311,11 +301,11 @@ def j8(t):
 
 @query("O1_top_songs", SCORING + "SELECT song_id, score FROM ranked WHERE query_id = 0 AND rank <= 20")
 def o1(t):
-    """One prompt: a plain top-k instead of a window."""
+    """One prompt is a batch of one: tasks keep its best songs, and a plain top-k follows."""
     vec = hashed_words(F.col("clean_query"))
     plans = plan_prompts(prompt_table(t.spark, PROMPTS[:1])).withColumn("query_vec", vec).withColumn("clap_vec", F.reverse(vec))
-    scores = rk.score_batch(t.songs, rk.Batch(plans), RULES)
-    return scores.orderBy(F.desc("score"), F.desc("song_id")).limit(20).select("song_id", "score")
+    best = rk.best_in_tasks(t.songs, rk.Batch(plans), RULES)
+    return best.orderBy(F.desc("score"), F.desc("song_id")).limit(20).select("song_id", "score")
 
 
 # ---------------------------------------------------------------- windows and sets over plans
@@ -338,8 +328,8 @@ def w2(t):
 
 @query("Window4_rank_per_query", SCORING + "SELECT query_id, song_id, CAST(rank AS INT) AS rank FROM ranked WHERE rank <= 5")
 def w4(t):
-    scores = rk.ensemble(scored(t)).withColumn("limit", F.lit(5))
-    return rk.top_rows(scores, 5).select("query_id", "song_id", "rank")
+    five = batch_prompts(t).withColumn("limit", F.lit(5))
+    return rk.rank_prompts(t.songs, five).select("query_id", "song_id", "rank")
 
 
 @query("U2_keyword_overlap", f"""WITH {TABLE_PROMPTS}, {NEGATION}, {KEYWORDS} SELECT query_id,

@@ -11,7 +11,8 @@ from pyspark.sql import functions as F
 
 from tonelake.functions import text as tx
 from tonelake.functions.numbers import js_round, stable_round
-from tonelake.functions.quantiles import exact_percentiles
+from tonelake.sources import lyrics_cache as lc
+from tonelake.functions.quantiles import double_of, exact_percentiles, ordered_bits
 from tonelake.functions.vectors import decode_float32, hashed_words, l2_normalise, with_model_vectors
 from tonelake.operators import describe as ds
 from tonelake.operators import emotion as em
@@ -38,11 +39,11 @@ def frame_rows(seed=1):
     return rows
 
 
-@pytest.mark.parametrize("buckets", [2, 5, 64])
-def test_percentiles_equal_numpy_for_any_buckets(spark, buckets):
-    rows = frame_rows()
+@pytest.mark.parametrize("few,shifts", [(1 << 16, (44, 22, 0)), (20, (44, 22, 0)), (1, (44, 22, 0)), (20, (60, 50, 33, 7, 0))])
+def test_percentiles_equal_numpy_for_any_passes(spark, few, shifts):
+    rows = frame_rows() + [("signs", x) for x in (-1e300, -2.5, -0.0, 0.0, 5e-324, -5e-324, 1.0, 7e200, -3.0) for _ in range(4)]
     df = spark.createDataFrame(rows + [("k1", None), ("k1", float("nan"))], "k string, v double").repartition(4)
-    got = {r.k: r for r in exact_percentiles(df, "k", "v", PROBS, buckets).collect()}
+    got = {r.k: r for r in exact_percentiles(df, "k", "v", PROBS, few, shifts).collect()}
     keys = {k for k, _ in rows}
     assert got.keys() == keys
     for k in keys:
@@ -52,14 +53,24 @@ def test_percentiles_equal_numpy_for_any_buckets(spark, buckets):
 
 
 def test_an_outlier_leaves_values_spread(spark):
-    """One far value does not put all others into one bucket."""
+    """One far value does not put all others into one bucket: leading bits tell small values apart as well as large ones."""
     df = spark.createDataFrame([("k", float(i)) for i in range(2000)] + [("k", 1e12)], "k string, v double")
-    plan = exact_percentiles(df, "k", "v", {"m": 0.5})
-    assert plan.first().m == 1000.0
-    cuts = df.agg(F.percentile_approx("v", [i / 64 for i in range(1, 64)], 1000)).first()[0]
-    assert len(set(cuts)) > 50 and max(cuts) < 2000
-    left = plan._jdf.queryExecution().optimizedPlan().toString()
-    assert "RDD" not in left and left.count("Relation") <= 4  # the rows are read once, then their counts only
+    assert exact_percentiles(df, "k", "v", {"m": 0.5}, few=10).first().m == 1000.0
+    codes = df.select(ordered_bits(F.col("v")).alias("u")).groupBy(F.shiftright("u", 44)).count()
+    assert codes.count() > 1000 and codes.agg(F.max("count")).first()[0] <= 4
+
+
+def test_bits_sort_as_doubles_do(spark):
+    values = [-math.inf, -1e300, -2.0, -1.5, -5e-324, 0.0, 5e-324, 1e-300, 1.0, 1.5, 7e200, math.inf]
+    rows = spark.createDataFrame([(v,) for v in values], "v double").select("v", ordered_bits(F.col("v")).alias("u"))
+    got = rows.select("v", "u", double_of(F.col("u")).alias("back")).collect()
+    assert [r.v for r in sorted(got, key=lambda r: r.u)] == values and all(r.v == r.back for r in got)
+
+
+def test_no_values_are_sorted(spark):
+    df = spark.createDataFrame(frame_rows(), "k string, v double")
+    plan = exact_percentiles(df, "k", "v", PROBS)._jdf.queryExecution().executedPlan().toString()
+    assert "Sort" not in plan.replace("SortAggregate", "") and "Window" not in plan
 
 
 def test_percentiles_known_values(spark):
@@ -223,6 +234,32 @@ def test_source_resolution(spark):
     assert got == {1: ("stored", "s"), 2: ("sidecar_lrc", None), 3: ("online", "o"), 4: ("cache", "c"), 5: ("sidecar_lrc", "long line here")}
 
 
+def test_no_text_is_shuffled_before_its_song_is_settled(spark, tmp_path):
+    rows = [(k % 5, s, k, f"text {k}") for k, s in enumerate(["tag", "online", "cache", "sidecar_lrc"] * 10)]
+    spark.createDataFrame(rows + rows, "song_id long, source string, ordinal long, text string").write.parquet(str(tmp_path / "c"))
+    picked = ly.resolve_sources(spark.read.parquet(str(tmp_path / "c")), ordinal="ordinal")
+    assert picked.count() == 5 and picked.filter("source = 'sidecar_lrc'").count() == 5
+    plan = picked._jdf.queryExecution().optimizedPlan().toString()
+    reduced = plan[plan.index("Aggregate [song_id") :] if plan.index("Aggregate [song_id") > plan.index("LeftSemi") else plan
+    aggregate = next(x for x in reduced.splitlines() if "min(struct" in x)
+    assert "text#" not in aggregate.split("min(struct")[1].split("_h")[0]
+
+
+def test_texts_are_written_back(spark):
+    songs = spark.createDataFrame(
+        [(1, "/a.mp3", "T", "A", "own"), (2, "/b.mp3", "T", "A", ""), (3, "/c.mp3", None, "A", None), (4, "/d.mp3", "T", "A", None), (5, "/e.mp3", "T", "A", None), (6, "/f.mp3", "T", "A", None)],
+        "id long, filepath string, title string, artist string, lyrics_text string",
+    )
+    key = {r.id: r.cache_key for r in lc.keyed(songs).collect()}
+    cache = spark.createDataFrame([(key[2], " kept "), (key[1], "unused"), (key[5], "  ")], "cache_key string, text string")
+    rows = [(1, "tag", "no"), (2, "tag", "later"), (3, "online", "net"), (3, "tag", "tagged"), (4, "sidecar_txt", ""), (4, "tag", "hidden"), (5, "sidecar_txt", "beside"), (6, "stored", "x"), (6, "cache", "y")]
+    found = lc.song_lyrics(songs, spark.createDataFrame(rows, "id long, source string, text string"), cache)
+    assert {(r.id, r.source, r.lyrics_text) for r in found.collect()} == {(1, "stored", "own"), (2, "cache", "kept"), (3, "tag", "tagged"), (5, "sidecar_txt", "beside")}
+    texts = {r.id: r.lyrics_text for r in lc.write_back(songs, found).collect()}
+    assert texts == {1: "own", 2: "kept", 3: "tagged", 4: None, 5: "beside", 6: None}
+    assert {(r.cache_key, r.text) for r in lc.cache_additions(songs, found, cache).collect()} == {(key[3], "tagged")}
+
+
 def test_lookup_fallback(spark):
     good = "\n".join(["some words of a song"] * 3)
     lrc = "\n".join(["[00:01.00] some words of a song"] * 3)

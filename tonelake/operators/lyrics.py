@@ -130,29 +130,48 @@ def analysis_text(text: Column) -> Column:
     return let(clean_lyrics(text), lambda c: F.when(c == "", text).otherwise(c))
 
 
+def priority_of(source: Column, order: dict[str, int]) -> Column:
+    """A source's place, NULL for an unknown one."""
+    place = F.lit(None).cast("int")
+    for name, at in order.items():
+        place = F.when(source == name, at).otherwise(place)
+    return place
+
+
+PLACE = ["_p", "_o", "_h"]
+
+
+def with_place(candidates: DataFrame, order: dict[str, int], ordinal: str | None, *texts: str) -> DataFrame:
+    """Add a candidate's place within its key: its source's, its ordinal, a hash of its texts (unless it has one)."""
+    place = {"_p": priority_of(F.col("source"), order), "_o": F.col(ordinal) if ordinal else F.lit(0)}
+    if "_h" not in candidates.columns:
+        place["_h"] = F.xxhash64(*texts)
+    return candidates.withColumns(place)
+
+
+def first_of_key(placed: DataFrame, usable: Column, key: str) -> DataFrame:
+    """The rows of ``placed`` with the least place among the usable ones of their key.
+
+    Places alone are reduced, on the map side first. Texts move only in the join that fetches the winners,
+    dealt by key and place, so a key with many candidates is no single task's; equal rows lie together there.
+    """
+    rows = placed.filter(F.col("_p").isNotNull() & usable)
+    least = rows.groupBy(key).agg(F.min(F.struct(*PLACE)).alias("_least")).select(key, *[f"_least.{c}" for c in PLACE])
+    return rows.join(least, [key, *PLACE], "left_semi").dropDuplicates([key, *PLACE])
+
+
 def resolve_sources(candidates: DataFrame, key: str = "song_id", ordinal: str | None = None) -> DataFrame:
     """First filled source by priority, from rows (key, source, text).
 
-    Of several rows of a source the least ``ordinal`` counts, or the least text where none is named.
-
-    A sidecar file that exists settles the matter even when it is empty. ``min_by`` combines on the
-    map side, so no key's texts are gathered.
+    Of several rows of a source the least ``ordinal`` counts, then the least hash of the text. A sidecar
+    file that exists settles the matter even when it is empty.
     """
-    priority = F.lit(None).cast("int")
-    for s, p in SOURCE_PRIORITY.items():
-        priority = F.when(F.col("source") == s, p).otherwise(priority)
-    text = F.when(F.col("source") == "cache", strip(F.col("text"))).when(
-        F.col("source") == "sidecar_lrc", clean_lyrics(F.col("text"))
-    ).otherwise(F.col("text"))
-    rows = candidates.select(key, "source", text.alias("text"), F.struct(priority.alias("p"), (F.col(ordinal) if ordinal else text).alias("o")).alias("_p"))
-    rows = rows.filter(
-        F.col("_p.p").isNotNull()
-        & ((F.coalesce("text", F.lit("")) != "") | F.col("source").startswith("sidecar"))
-    )
-    picked = rows.groupBy(key).agg(F.min_by(F.struct("source", "text"), "_p").alias("_b"))
-    return picked.select(
-        key, F.col("_b.source").alias("source"), F.nullif(F.col("_b.text"), F.lit("")).alias("lyrics_text")
-    )
+    source, text = F.col("source"), F.col("text")
+    filled = F.when(source == "cache", strip(text)).otherwise(text) != ""
+    usable = source.startswith("sidecar") | F.coalesce(filled, F.lit(False))
+    picked = first_of_key(with_place(candidates, SOURCE_PRIORITY, ordinal, "text"), usable, key)
+    found = F.when(source == "cache", strip(text)).when(source == "sidecar_lrc", clean_lyrics(text)).otherwise(text)
+    return picked.select(key, "source", F.nullif(found, F.lit("")).alias("lyrics_text"))
 
 
 def lookup_text(source: Column, text: Column, synced: Column) -> Column:
@@ -166,21 +185,15 @@ def resolve_lookup(candidates: DataFrame, key: str = "song_id", ordinal: str | N
     """First good result by source order, from rows (key, title, artist, source, text, synced).
 
     Instrumental artists get none; sources that need an artist are skipped without one. Of several
-    rows of a source the least ``ordinal`` counts, or the least text where none is named.
+    rows of a source the least ``ordinal`` counts, then the least hash of the texts.
     """
     artist = F.coalesce("artist", F.lit(""))
-    priority = F.lit(None).cast("int")
-    for s, p in LOOKUP_PRIORITY.items():
-        priority = F.when(F.col("source") == s, p).otherwise(priority)
     needs_artist = F.col("source").isin("ovh", "genius_title")
-    rows = candidates.filter(
+    asked = candidates.filter(
         (F.coalesce("title", F.lit("")) != "")
         & ~is_instrumental_artist(F.col("artist"))
         & (~needs_artist | (clean_lookup(artist) != ""))
-    ).select(
-        key, "source", lookup_text(F.col("source"), F.col("text"), F.col("synced")).alias("text"),
-        F.struct(priority.alias("p"), F.col(ordinal or "text").alias("o")).alias("_p"),
-    )
-    rows = rows.filter(F.col("_p.p").isNotNull() & is_valid_lyrics(F.col("text")))
-    picked = rows.groupBy(key).agg(F.min_by(F.struct("source", "text"), "_p").alias("_b"))
-    return picked.select(key, "_b.source", F.col("_b.text").alias("lyrics_text"))
+    ).select(key, "source", "text", "synced", *([ordinal] if ordinal else []))
+    found = lookup_text(F.col("source"), F.col("text"), F.col("synced"))
+    picked = first_of_key(with_place(asked, LOOKUP_PRIORITY, ordinal, "text", "synced"), is_valid_lyrics(found), key)
+    return picked.select(key, "source", found.alias("lyrics_text"))

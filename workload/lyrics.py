@@ -249,6 +249,42 @@ def l1(t):
     return ly.resolve_sources(t.lyrics_sources, ordinal="ordinal")
 
 
+def _song_texts(t):
+    """Songs of which a quarter has a stored text, and what other sources hold for them."""
+    stored = F.when(F.col("id") % 4 == 0, F.col("text")).when(F.col("id") % 4 == 1, F.lit(""))
+    songs = t.cache_songs.select("id", "filepath", "title", "artist", stored.alias("lyrics_text"))
+    return songs, t.lyrics_sources.select(F.col("song_id").alias("id"), "source", "ordinal", "text")
+
+
+_FOUND = f"""WITH {duck('lyrics_sources', 'cache', 'cache_songs')}, songs AS (SELECT id, filepath, title, artist, CASE id % 4 WHEN 0 THEN text WHEN 1 THEN '' END AS lyrics_text,
+  left(md5(concat(filepath, '|', coalesce(title, 'None'), '|', artist)), 16) AS cache_key FROM cache_songs),
+waiting AS (SELECT * FROM songs WHERE coalesce(lyrics_text, '') = ''),
+lyrics AS (SELECT ordinal AS song_id, song_id AS sid, source, text AS lyrics_text FROM lyrics_sources WHERE source NOT IN ('stored', 'cache')), {LINES},
+x AS (SELECT l.sid, l.song_id AS ordinal, l.source, {_PRI} AS p, CASE source WHEN 'sidecar_lrc' THEN c.t ELSE l.lyrics_text END AS text FROM lyrics l JOIN cleaned c USING (song_id)
+  UNION ALL SELECT w.id, 0, 'cache', {ly.SOURCE_PRIORITY['cache']}, {S('c.text')} FROM waiting w JOIN cache c USING (cache_key)),
+k AS (SELECT *, row_number() OVER (PARTITION BY sid ORDER BY p, ordinal) AS n FROM x WHERE sid IN (SELECT id FROM waiting) AND (text <> '' OR starts_with(source, 'sidecar'))),
+found AS (SELECT sid AS id, source, text AS lyrics_text FROM k WHERE n = 1 AND text <> '')"""
+
+
+@query("L1_lyrics_of_songs", _FOUND + " SELECT id, source, lyrics_text FROM found UNION ALL SELECT id, 'stored', lyrics_text FROM songs WHERE lyrics_text <> ''")
+def l1_songs(t):
+    songs, others = _song_texts(t)
+    return lc.song_lyrics(songs, others, t.cache, "ordinal")
+
+
+@query("L1_write_back_to_songs", _FOUND + " SELECT s.id, s.filepath, s.title, s.artist, coalesce(f.lyrics_text, s.lyrics_text) AS lyrics_text FROM songs s LEFT JOIN found f USING (id)")
+def l1_write_songs(t):
+    songs, others = _song_texts(t)
+    return lc.write_back(songs, lc.song_lyrics(songs, others, t.cache, "ordinal"))
+
+
+@query("L1_write_back_to_cache", _FOUND + """ SELECT cache_key, text FROM cache UNION ALL SELECT s.cache_key, min(f.lyrics_text) FROM found f JOIN songs s USING (id)
+ WHERE f.source <> 'cache' AND s.cache_key NOT IN (SELECT cache_key FROM cache) GROUP BY 1""")
+def l1_write_cache(t):
+    songs, others = _song_texts(t)
+    return t.cache.unionByName(lc.cache_additions(songs, lc.song_lyrics(songs, others, t.cache, "ordinal"), t.cache))
+
+
 _LPRI = "CASE source " + " ".join(f"WHEN '{s}' THEN {p}" for s, p in ly.LOOKUP_PRIORITY.items()) + " END"
 
 

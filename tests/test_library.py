@@ -19,7 +19,7 @@ from tonelake.sources import lyrics_cache as lc
 from tonelake.sources.catalog import Catalog
 from tonelake.sources.registry import FolderRegistry
 from tonelake.streaming import ingest as ing
-from tonelake.streaming.progress import BatchCallback, progress
+from tonelake.streaming.progress import BatchCallback, estimates, observed, progress, progress_stream
 
 
 def one(spark, column, value=None, kind="string"):
@@ -285,6 +285,55 @@ def test_progress(spark):
     assert got == {"a": (8.0, 12.0, 40.0), "b": (0.0, None, 0.0), "c": (8.0, None, 0.0), "d": (2.0, None, 100.0)}
 
 
+EVENTS = "run_id string, ts timestamp, current long, total long"
+
+
+def events_of(spark, rows):
+    at = F.timestamp_seconds("ts")
+    return spark.createDataFrame([(r, float(t), c, n) for r, t, c, n in rows], "run_id string, ts double, current long, total long").withColumn("ts", at)
+
+
+def test_run_states_late_doubled_and_ended(spark):
+    """Doubled events change nothing, events out of order count, those behind the watermark don't, silent runs end."""
+    folder, table, checkpoint = (work_path(spark, n) for n in ("ev", "states", "cp"))
+    batches = [
+        [("a", 0, 0, 10), ("a", 8, 4, 10), ("b", 5, 1, 2)],
+        [("a", 0, 0, 10), ("a", 8, 4, 10), ("a", 4, 2, 10), ("b", 2, 0, 2)],
+        [("c", 5000, 1, 4)],
+        [("a", 1, 9, 10), ("c", 5010, 2, 4)],
+        [("b", 9000, 2, 2), ("c", 9000, 4, 4)],
+    ]
+    before = dict(spark.conf.getAll)
+    for rows in batches:
+        events_of(spark, rows).coalesce(1).write.mode("append").parquet(folder)
+        stream = spark.readStream.schema(EVENTS).option("maxFilesPerTrigger", 1).parquet(folder)
+        progress_stream(stream, table, checkpoint, late="100 seconds", idle=600.0).awaitTermination()
+    assert dict(spark.conf.getAll) == before
+    states = spark.read.parquet(table)
+    got = {r.run_id: (r.current, r.total, r.elapsed_seconds, r.eta_seconds) for r in estimates(states).collect()}
+    assert got == {"a": (4, 10, 8.0, 12.0), "b": (2, 2, 8998.0, None), "c": (4, 4, 4000.0, None)}
+    assert states.filter("run_id = 'a' AND NOT ended").count() == 1  # the second batch brought nothing new for it
+    assert {r.run_id for r in states.filter("ended").collect()} >= {"a", "b"}
+
+
+def test_reports_count_failures_and_name_the_item(spark):
+    seen, folder = [], work_path(spark, "in")
+    for rows in ([("/m/a.mp3", 1.0), ("/m/b.mp3", None)], [("/m/x/" + "y" * 80, 2.0)]):
+        spark.createDataFrame(rows, FILES).coalesce(1).write.mode("append").parquet(folder)
+    callback = BatchCallback(seen.append)
+    spark.streams.addListener(callback)
+    stream = spark.readStream.schema(FILES).option("maxFilesPerTrigger", 1).parquet(folder)
+    told = observed(stream, F.col("filepath"), F.col("file_mtime").isNull())
+    told.writeStream.format("noop").option("checkpointLocation", work_path(spark, "cp")).trigger(availableNow=True).start().awaitTermination()
+    deadline = time.time() + 10
+    while not any(e["stage"] == "complete" for e in seen) and time.time() < deadline:
+        time.sleep(0.1)
+    spark.streams.removeListener(callback)
+    rows = [e for e in seen if e["stage"] == "scanning" and e["rows"]]
+    assert [(e["rows"], e["failed"], e["item"], e["current"], e["errors"]) for e in rows] == [(2, 1, "b.mp3", 2, 1), (1, 0, "y" * 50, 3, 1)]
+    assert seen[-1] == {"stage": "complete", "current": 3, "errors": 1}
+
+
 def test_shared_folder(spark, monkeypatch):
     import tonelake.session as ss
 

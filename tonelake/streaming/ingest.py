@@ -14,6 +14,7 @@ from tonelake.operators.emotion import average_emotions, summarise_emotions
 from tonelake.operators.lyrics import analysis_text, explode_chunks
 from tonelake.session import settle
 from tonelake.sources.catalog import Catalog, conform
+from tonelake.streaming.progress import observed
 
 LISTING_SCHEMA = "filepath string, file_mtime double"
 
@@ -36,9 +37,13 @@ def ingest_stream(
     spark: SparkSession, listings: str, catalog: Catalog, process: Callable[[DataFrame], DataFrame],
     checkpoint: str, files_per_batch: int = 100, schema: str = LISTING_SCHEMA,
 ) -> StreamingQuery:
-    """Start the stream over a folder of parquet listings; ends when all present files are read."""
-    stream = (
-        spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).parquet(listings)
+    """Start the stream over a folder of parquet listings; ends when all present files are read.
+
+    A :class:`BatchCallback` is told of every batch; files without a time count as failed.
+    """
+    stream = observed(
+        spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).parquet(listings),
+        F.col("filepath"), F.col("file_mtime").isNull(),
     )
     return (
         stream.writeStream.foreachBatch(lambda batch, _: ingest_batch(catalog, batch, process))

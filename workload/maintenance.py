@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import threading
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import functions as F
@@ -13,7 +15,7 @@ from tonelake.sources import files as fl
 from tonelake.sources.catalog import Catalog
 from tonelake.sources.registry import FolderRegistry
 from tonelake.streaming import ingest as ing
-from tonelake.streaming.progress import progress, short_item
+from tonelake.streaming.progress import BatchCallback, estimates, observed, progress, progress_stream, short_item
 from workload.lyrics import LEXICON, averages_sql
 from workload.media import MOODS, SENTENCE, SNIPPETS
 from workload.registry import q, query, r
@@ -241,22 +243,44 @@ SELECT run_id, CAST(current AS BIGINT) AS current, total, {q('e', 1)} AS elapsed
 
 @query("R2_progress", PROGRESS)
 def r2(t):
-    return progress(t.progress_events.withColumn("current", F.col("current").cast("long")))
+    return progress(t.progress_events)
 
 
 @query("R2_progress_stream", PROGRESS)
 def r2_stream(t):
-    events = work_path(t.spark, "events")
-    rows = t.progress_events.withColumn("current", F.col("current").cast("long"))
-    rows.repartition(3).write.parquet(events)
+    """Events arrive in several files, some of them twice; the state of every run is kept in a table."""
+    events, table = work_path(t.spark, "events"), work_path(t.spark, "run-states")
+    rows = t.progress_events.select("run_id", "ts", "current", "total")
+    rows.unionAll(rows.filter("current % 5 = 0")).repartition(3).write.parquet(events)
     stream = t.spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(events)
-    name = "progress_" + events.rsplit("-", 1)[1]
-    run = (
-        progress(stream).writeStream.outputMode("complete").format("memory").queryName(name)
-        .option("checkpointLocation", work_path(t.spark, "progress-checkpoint")).trigger(availableNow=True).start()
-    )
-    run.awaitTermination()
-    return t.spark.table(name)
+    progress_stream(stream, table, work_path(t.spark, "progress-checkpoint"), late="3650 days").awaitTermination()
+    return estimates(t.spark.read.parquet(table))
+
+
+_PARTS = f"WITH {duck('files')}, p AS (SELECT *, CAST(split_part(filepath, '/', 3) AS BIGINT) % 3 AS batch FROM files)"
+
+
+@query("F2_progress_reports", _PARTS + """, b AS (SELECT batch, count(*) AS n_rows, count(*) FILTER (WHERE file_mtime > 8e8) AS failed, max(left(list_last(string_split(filepath, '/')), 50)) AS item FROM p GROUP BY 1)
+SELECT batch, n_rows, failed, item, CAST(sum(n_rows) OVER (ORDER BY batch) AS BIGINT) AS current, CAST(sum(failed) OVER (ORDER BY batch) AS BIGINT) AS errors FROM b""")
+def f2(t):
+    """What the callback was told of every micro-batch of a listing that arrives in three files."""
+    listings, done, seen = work_path(t.spark, "listings"), threading.Event(), []
+    part = F.split("filepath", "/")[2].cast("long") % 3
+    for k in range(3):  # files are read in the order of their times
+        t.files.filter(part == k).coalesce(1).write.mode("append").parquet(listings)
+    callback = BatchCallback(lambda report: done.set() if report["stage"] == "complete" else seen.append(report))
+    t.spark.streams.addListener(callback)
+    try:
+        stream = t.spark.readStream.schema(ing.LISTING_SCHEMA).option("maxFilesPerTrigger", 1).parquet(listings)
+        told = observed(stream, F.col("filepath"), F.col("file_mtime") > 8e8)
+        sink = told.writeStream.format("parquet").option("path", work_path(t.spark, "listed"))
+        sink.option("checkpointLocation", work_path(t.spark, "listed-checkpoint")).trigger(availableNow=True).start().awaitTermination()
+        done.wait(60)
+    finally:
+        t.spark.streams.removeListener(callback)
+    names = ["batch", "rows", "failed", "item", "current", "errors"]
+    rows = [tuple(s[n] for n in names) for s in seen if s["stage"] == "scanning" and s["rows"]]
+    return t.spark.createDataFrame(rows, "batch long, n_rows long, failed long, item string, current long, errors long")
 
 
 @query("R2_current_file", f"WITH {duck('files')} SELECT filepath, left(list_last(string_split(filepath, '/')), 50) AS item FROM files")

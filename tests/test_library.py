@@ -289,7 +289,7 @@ EVENTS = "run_id string, ts timestamp, current long, total long"
 
 
 def events_of(spark, rows):
-    at = F.timestamp_seconds("ts")
+    at = F.timestamp_seconds(F.col("ts") + 1_000_000)
     return spark.createDataFrame([(r, float(t), c, n) for r, t, c, n in rows], "run_id string, ts double, current long, total long").withColumn("ts", at)
 
 

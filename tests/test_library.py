@@ -354,10 +354,43 @@ def test_merges_keep_one_row_per_key(spark):
     schema = "id long, filepath string, file_mtime double, title string, emotion_distribution map<string,double>"
     catalog = spark.createDataFrame([(1, "/a", 1.0, "old", {"joy": 1.0}), (2, "/b", 1.0, "b", None)], schema)
     changes = spark.createDataFrame([(1, "/a", 2.0, "first", None), (1, "/a", 3.0, "last", {"sad": 1.0}), (3, "/c", 1.0, "x", None), (3, "/c", 1.0, "y", None)], schema)
-    for parts in (1, 4):
-        got = {r.filepath: r.title for r in mt.upsert(catalog, changes.repartition(parts)).collect()}
-        assert got == {"/a": "last", "/b": "b", "/c": "y"}
-        assert mt.upsert(catalog, changes.repartition(parts)).count() == 3
+    changes = changes.unionByName(spark.createDataFrame([(4, "/d", 1.0, "m", {"joy": 0.1}), (4, "/d", 1.0, "m", {"joy": 0.9})], schema))
+    seen = set()
+    for parts in (1, 4, 7):
+        got = {r.filepath: (r.title, str(r.emotion_distribution)) for r in mt.upsert(catalog, changes.repartition(parts)).collect()}
+        assert got["/a"] == ("last", "{'sad': 1.0}") and got["/b"] == ("b", "None") and got["/c"][0] in ("x", "y") and len(got) == 4
+        assert mt.upsert(catalog, changes.repartition(parts)).count() == 4
+        seen.add((got["/c"], got["/d"]))
+    assert len(seen) == 1  # rows that differ in a map only are told apart too
+
+
+def test_merge_reads_and_deals_each_side_once(spark, tmp_path):
+    catalog = spark.range(50).select(F.concat(F.lit("/"), "id").alias("filepath"), F.lit(1.0).alias("file_mtime"), F.lit("t").alias("title"))
+    catalog.write.parquet(str(tmp_path / "c"))
+    stored = spark.read.parquet(str(tmp_path / "c"))
+    files = spark.createDataFrame([(f"/{k}", 5.0) for k in range(40, 60)], FILES)
+    diff = mt.diff_files(files, stored).filter("status IN ('new', 'modified')")
+    merged = mt.upsert(stored, diff.select("filepath", F.col("disk_mtime").alias("file_mtime"), F.lit("u").alias("title")))
+    assert merged.count() == 60 and merged.filter("title = 'u'").count() == 20
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = merged._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    # Two for the diff, which is computed once, and one for each side of the merge.
+    assert plan.count("Exchange hashpartitioning") == 4 and plan.count("FileScan") == 2 and plan.count("FullOuter") == 2
+
+
+@pytest.mark.parametrize("parts", [1, 3, 50])
+def test_rank_without_one_task(spark, parts):
+    rows = [(i, "tie" if i % 3 else None) for i in range(90)] + [(100, "Äb"), (101, "ab"), (102, "AB"), (103, "b")]
+    df = spark.createDataFrame(rows, "id long, title string").repartition(5)
+    got = [(r["rank"], r.id) for r in lib.with_rank(df, lib.library_order("title"), parts=parts).collect()]
+    assert [i for _, i in sorted(got)] == [i for i in range(90) if not i % 3] + [101, 102, 100, 103] + [i for i in range(90) if i % 3]
+    assert sorted(r for r, _ in got) == list(range(1, 95))
+    assert lib.with_rank(df.limit(0), lib.library_order("title")).count() == 0
 
 
 def test_release_removes_files(spark):

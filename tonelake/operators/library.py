@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tonelake.functions.numbers import js_round, text_or
 from tonelake.plans.ranking import match_quality
 from tonelake.rules import AUDIO_EXTENSIONS
+from tonelake.session import settle
 
 LIST_LIMIT = 500
 
@@ -120,31 +121,53 @@ def progress_counts(songs: DataFrame) -> DataFrame:
     )
 
 
-def sorted_library(songs: DataFrame, by: str, limit: int | None = None, newest: str = "id") -> DataFrame:
-    """By title, artist or album in locale order, or newest first. With a limit: a top-k.
+def library_order(by: str, newest: str = "id") -> list[Column]:
+    """By title, artist or album in locale order, or newest first; ids settle ties.
 
     ``newest`` is the column that grows with time: a serial id, or ``file_mtime`` of the stored
     catalog, whose ids are hashes.
     """
     if by == "recent":
-        out = songs.orderBy(F.desc(newest), F.desc("id"))
-    else:
-        out = songs.orderBy(F.expr(f"coalesce(`{by}`, '') COLLATE UNICODE"), "id")
+        return [F.desc(newest), F.desc("id")]
+    return [F.asc(F.expr(f"coalesce(`{by}`, '') COLLATE UNICODE")), F.asc("id")]
+
+
+def sorted_library(songs: DataFrame, by: str, limit: int | None = None, newest: str = "id") -> DataFrame:
+    """The library in :func:`library_order`. With a limit: a top-k."""
+    out = songs.orderBy(*library_order(by, newest))
     return out.limit(limit) if limit else out
 
 
+def with_rank(rows: DataFrame, order: list[Column], out: str = "rank", parts: int | None = None) -> DataFrame:
+    """Add each row's place, from 1, in a total order of all rows, without a task that sees all of them.
+
+    Rows are dealt by ranges of the order and sorted there; a range's place is the number of rows in the
+    ranges before it. The dealt rows are a stored table, as ranges are drawn anew each time they are computed.
+    """
+    parts = parts or int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = rows.repartitionByRange(parts, *order).sortWithinPartitions(*order)
+    at = F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1)
+    placed = settle(dealt.withColumns({"_part": F.spark_partition_id(), "_at": at}), "ranked")
+    counts = placed.groupBy("_part").agg(F.count("*").alias("_n"))  # one row per range
+    before = F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    starts = counts.select("_part", before.alias("_before"))
+    return placed.join(F.broadcast(starts), "_part").withColumn(out, F.col("_before") + F.col("_at") + 1).drop("_part", "_at", "_before")
+
+
 def list_songs(songs: DataFrame, limit: int = LIST_LIMIT) -> DataFrame:
     return songs.orderBy("id").limit(limit)
 
 
 def folder_list(folders: DataFrame) -> DataFrame:
+    """Folders, the latest scan first, with the time as text and their ``rank`` in that order."""
     t = F.col("last_scan_time")
     known = F.coalesce(t, F.lit(0.0)) != 0
     text = F.date_format(F.timestamp_seconds(t), "yyyy-MM-dd HH:mm")
-    return folders.select(
+    rows = folders.select(
         "path", "last_scan_time", F.when(known, text).otherwise("Unknown").alias("last_scan_formatted"),
         "song_count", "total_songs_in_db",
-    ).orderBy(F.desc("last_scan_time"), "path")
+    )
+    return with_rank(rows, [F.desc("last_scan_time"), F.asc("path")])
 
 
 def folder_rollup(files: DataFrame) -> DataFrame:

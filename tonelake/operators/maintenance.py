@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tonelake.operators.describe import describe_songs
@@ -63,22 +63,25 @@ def scan_totals(diff: DataFrame) -> DataFrame:
 def upsert(catalog: DataFrame, changes: DataFrame, key: str = "filepath") -> DataFrame:
     """Replace whole rows by key and add new ones. Columns a change lacks become NULL.
 
-    Of several changes of a key the one with the latest ``file_mtime`` counts.
+    Of several changes of a key the one with the latest ``file_mtime`` counts. One full outer join: each
+    side is read and dealt by key once, and each row that stays comes from one of them.
     """
-    changes = one_per_key(changes, key, ["file_mtime"])
-    kept = catalog.join(changes.select(key), key, "left_anti")
-    return kept.unionByName(changes, allowMissingColumns=True).select(catalog.columns)
+    new = one_per_key(changes, key, ["file_mtime"]).select(key, F.lit(True).alias("_hit"), *[F.col(c).alias(f"_new_{c}") for c in changes.columns if c != key])
+    of_change = lambda c: F.col(f"_new_{c}") if c in changes.columns else F.lit(None)
+    types = {f.name: f.dataType for f in catalog.schema}
+    merged = [F.when(F.col("_hit"), of_change(c).cast(types[c])).otherwise(F.col(c)).alias(c) for c in catalog.columns if c != key]
+    return catalog.join(new, key, "full_outer").select(key, *merged).select(catalog.columns)
 
 
 def one_per_key(rows: DataFrame, key: str, first: list[str]) -> DataFrame:
-    """One row of each key: the greatest by the columns ``first``, then by all others that have an order.
+    """One row of each key: the greatest by the columns ``first``, then by a hash of the whole row.
 
-    Combines on the map side, so rows of a key that comes often never meet in one task.
+    Every task cuts its rows to one per key before any are dealt, so a key that comes often is no
+    burden; rows that are dealt by key already stay where they are.
     """
-    ordered = [f.name for f in rows.schema if "map<" not in f.dataType.simpleString()]
-    order = F.struct(*dict.fromkeys([c for c in first if c in rows.columns] + ordered))
-    best = rows.groupBy(F.col(key).alias("_key")).agg(F.max_by(F.struct(*rows.columns), order).alias("_row"))
-    return best.select("_row.*")
+    plain = [F.to_json(F.struct(f.name)) if "map<" in f.dataType.simpleString() else F.col(f.name) for f in rows.schema]
+    order = [F.desc(c) for c in first if c in rows.columns] + [F.xxhash64(*plain)]
+    return rows.withColumn("_n", F.row_number().over(Window.partitionBy(key).orderBy(*order))).filter("_n = 1").drop("_n")
 
 
 def fresh_rows(rows: DataFrame) -> DataFrame:

@@ -19,6 +19,7 @@ from tonelake.sources import lyrics_cache as lc
 from tonelake.sources.catalog import Catalog
 from tonelake.sources.registry import FolderRegistry
 from tonelake.streaming import ingest as ing
+from tonelake.sources.folders import read_folders, write_files
 from tonelake.streaming.progress import BatchCallback, estimates, observed, progress, progress_stream
 
 
@@ -383,6 +384,25 @@ def test_merge_reads_and_deals_each_side_once(spark, tmp_path):
     assert plan.count("Exchange hashpartitioning") == 4 and plan.count("FileScan") == 2 and plan.count("FullOuter") == 2
 
 
+@pytest.mark.parametrize("folders", [1, 2, 3, 100])
+def test_folders_with_sidecars_in_one_pass(spark, tmp_path, folders):
+    root = str(tmp_path / "music")
+    names = ["top.mp3", "top.txt", "a/x.FLAC", "a/x.lrc", "a/x.txt", "a/b/c/y.v2.ogg", "a/b/c/y.v2.lrc", "a/b/c/y.lrc", "a/b/z.wav", "d/.mp3", "d/.hid.m4a", "d/.hid.txt", "d/cover.jpg", "d/cover.lrc"]
+    rows = spark.createDataFrame([(n, "" if n == "a/b/c/y.v2.lrc" else f"text of {n}") for n in names], "path string, text string")
+    assert write_files(rows.repartition(3), root) == len(names)
+    (tmp_path / "music" / "a" / "b" / "z.lrc").write_bytes(b"\xff\xfe")
+    (tmp_path / "music" / "a" / "b" / "z.txt").write_text("é")
+    got = {r.filepath.removeprefix(root + "/"): (r.base.removeprefix(root + "/"), r.source, r.text) for r in read_folders(spark, root, folders=folders).collect()}
+    assert got == {
+        "top.mp3": ("top", "sidecar_txt", "text of top.txt"), "a/x.FLAC": ("a/x", "sidecar_lrc", "text of a/x.lrc"),
+        "a/b/c/y.v2.ogg": ("a/b/c/y.v2", "sidecar_lrc", ""), "a/b/z.wav": ("a/b/z", "sidecar_txt", "é"), "d/.hid.m4a": ("d/.hid", "sidecar_txt", "text of d/.hid.txt"),
+    }
+    listed = read_folders(spark, root, texts=False, folders=folders)
+    assert listed.count() == 5 and listed.filter("text IS NOT NULL OR file_mtime < 1e9").count() == 0
+    # The file source leaves out names that begin with a dot.
+    assert {r.filepath for r in fl.list_audio(spark, root).collect()} == {r.filepath for r in listed.collect() if "/." not in r.filepath}
+
+
 @pytest.mark.parametrize("parts", [1, 3, 50])
 def test_rank_without_one_task(spark, parts):
     rows = [(i, "tie" if i % 3 else None) for i in range(90)] + [(100, "Äb"), (101, "ab"), (102, "AB"), (103, "b")]

@@ -13,6 +13,7 @@ from tonelake.operators import maintenance as mt
 from tonelake.session import work_path
 from tonelake.sources import files as fl
 from tonelake.sources.catalog import Catalog
+from tonelake.sources.folders import open_path, read_folders, write_files
 from tonelake.sources.registry import FolderRegistry
 from tonelake.streaming import ingest as ing
 from tonelake.streaming.progress import BatchCallback, estimates, observed, progress, progress_stream, short_item
@@ -176,6 +177,45 @@ def s1(t):
     return fl.listing(t.tags.withColumn("file_mtime", F.col("seconds")))
 
 
+_FOLDER = f"""WITH {duck('tags')}, audio AS (SELECT filepath FROM tags WHERE regexp_matches(lower(filepath), '\\.(mp3|flac|wav|m4a|ogg)$')),
+bases AS (SELECT filepath, regexp_replace(filepath, '\\.[^./]*$', '') AS base, CAST(regexp_extract(filepath, '/\\.?([0-9]+)[^/]*$', 1) AS BIGINT) AS doc_id FROM audio),
+found AS (SELECT b.filepath, b.base, CASE WHEN b.doc_id % 3 = 2 THEN 'sidecar_txt' ELSE 'sidecar_lrc' END AS source, CASE WHEN b.doc_id % 3 = 2 THEN concat('txt ', text) ELSE text END AS text
+  FROM bases b JOIN documents USING (doc_id))"""
+
+
+def _written_folder(t) -> str:
+    """The tags' files below a new folder, empty, and documents as lyrics beside them: .lrc, .txt or both."""
+    root = work_path(t.spark, "music")
+    name = F.regexp_replace("filepath", r"\.[^./]*$", "")
+    number = F.regexp_extract("filepath", r"/\.?([0-9]+)[^/]*$", 1).cast("long")
+    songs = t.tags.select("filepath", name.alias("base"), number.alias("doc_id"))
+    texts = songs.join(t.documents.select("doc_id", "text"), "doc_id")
+    lrc = texts.filter("doc_id % 3 < 2").select(F.concat("base", F.lit(".lrc")).alias("path"), "text")
+    txt = texts.filter("doc_id % 3 > 0").select(F.concat("base", F.lit(".txt")).alias("path"), F.concat(F.lit("txt "), "text").alias("text"))
+    empty = songs.select(F.col("filepath").alias("path"), F.lit("").alias("text"))
+    write_files(empty.unionByName(lrc).unionByName(txt), root)
+    return root
+
+
+def _below(root: str, c: str):
+    return F.substring(c, len(open_path(root)[1]) + 1, 1 << 30)
+
+
+@query("S1_audio_files", _FOLDER + " SELECT filepath, true AS has_time, source FROM audio LEFT JOIN found USING (filepath)")
+def s1_files(t):
+    """The listing of a folder of real files."""
+    root = _written_folder(t)
+    rows = read_folders(t.spark, root, texts=False, folders=8)
+    return rows.select(_below(root, "filepath").alias("filepath"), (F.col("file_mtime") > 1.6e9).alias("has_time"), "source")
+
+
+@query("S5_sidecars_of_files", _FOLDER + " SELECT filepath, source, text FROM found")
+def s5_files(t):
+    root = _written_folder(t)
+    rows = read_folders(t.spark, root, folders=64)
+    return rows.filter(F.col("source").isNotNull()).select(_below(root, "filepath").alias("filepath"), "source", "text")
+
+
 @query("S4_decoded_catalog", f"WITH {duck('songs')} SELECT id, CASE WHEN id % 10 <> 3 THEN {q('list_sum(list_transform(embedding, lambda x: x::DOUBLE))')} END AS total FROM songs")
 def s4(t):
     """Vectors as raw bytes, one in ten cut short, read back as arrays."""

@@ -221,7 +221,7 @@ def test_lyrics_then_reprocess(spark):
     assert (r.has_lyrics, r.lyrics_processed, r.lyrics_emotion) == (True, False, "sadness")
     assert r.valence == pytest.approx(0.4 * 0.5 + 0.6 * -0.7)
     assert lib.pending(store.read()).count() == 1
-    ing.finish_pending(store, hashed_words)
+    store.reprocess(hashed_words)
     r = store.read().filter("filepath = '/a'").first()
     assert r.lyrics_processed and r.embedding is not None and "Lyrics: a different line here sad sad melancholy words again..." in r.rich_description
     assert store.read().filter("filepath = '/b'").first().rich_description == "d"
@@ -279,6 +279,46 @@ def test_repeated_batch_changes_nothing(spark):
     assert store._manifest() == snapshot
 
 
+GOOD = "\n".join(["some happy words of a song", "and more joy in a second line", "some happy words of a song"])
+
+
+def lookups(spark, rows):
+    """Rows of (id, source, text, failed)."""
+    full = [(i, "T", "A", s, k, x, None, f) for k, (i, s, x, f) in enumerate(rows)]
+    return spark.createDataFrame(full, ing.LOOKUPS)
+
+
+def test_lyrics_pass_survives_failures_and_repeats(spark, monkeypatch):
+    from tonelake.operators.emotion import lexicon_scores
+
+    base = [(f"/m/{i}", 1.0, f"t{i}", None) for i in range(6)]
+    store = Catalog(spark, work_path(spark, "cat"), 3).create()
+    store.upsert(rows(spark, base).withColumns({"valence": F.lit(0.5), "lyrics_text": F.when(F.col("filepath") == "/m/5", "own"), "has_lyrics": F.col("filepath") == "/m/5"}))
+    ids = {r.filepath: r.id for r in store.read().collect()}
+    batch = lookups(spark, [
+        (ids["/m/0"], "genius", GOOD, None), (ids["/m/0"], "lrclib", "bad", False), (ids["/m/1"], "genius", "bad", True), (ids["/m/1"], "ovh", "bad", False),
+        (ids["/m/2"], "genius", "bad", None), (ids["/m/3"], "genius", GOOD, True), (ids["/m/3"], "ovh", GOOD, False), (ids["/m/5"], "genius", GOOD, None), (77, "genius", GOOD, None),
+    ])
+    score, log = (lambda chunks: lexicon_scores(chunks, key="id")), work_path(spark, "log")
+    run = lambda: ing.lyrics_batch(store, batch, f"{log}/batch=0", score, hashed_words)
+    with monkeypatch.context() as m:  # the change fails after the log is written
+        m.setattr(Catalog, "update", lambda self, rows: (_ for _ in ()).throw(OSError("lost")))
+        with pytest.raises(OSError, match="lost"):
+            run()
+    for _ in range(3):
+        run()
+        got = {r.filepath: r for r in store.read().collect()}
+        assert {p for p, r in got.items() if r.lyrics_text == GOOD} == {"/m/0", "/m/3"} and got["/m/5"].lyrics_text == "own"
+        assert all(got[p].has_lyrics and got[p].lyrics_processed and len(got[p].embedding) == 64 and "Lyrics: some happy words" in got[p].rich_description for p in ("/m/0", "/m/3"))
+        felt = {r.id: r.lyrics_valence for r in ing.lyrics_log(spark, log).collect()}[ids["/m/0"]]
+        assert felt > 0 and got["/m/0"].valence == pytest.approx(0.5 * 0.4 + felt * 0.6) and got["/m/0"].lyrics_emotion == "joy"
+        assert tuple(mt.lyrics_outcomes(ing.lyrics_log(spark, log)).first()) == (2, 1, 1, 4)
+    assert {r.id: r.outcome for r in ing.lyrics_log(spark, log).collect()} == {ids["/m/0"]: "found", ids["/m/1"]: "error", ids["/m/2"]: "not_found", ids["/m/3"]: "found"}
+    snapshot = store._manifest()
+    run()
+    assert store._manifest() == snapshot
+
+
 def test_progress(spark):
     events = spark.sql("""SELECT * FROM VALUES ('a', timestamp_seconds(0), 0L, 10L), ('a', timestamp_seconds(8), 4L, 10L),
       ('b', timestamp_seconds(3), 0L, 0L), ('c', timestamp_seconds(1), 0L, 5L), ('c', timestamp_seconds(9), 0L, 5L), ('d', timestamp_seconds(0), 1L, 2L), ('d', timestamp_seconds(2), 2L, 2L) AS t(run_id, ts, current, total)""")

@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ["prompts", "library", "media", "lyrics", "maintenance"]
+MODULES = ["prompts", "library", "media", "lyrics", "maintenance", "scan"]
 
 
 def load() -> None:

@@ -29,7 +29,11 @@ def drop(x: str, patterns: list[str]) -> str:
     return x
 
 
-@query("T1_title_cleaning", TAGS + f" SELECT id, {S(f'''regexp_replace({drop(S('coalesce(title, chr(32))'), [tx.TRACK_NUMBER, *tx.TITLE_TAGS])}, '\\s+', ' ', 'g')''')} AS title FROM tags")
+def clean_title_sql(x: str) -> str:
+    return S(f"regexp_replace({drop(S(f'coalesce({x}, chr(32))'), [tx.TRACK_NUMBER, *tx.TITLE_TAGS])}, '\\s+', ' ', 'g')")
+
+
+@query("T1_title_cleaning", TAGS + f" SELECT id, {clean_title_sql('title')} AS title FROM tags")
 def t1(t):
     return t.tags.select("id", tx.clean_title(F.col("title")).alias("title"))
 
@@ -94,11 +98,14 @@ rep AS (SELECT song_id, x, abs(2 * sum(pos) - count(*) * max(n))::DOUBLE / count
 top AS (SELECT *, row_number() OVER (PARTITION BY song_id ORDER BY key, first) AS k FROM rep)"""
 
 
-@query("T8_chorus_snippet", LYRICS + f""", {REPEATS},
+SNIPPET = f"""{REPEATS},
 a AS (SELECT song_id, string_agg(x, ' ' ORDER BY k) AS s FROM top WHERE k <= 5 GROUP BY 1),
 b AS (SELECT song_id, string_agg(x, ' ' ORDER BY pos) AS s FROM m WHERE pos >= greatest(0, n // 2 - 2) AND pos < least(n, n // 2 + 3) GROUP BY 1)
 SELECT c.song_id, CASE WHEN length({S('c.lyrics_text')}) < 20 OR length(t) < 20 THEN '' ELSE left(coalesce(a.s, b.s, ''), 600) END AS snippet
-FROM cleaned c LEFT JOIN a USING (song_id) LEFT JOIN b USING (song_id)""")
+FROM cleaned c LEFT JOIN a USING (song_id) LEFT JOIN b USING (song_id)"""
+
+
+@query("T8_chorus_snippet", LYRICS + f", {SNIPPET}")
 def t8(t):
     return ly.with_snippet(t.lyrics).select("song_id", "snippet")
 
@@ -288,15 +295,19 @@ def l1_write_cache(t):
 _LPRI = "CASE source " + " ".join(f"WHEN '{s}' THEN {p}" for s, p in ly.LOOKUP_PRIORITY.items()) + " END"
 
 
-@query("L2_lookup_fallback", f"""WITH {duck('lookup_results')}, u AS (SELECT * FROM lookup_results),
-ln AS (SELECT ordinal, unnest(string_split(synced, chr(10))) AS raw, generate_subscripts(string_split(synced, chr(10)), 1) AS i FROM u),
+def lookup_rows_sql(rows: str) -> str:
+    """CTEs up to ``k``: usable texts of rows (song_id, source, ordinal, title, artist, text, synced), the first of a song with n = 1."""
+    return f"""u AS (SELECT * FROM {rows}),
+lrc AS (SELECT ordinal, unnest(string_split(synced, chr(10))) AS raw, generate_subscripts(string_split(synced, chr(10)), 1) AS i FROM u),
 z AS (SELECT ordinal, string_agg({S(f"regexp_replace(raw, '{tx.LRC_TIMESTAMP}', '', 'g')")}, chr(10) ORDER BY i) FILTER (WHERE {S(f"regexp_replace(raw, '{tx.LRC_TIMESTAMP}', '', 'g')")} <> '') AS plain
-  FROM ln WHERE NOT regexp_matches(raw, '{tx.LRC_METADATA}') GROUP BY 1),
+  FROM lrc WHERE NOT regexp_matches(raw, '{tx.LRC_METADATA}') GROUP BY 1),
 x AS (SELECT u.song_id, u.ordinal, u.source, u.title, u.artist, {_LPRI.replace('source', 'u.source')} AS p, CASE u.source WHEN 'lrclib' THEN CASE WHEN length(text) > 20 THEN {S('text')} ELSE z.plain END
    WHEN 'musixmatch' THEN {S("string_split(text, '*******')[1]")} ELSE {S('text')} END AS text FROM u LEFT JOIN z USING (ordinal)),
 k AS (SELECT *, row_number() OVER (PARTITION BY song_id ORDER BY p, ordinal) AS n FROM x WHERE title <> '' AND NOT {instrumental_sql('artist')}
-   AND (source NOT IN ('ovh', 'genius_title') OR {lookup_sql('artist')} <> '') AND {valid_sql('text')})
-SELECT song_id, source, text AS lyrics_text FROM k WHERE n = 1""")
+   AND (source NOT IN ('ovh', 'genius_title') OR {lookup_sql('artist')} <> '') AND {valid_sql('text')})"""
+
+
+@query("L2_lookup_fallback", f"WITH {duck('lookup_results')}, {lookup_rows_sql('lookup_results')} SELECT song_id, source, text AS lyrics_text FROM k WHERE n = 1")
 def l2(t):
     return ly.resolve_lookup(t.lookup_results, ordinal="ordinal")
 

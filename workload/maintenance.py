@@ -17,8 +17,7 @@ from tonelake.sources.folders import open_path, read_folders, write_files
 from tonelake.sources.registry import FolderRegistry
 from tonelake.streaming import ingest as ing
 from tonelake.streaming.progress import BatchCallback, estimates, observed, progress, progress_stream, short_item
-from workload.lyrics import LEXICON, averages_sql
-from workload.media import MOODS, SENTENCE, SNIPPETS
+from workload.lyrics import averages_sql
 from workload.registry import q, query, r
 from workload.views import duck
 
@@ -149,16 +148,6 @@ def w5(t):
     )
 
 
-PLAIN_SENTENCE = SENTENCE.replace("CASE WHEN id % 2 = 0 THEN ['happy', 'dark'] ELSE [] END AS mood_words", "[] AS mood_words").replace(SNIPPETS, "''").replace(MOODS, MOODS.replace("mood_words)", "[]::VARCHAR[])"))
-
-
-@query("W6_reprocess_pending", PLAIN_SENTENCE + " WHERE NOT lyrics_processed")
-def w6(t):
-    from tonelake.operators.library import pending
-
-    return mt.reprocess(pending(t.songs.withColumn("rich_description", F.lit(None).cast("string"))), hashed_words).select("id", "rich_description")
-
-
 @query("W7_forget_folder", f"WITH {duck('folders')} SELECT path, song_count FROM folders WHERE path <> '/music/2/0'")
 def w7(t):
     return mt.forget_folder(t.folders, "/music/2/0").select("path", "song_count")
@@ -236,14 +225,6 @@ def s6(t):
     return store.read().select("id", "filepath", "title", "bpm", r(F.aggregate("embedding", F.lit(0.0), lambda a, x: a + x)).alias("total"))
 
 
-@query("S6_catalog_change", DIFF_ALL + " SELECT filepath, CASE WHEN status IN ('new', 'modified') THEN disk ELSE known END AS file_mtime, CASE WHEN status IN ('new', 'modified') THEN 'rescanned' ELSE title END AS title FROM d WHERE status <> 'deleted'")
-def s6_change(t):
-    """A whole scan against the stored catalog: diff, delete, process, upsert."""
-    store = Catalog(t.spark, work_path(t.spark, "catalog"), 8).create(t.catalog)
-    store.sync(t.files, lambda rows: rows.withColumn("title", F.lit("rescanned")))
-    return store.read().select("filepath", "file_mtime", "title")
-
-
 REGISTRY = f"""WITH {duck('folders', 'scans')}, u AS (SELECT * FROM folders UNION ALL SELECT * FROM scans),
 k AS (SELECT *, row_number() OVER (PARTITION BY path ORDER BY last_scan_time DESC NULLS LAST, song_count DESC, total_songs_in_db DESC) AS n FROM u)
 SELECT path, last_scan_time, song_count, total_songs_in_db FROM k WHERE n = 1"""
@@ -266,20 +247,6 @@ def s7_stored(t):
 # ---------------------------------------------------------------- streams
 
 
-@query("R1_continuous_ingest", STUB.format(""))
-def r1(t):
-    """The listing arrives in several files; the stream brings the stored catalog up to date."""
-    store = Catalog(t.spark, work_path(t.spark, "catalog"), 8).create(t.catalog)
-    listings = work_path(t.spark, "listings")
-    t.files.repartition(3).write.parquet(listings)
-    stream = ing.ingest_stream(
-        t.spark, listings, store, lambda rows: rows.withColumn("title", F.lit("rescanned")),
-        work_path(t.spark, "ingest-checkpoint"), files_per_batch=2,
-    )
-    stream.awaitTermination()
-    return store.read().select("filepath", "file_mtime", "title")
-
-
 PROGRESS = f"""WITH {duck('progress_events')}, g AS (SELECT run_id, max(current) AS current, max(total) AS total, epoch_us(max(ts)) / 1e6 - epoch_us(min(ts)) / 1e6 AS e FROM progress_events GROUP BY 1)
 SELECT run_id, CAST(current AS BIGINT) AS current, total, {q('e', 1)} AS elapsed_seconds, {q('CASE WHEN e > 0 AND total <> current THEN (total - current) / (current / e) END', 1)} AS eta_seconds, {q('current / total * 100', 1)} AS percent FROM g"""
 
@@ -331,23 +298,6 @@ def r2_item(t):
     return t.files.select("filepath", short_item(F.col("filepath")).alias("item"))
 
 
-@query("R3_background_lyrics", f"""WITH {duck('songs', 'lyrics')}, k AS (SELECT s.id, s.has_lyrics, s.lyrics_processed, s.lyrics_text, l.lyrics_text AS new
-  FROM songs s LEFT JOIN lyrics l ON l.song_id = s.id AND NOT s.has_lyrics AND l.lyrics_text <> '')
-SELECT id, has_lyrics OR new IS NOT NULL AS has_lyrics, lyrics_processed AND new IS NULL AS lyrics_processed, length(coalesce(new, lyrics_text)) AS n_chars FROM k""")
-def r3(t):
-    """Found lyrics arrive as a stream and reach only the songs that lack them."""
-    from tonelake.operators.emotion import lexicon_scores
-
-    store = Catalog(t.spark, work_path(t.spark, "catalog"), 8).create(t.songs)
-    results = work_path(t.spark, "results")
-    t.lyrics.select(F.col("song_id").alias("id"), "lyrics_text").repartition(2).write.parquet(results)
-    stream = ing.lyrics_stream(
-        t.spark, results, store, lambda chunks: lexicon_scores(chunks, LEXICON, "id"), work_path(t.spark, "lyrics-checkpoint"), 1
-    )
-    stream.awaitTermination()
-    return store.read().select("id", "has_lyrics", "lyrics_processed", F.length("lyrics_text").cast("long").alias("n_chars"))
-
-
 # ---------------------------------------------------------------- user models
 
 

@@ -8,6 +8,7 @@ from tonelake.functions.vectors import hashed_words, l2_normalise, norm
 from tonelake.operators import describe as ds
 from tonelake.operators import emotion as em
 from tonelake.operators import features as ft
+from workload.lyrics import S as strip_sql, clean_title_sql
 from workload.registry import q, query, r, rule
 from workload.views import duck
 
@@ -150,20 +151,37 @@ MOODS = "list_concat(" * 6 + ", ".join([
     _flat([("brightness >= 3000", ["sharp"]), ("brightness > 0 AND brightness <= 1500", ["deep"])]) + ")",
 ])
 SNIPPETS = "CASE WHEN id % 3 = 0 THEN '' WHEN id % 3 = 1 THEN 'too short' ELSE concat('la la la the chorus goes on ', id, chr(10), 'and on') END"
-SENTENCE = f"""WITH {duck('songs')},
-s AS (SELECT *, coalesce(arousal, 0) AS ar, CASE WHEN id % 2 = 0 THEN ['happy', 'dark'] ELSE [] END AS mood_words, {SNIPPETS} AS snippet,
-   trim(regexp_replace(regexp_replace(regexp_replace(title, '^(\\d+[\\.\\)\\-\\s]+)\\s*', ''), '(?i)\\s*\\(\\s*(?:Official\\s*)?(?:Audio|Video|Lyrics?|Visual|Visualizer)\\s*\\)', '', 'g'), '\\s+', ' ', 'g')) AS clean FROM songs),
-x AS (SELECT id, w, min(pos) AS pos FROM (SELECT id, unnest(ws) AS w, generate_subscripts(ws, 1) AS pos FROM (SELECT id, {MOODS} AS ws FROM s)) GROUP BY 1, 2),
-top AS (SELECT id, w, pos, row_number() OVER (PARTITION BY id ORDER BY pos) AS n FROM x),
-moods AS (SELECT id, string_agg(w, ', ' ORDER BY pos) AS m FROM top WHERE n <= 10 GROUP BY 1)
-SELECT id, concat('A ', m, ' track',
+
+
+def sentence_sql(source: str) -> str:
+    """CTEs up to ``sentences(id, rich_description)`` of a table with the columns of a song, its mood words and snippet."""
+    zero = ", ".join(f"coalesce({c}, 0) AS {c}" for c in ("bpm", "energy", "brightness", "valence", "dynamic_range", "harmonic_ratio"))
+    return f"""
+s AS (SELECT * REPLACE ({zero}, coalesce(key_confidence, 0.5) AS key_confidence, coalesce(mode, '') AS mode, coalesce(mood_words, []) AS mood_words), coalesce(arousal, 0) AS ar,
+   {clean_title_sql('title')} AS clean FROM {source}),
+spoken AS (SELECT id, w, min(pos) AS pos FROM (SELECT id, unnest(ws) AS w, generate_subscripts(ws, 1) AS pos FROM (SELECT id, {MOODS} AS ws FROM s)) GROUP BY 1, 2),
+topwords AS (SELECT id, w, pos, row_number() OVER (PARTITION BY id ORDER BY pos) AS n FROM spoken),
+moods AS (SELECT id, string_agg(w, ', ' ORDER BY pos) AS m FROM topwords WHERE n <= 10 GROUP BY 1),
+sentences AS (SELECT id, concat('A ', m, ' track',
  CASE WHEN bpm > 0 THEN concat(' at ', CAST(CAST(round_even(bpm, 0) AS INT) AS VARCHAR), ' BPM (', CASE WHEN bpm >= 160 THEN 'very fast' WHEN bpm >= 120 THEN 'moderately fast' WHEN bpm >= 90 THEN 'moderate tempo' WHEN bpm >= 70 THEN 'slow' ELSE 'very slow' END, ')') ELSE '' END,
- CASE WHEN key_confidence >= 0.65 THEN CASE WHEN mode = 'major' THEN ' in a major key' ELSE ' in a minor key' END ELSE '' END,
+ CASE WHEN key_confidence >= 0.65 AND mode <> '' THEN CASE WHEN mode = 'major' THEN ' in a major key' ELSE ' in a minor key' END ELSE '' END,
  CASE WHEN energy > 0.25 THEN ' with high intensity' WHEN energy < 0.1 THEN ' with gentle dynamics' ELSE '' END,
  CASE WHEN dynamic_range > 2.8 THEN ' and dramatic swells' WHEN dynamic_range < 1.2 THEN ' with steady volume' ELSE '' END,
- '. ', genre, ' genre', '. ', clean,
- CASE WHEN length(snippet) > 20 THEN concat(' Lyrics: ', left(replace(snippet, chr(10), ' '), 300), '...') ELSE '' END) AS rich_description
-FROM s JOIN moods USING (id)"""
+ CASE WHEN lower(coalesce(genre, '')) IN ('', 'unknown') THEN '' ELSE concat('. ', genre, ' genre') END, CASE WHEN clean <> '' THEN concat('. ', clean) ELSE '' END,
+ CASE WHEN length(snippet) > 20 THEN concat(' Lyrics: ', left({strip_sql("replace(snippet, chr(10), ' ')")}, 300), '...') ELSE '' END) AS rich_description
+FROM s JOIN moods USING (id))"""
+
+
+SENTENCES = f"WITH {duck('songs')}, with_words AS (SELECT *, CASE WHEN id % 2 = 0 THEN ['happy', 'dark'] ELSE [] END AS mood_words, {SNIPPETS} AS snippet FROM songs), {sentence_sql('with_words')}"
+
+
+def vectors_sql(source: str) -> str:
+    """CTE ``vectors(id, slot, weight)`` of the texts of source(id, rich_description)."""
+    return f"""
+tok AS (SELECT id, unnest(regexp_extract_all(lower(rich_description), '[a-z'']+')) AS token FROM {source}),
+slots AS (SELECT id, CAST('0x' || substr(md5(token), 1, 6) AS INT) % 64 AS slot, count(*)::DOUBLE AS n FROM tok GROUP BY 1, 2),
+sizes AS (SELECT id, sqrt(sum(n * n)) + 1e-8 AS size FROM slots GROUP BY 1),
+vectors AS (SELECT id, slot, (n / size)::FLOAT::DOUBLE AS weight FROM slots JOIN sizes USING (id))"""
 
 
 def described(t):
@@ -174,7 +192,7 @@ def described(t):
     return ds.describe_songs(songs.withColumn("snippet", snippet))
 
 
-@query("P10_mood_sentence", SENTENCE)
+@query("P10_mood_sentence", SENTENCES + " SELECT id, rich_description FROM sentences")
 def p10(t):
     return described(t).select("id", "rich_description")
 
@@ -185,11 +203,7 @@ def p11(t):
     return t.songs.select("id", r(em.blend_valence(F.col("valence"), lyrics)).alias("valence"))
 
 
-@query("T13_text_vectors", SENTENCE.replace("SELECT id, concat('A '", "SELECT * FROM (WITH d AS (SELECT id, concat('A '", 1) + f"""),
-tok AS (SELECT id, unnest(regexp_extract_all(lower(rich_description), '[a-z'']+')) AS token FROM d),
-n AS (SELECT id, CAST('0x' || substr(md5(token), 1, 6) AS INT) % 64 AS slot, count(*)::DOUBLE AS n FROM tok GROUP BY 1, 2),
-z AS (SELECT id, sqrt(sum(n * n)) + 1e-8 AS size FROM n GROUP BY 1)
-SELECT id, CAST(slot AS INT) AS slot, {q('(n / size)::FLOAT::DOUBLE')} AS weight FROM n JOIN z USING (id))""")
+@query("T13_text_vectors", SENTENCES + f", {vectors_sql('sentences')} SELECT id, CAST(slot AS INT) AS slot, {q('weight')} AS weight FROM vectors")
 def t13(t):
     rows = described(t).select("id", F.posexplode(hashed_words(F.col("rich_description"))).alias("slot", "weight"))
     return rows.filter(F.col("weight") > 0).select("id", "slot", r(F.col("weight").cast("double")).alias("weight"))

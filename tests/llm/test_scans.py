@@ -100,6 +100,62 @@ def test_base_spans_of_odd_texts(spark):
         assert [(KINDS[s["k"]], s["start"], s["end"]) for s in row["base"]] == base_pii(PEOPLE[row["doc_id"]])
 
 
+#: The generators as Python patterns (atomic groups for possessive quantifiers).
+WIDE = {
+    "mail": r"(?<!\S)(?>[^\s@<>()\[\]]{1,64})\s?(?:@|\(at\)|\[at\])\s?(?>[^\s@<>()\[\]]{1,255})",
+    "number": r"(?<![0-9])[+(]?[0-9](?>(?:[\x20().\-/]{0,2}[0-9]){6,})",
+    "dotted": r"(?<![0-9.:])(?>[0-9]{1,6})(?>(?:[.:](?>[0-9]{1,6})){2,})",
+}
+HARD = ["x" * 70 + "@host.de " + "x" * 64 + "@host.de", "1234567.8.9.1 and 567.8.9", "a (at) b.co c@d é@f.g a@b@c d@e", "1:2:3.4 :1.2.3 1.2.3:4", "(030) 123 45-67/8 +1.2.3.4.5.6.7 00000000", "😀 m@x.yz 1.2.3 😀1.2.3.4"]
+
+
+def random_texts(n=150):
+    import random
+
+    rng = random.Random(9)
+    bits = ["a", "é", " ", "@", ".", ":", "1", "23", "456", "-", "(at)", "(", ")", "+", "b.co", "4111 1111 1111 1111", "\n", "😀", "8.8.8.8"]
+    return ["".join(rng.choice(bits) for _ in range(rng.randint(1, 60))) for _ in range(n)]
+
+
+def test_generators_propose_what_python_finds(spark):
+    texts = [*HARD, *random_texts(), *[t or "" for t in PEOPLE if len(t or "") < 3000]]
+    rows = pii.find_candidates(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    for row in rows:
+        text, base = texts[row["doc_id"]], base_pii(texts[row["doc_id"]])
+        wanted = []
+        for generator, pattern in WIDE.items():
+            for m in re.finditer(pattern, text):
+                digits = len(re.sub("[^0-9]", "", m.group()))
+                kind = {"mail": "email", "dotted": "ip"}.get(generator, "card" if digits >= 13 else "phone")
+                shared = [(k, min(m.end(), e) - max(m.start(), s), max(m.end() - m.start(), e - s)) for k, s, e in base]
+                wanted.append((kind, m.start(), m.end(), any(k == kind and 2 * n >= size for k, n, size in shared), all(n <= 0 for _, n, _ in shared)))
+        assert [(KINDS[c["k"]], c["start"], c["end"], c["label"], c["clear"]) for c in row["found"]] == wanted, text
+        assert [(KINDS[s["k"]], s["start"], s["end"]) for s in row["base"]] == base
+
+
+def test_a_text_of_contact_data_takes_seconds(spark):
+    import time
+
+    text = " ".join(f"u{i}@host{i}.de 10.{i % 256}.3.4 +49 30 {1000000 + i}" for i in range(7000))
+    source = spark.createDataFrame([(1, text)], "doc_id long, text string")
+    start = time.time()
+    row = pii.find_candidates(source).first()
+    assert time.time() - start < 60 and len(row["found"]) > 20_000
+    assert [(KINDS[s["k"]], s["start"], s["end"]) for s in row["base"]] == base_pii(text)
+
+
+def test_overlapping_spans_leave_the_better_one(spark):
+    class Model(pii.SpanModel):
+        def score(self, f):
+            return f[0]
+
+    schema = "doc_id long, base array<struct<k:int,start:int,end:int>>, found array<struct<k:int,start:int,end:int,f:array<double>,clear:boolean>>"
+    found = [(0, 0, 10, [0.6], True), (1, 5, 12, [0.9], True), (2, 12, 15, [0.5], True), (3, 14, 20, [0.7], True), (3, 30, 40, [0.2], True), (0, 50, 60, [0.9], False)]
+    rows = spark.createDataFrame([(1, [(0, 55, 58)], found), (2, [], [])], schema)
+    got = {r["doc_id"]: [tuple(s) for s in r["spans"]] for r in pii.select_spans(rows, Model([(1.0, 0.0)], [0.4] * 4)).collect()}
+    assert got == {1: [(0, 55, 58), (1, 5, 12), (3, 14, 20)], 2: []}
+
+
 def test_trees_add_what_looks_alike(spark):
     card = lambda i: (d := f"4{i:014d}") + next(c for c in "0123456789" if luhn(d + c))
     texts = [f"pay with card {card(i * 977)} now" for i in range(150)] + [f"order number {i * 7919 + 10**8} was sent" for i in range(150)]

@@ -80,25 +80,45 @@ def test_mix_meets_targets(docs, no_docs):
     out = mixing.mix(docs, n_words(docs["text"]), block_words=64)
     rows = out.select("row.doc_id", "row.text", "row.source", "size", "source_size", "target", "draws").collect()
     assert Counter((r["doc_id"], r["text"], r["source"]) for r in rows) == Counter(odd_rows())
-    sizes, taken, shards = Counter(), Counter(), Counter()
+    sizes, taken, shards, blocks = Counter(), Counter(), Counter(), Counter()
     for r in rows:
         assert r["size"] == len(WORD.findall(r["text"] or ""))
         words = sum(d["words"] for d in r["draws"])
-        assert words <= 3 * r["size"] and all(0 <= d["shard"] < 8 for d in r["draws"])
+        assert words <= 3 * r["size"] and all(0 <= d["start"] and d["start"] + d["words"] <= r["size"] and d["words"] > 0 for d in r["draws"])
+        for k in range(3):  # the pieces of a pass follow each other
+            ends = [(d["start"], d["start"] + d["words"]) for d in r["draws"] if d["pass"] == k]
+            assert all(a[1] == b[0] for a, b in zip(ends, ends[1:])) and (not ends or ends[0][0] == 0)
         sizes[r["source"]] += r["size"]
         taken[r["source"]] += words
-        shards.update({d["shard"]: d["words"] for d in r["draws"]})
+        for d in r["draws"]:
+            shards[r["source"], d["shard"]] += d["words"]
+            blocks[r["source"], d["shard"], d["block"]] += d["words"]
     target = water_level(sizes)
     for r in rows:
         assert r["source_size"] == sizes[r["source"]] and r["target"] == pytest.approx(target[r["source"]])
     assert all(abs(taken[s] - target[s]) <= 0.5 for s in target)
+    # Every shard holds the words of the blocks that the tree gave it, of every source: all full but a source's last one.
+    order = sorted(target, key=lambda s: "" if s is None else "." + s)
+    quotas = [-(-round(target[s]) // 64) for s in order]
+    for s, share in zip(order, mixing.split_quotas(quotas, 8)):
+        for shard, n in enumerate(share):
+            held = sorted(words for (a, b, _), words in blocks.items() if (a, b) == (s, shard))
+            assert len(held) == n and held[1:] == [64] * (n - 1) and (64 * n - 64 < shards[s, shard] <= 64 * n if n else shards[s, shard] == 0)
     again = mixing.mix(docs, n_words(docs["text"]), block_words=64).select("draws").collect()
     assert sorted(map(str, again)) == sorted(str(r) for r in out.select("draws").collect())
     assert mixing.mix(no_docs, n_words(no_docs["text"])).count() == 0
 
 
-def test_mixed_rows_keep_columns(docs):
-    rows = mixing.mixed_rows(docs)
+def test_mixed_rows_keep_columns(docs, monkeypatch):
+    rows = mixing.mixed_rows(docs, block_words=16)
+    drawn = mixing.mix(docs, n_words(docs["text"]), whole=True, block_words=16)
+    wanted = [(d["shard"], d["local_order"], r["row"]["doc_id"]) for r in drawn.collect() for d in r["draws"]]
+    assert [r["doc_id"] for r in rows.collect()] == [i for _, _, i in sorted(wanted, key=lambda x: x[:2])]
+    assert len({s for s, _, _ in wanted}) == 8
+    with monkeypatch.context() as m:
+        m.setattr(mixing, "MOST_BLOCKS", 50)  # a larger mix has larger blocks, not more of them
+        draws = mixing.mix(docs, n_words(docs["text"]), block_words=4).select("draws").collect()
+        assert max(d["block"] for r in draws for d in r["draws"]) < 50 + 4
     assert rows.columns == docs.columns
     assert set(map(tuple, rows.select("doc_id", "text").collect())) <= {(i, t) for i, t, _ in odd_rows()}
 

@@ -5,7 +5,8 @@ documents in hashed order, run through as often as its target asks, and cut into
 the output shards from all down to one: at each node every source's quota of blocks is divided by a
 multivariate-hypergeometric draw, so quotas stay exact and every shard gets the mix's shares up to
 chance. A shard takes its quota as a run of the source's permuted block numbers, so no block is drawn
-twice; within a shard, draws have a hashed local order.
+twice; a document is cut where a block ends, so a shard holds its quota of every source to the word, and
+within a shard, draws have a hashed local order.
 
 Documents move once, with sources split over bins. One row per source reaches the driver, where the
 tree divides the quotas.
@@ -32,6 +33,8 @@ SHARDS = 8
 BLOCK_WORDS = 4096
 BINS = 1024
 SEED = 7
+#: numpy draws from fewer than 10**9 blocks; a source's last block counts as a whole one.
+MOST_BLOCKS = 500_000_000
 
 
 def source_key(source: Column) -> Column:
@@ -81,10 +84,11 @@ def mix(docs: DataFrame, size: Column, id_col: str = "doc_id", source_col: str =
         weights: tuple[int, ...] = WEIGHTS, most: int = MOST, whole: bool = False, seed: int = SEED) -> DataFrame:
     """One row per input row: ``row`` (all its columns), ``size``, ``source_size``, ``target``, ``draws``.
 
-    ``draws`` lists (pass, words, block, shard, local_order) of each time the document is in the mix. The
-    last document of a source's last pass is drawn for its first words only, so a source's words meet its
-    rounded target exactly; with ``whole`` it is drawn whole if its middle is inside. ``docs`` is read
-    three times and should be a stored table or a scan.
+    ``draws`` lists (pass, start, words, block, shard, local_order) of each piece of the document in the mix: its
+    words from ``start`` on that lie in the block. The last document of a source's last pass is drawn for its first
+    words only, so a source's words meet its rounded target exactly. With ``whole`` a document is never cut: it
+    goes where its first word goes, and the last one is drawn if its middle is inside. Blocks grow with the
+    mix where it would have more than ``MOST_BLOCKS``. ``docs`` is read three times and should be a stored table or a scan.
     """
     spark = docs.sparkSession
     base = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), docs[id_col].alias("_id"), docs[source_col].alias("source"), size.cast("long").alias("size"))
@@ -92,6 +96,7 @@ def mix(docs: DataFrame, size: Column, id_col: str = "doc_id", source_col: str =
     sizes = base.groupBy("source", "key").agg(F.sum("size").alias("source_size"))
     plan = settle(targets(sizes, weights, most), "mix-targets").orderBy("key").collect()
     quota = [round(p["target"]) for p in plan]
+    block_words = max(block_words, -(-sum(quota) // MOST_BLOCKS))
     blocks = [-(-q // block_words) for q in quota]
     shares = split_quotas(blocks, shards, seed)
     rows = []
@@ -102,26 +107,44 @@ def mix(docs: DataFrame, size: Column, id_col: str = "doc_id", source_col: str =
     plan_table = spark.createDataFrame(rows, schema)
     hashed = F.xxhash64(F.lit(seed), "_id", "size")
     placed = running_sums(base.withColumn("_hash", hashed), ["key"], F.shiftright("_hash", 54).cast("int"), ["_hash", "_id", "size"], F.col("size"), "_at").join(plan_table, "key", "left")
-    start = lambda i: i * F.col("source_size") + F.col("_at")
-    inside = lambda i: F.greatest(F.lit(0), F.least("size", F.col("_quota") - start(i)))
-    taken = (lambda i: F.when(2 * inside(i) >= F.col("size"), F.col("size")).otherwise(0)) if whole else inside
-    block = lambda i: F.pmod(F.expr("_step") * F.floor(start(i) / block_words), F.col("_blocks"))
-    draw = lambda i: F.struct(
-        i.alias("pass"), taken(i).alias("words"), block(i).alias("block"),
-        F.size(F.filter("_ends", lambda e: e <= block(i))).alias("shard"), F.xxhash64(F.lit(seed), "_id", i).alias("local_order"))
-    draws = F.filter(F.transform(F.sequence(F.lit(0), F.lit(most - 1)), draw), lambda d: d["words"] > 0)
-    return placed.select("row", "size", "source_size", "target", draws.alias("draws"))
+    from_ = lambda i: i * F.col("source_size") + F.col("_at")
+    until = lambda i: F.least(from_(i) + F.col("size"), F.col("_quota"))
+
+    def piece(i: Column, number: Column, start: Column, words: Column) -> Column:
+        block = F.pmod(F.col("_step") * number, F.col("_blocks"))
+        shard = F.size(F.filter("_ends", lambda e: e <= block))
+        order = F.xxhash64(F.lit(seed), "_id", i, number)
+        return F.struct(i.alias("pass"), start.alias("start"), words.alias("words"), block.alias("block"), shard.alias("shard"), order.alias("local_order"))
+
+    def cut(i: Column) -> Column:
+        low = lambda n: F.greatest(from_(i), n * block_words)
+        numbers = F.sequence(F.floor(from_(i) / block_words), F.floor((until(i) - 1) / block_words))
+        pieces = F.transform(numbers, lambda n: piece(i, n, low(n) - from_(i), F.least(until(i), (n + 1) * block_words) - low(n)))
+        return F.when((F.col("size") > 0) & (until(i) > from_(i)), pieces)
+
+    def uncut(i: Column) -> Column:
+        inside = (F.col("size") > 0) & (from_(i) < F.col("_quota")) & (2 * (until(i) - from_(i)) >= F.col("size"))
+        return F.when(inside, F.array(piece(i, F.floor(from_(i) / block_words), F.lit(0).cast("long"), F.col("size"))))
+
+    passes = F.filter(F.transform(F.sequence(F.lit(0), F.lit(most - 1)), uncut if whole else cut), lambda d: d.isNotNull())
+    return placed.select("row", "size", "source_size", "target", F.flatten(passes).alias("draws"))
 
 
 def mixed_rows(docs: DataFrame, text_col: str = "text", **names) -> DataFrame:
-    """The mix as rows with the columns of ``docs``: a document comes as often as it is drawn, whole."""
+    """The mix as rows with the columns of ``docs``: a document comes as often as it is drawn, whole.
+
+    Rows come in the order of shards, and within a shard in its local order: each partition (and file that is
+    written from it) is a range of that order.
+    """
     drawn = mix(docs, n_words(docs[text_col]), whole=True, **names)
-    return drawn.withColumn("_draw", F.explode("draws")).select("row.*")
+    order = ["_draw.shard", "_draw.local_order"]
+    return drawn.select("row", F.explode("draws").alias("_draw")).repartitionByRange(*order).sortWithinPartitions(*order).select("row.*")
 
 
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``taken`` sums the words of ``draws``, which say in which shard, block and place each piece is."""
     docs = documents(spark, sf_dir)
     sized = settle(docs.select("doc_id", "source", n_words(docs["text"]).alias("size")), "mix-sizes")
     drawn = mix(sized, sized["size"])
     taken = F.aggregate("draws", F.lit(0).cast("long"), lambda a, d: a + d["words"])
-    return drawn.select("row.doc_id", "size", "source_size", "target", taken.alias("taken"))
+    return drawn.select("row.doc_id", "size", "source_size", "target", taken.alias("taken"), "draws")

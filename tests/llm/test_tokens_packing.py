@@ -58,6 +58,24 @@ def test_whole_patterns_cover_and_fit():
     assert sum(k for _, k in packing.whole_patterns(histogram, 16)) == 100
 
 
+@pytest.mark.parametrize("seed,lengths", [(1, lambda r: r.integers(1, 9, 4000)), (2, lambda r: r.integers(1, 200, 20_000)), (3, lambda r: np.full(5000, 17)), (4, lambda r: r.integers(1, 2049, 20_000)),
+                                           (5, lambda r: np.minimum(2048, r.lognormal(6, 1.2, 20_000).astype(int) + 1)), (6, lambda r: np.full(100, 2048))])
+def test_padding_is_low_for_any_lengths(seed, lengths):
+    lengths, sizes = lengths(np.random.default_rng(seed)), packing.class_sizes()
+    assert sizes[-1] == 2048 and (np.diff(sizes) > 0).all()
+    histogram = np.bincount(np.searchsorted(sizes, lengths), minlength=len(sizes))
+    patterns = packing.all_patterns(histogram, 2048, sizes)
+    assert (sum(p * n for p, n in patterns) == histogram).all() and all((p * sizes).sum() <= 2048 for p, _ in patterns)
+    assert lengths.sum() / (2048 * sum(n for _, n in patterns)) > 0.95
+
+
+def test_packing_of_short_texts(spark):
+    rows = spark.createDataFrame([(i, "word " * (i % 8)) for i in range(4000)], "doc_id long, text string")
+    out = packing.pack_documents(rows, PATH).collect()
+    total, used = sum(r["length"] for r in out), len({r["sequence_id"] for r in out})
+    assert total == sum(len(ids("word " * (i % 8))) + 1 for i in range(4000)) and total / (2048 * used) > 0.95
+
+
 def test_packing_is_whole_and_tight(docs, no_docs):
     rows = packing.pack_documents(docs, PATH, with_ids=True).collect()
     whole = Counter()

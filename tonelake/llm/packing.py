@@ -1,13 +1,13 @@
 """Packing documents into sequences by cutting-stock column generation.
 
 A document's ids, with an end id, are cut into pieces of the sequence length and one rest. Lengths are
-rounded up to classes. A linear program over patterns, i.e. multisets of classes that fit a sequence,
+rounded up to classes, by a share of their size at most. A linear program over patterns, i.e. multisets of classes that fit a sequence,
 covers the histogram of classes with the fewest sequences; it is solved by the revised simplex method
 where a knapsack dynamic program finds the pattern of the best price. Patterns are used a whole number
 of times, what is left over is filled first-fit by falling length. Pieces ranked within their class then
 take the patterns' places in order.
 
-Only the histogram (at most sequence length / class width rows) and the patterns reach the driver.
+Only the histogram (one row for each class, fewer than 300) and the patterns reach the driver.
 Ranks come from counts of small buckets, so no class is sorted in one task.
 
 Defined results: null and empty texts hold just the end id; a repeated row is packed again; ids may be
@@ -29,10 +29,34 @@ from tonelake.llm.common import documents, map_batches, settle, texts
 from tonelake.llm.tokens import encoder, tokenizer_path
 
 LENGTH = 2048
-CLASS_WIDTH = 16
+#: Up to each length the classes' width; a width is 1/16 of its lengths at most.
+WIDTHS = ((64, 1), (128, 4), (256, 8), (LENGTH, 16))
 RANK_BUCKETS = 256
 
 
+def class_sizes(length: int = LENGTH) -> np.ndarray:
+    """The classes' sizes in order; the longest is ``length`` (rounded down to the width, then ``length`` itself)."""
+    sizes, low = [], 0
+    for top, width in (*WIDTHS[:-1], (length, WIDTHS[-1][1])):
+        sizes += range(low + width, min(top, length) + 1, width)
+        low = top
+    return np.array(sizes if sizes[-1] == length else [*sizes, length], np.int64)
+
+
+def all_patterns(histogram: np.ndarray, length: int, sizes: np.ndarray) -> list[tuple[np.ndarray, int]]:
+    """Patterns over all classes: short pieces share sequences among themselves, so each program has one unit and few rows."""
+    out = []
+    for rows in (sizes <= WIDTHS[0][0], sizes > WIDTHS[0][0]):
+        if not histogram[rows].any():
+            continue
+        unit = int(np.gcd.reduce(np.append(sizes[rows], length)))
+        for pattern, times in whole_patterns(histogram[rows], length // unit, sizes[rows] // unit):
+            full = np.zeros(len(sizes), np.int64)
+            full[rows] = pattern
+            out.append((full, times))
+    return out
+
+
 def cut(docs: DataFrame, path: str, length: int = LENGTH, end_id: int = 1, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False) -> DataFrame:
     """Pieces of at most ``length`` ids: ``doc_id, start, length, ids_crc32, doc_tokens`` and, on request, ``ids``."""
     ids = docs.schema[id_col].dataType.simpleString()
@@ -59,18 +83,30 @@ def cut(docs: DataFrame, path: str, length: int = LENGTH, end_id: int = 1, id_co
     return map_batches(source, run, f"doc_id {ids}, start long, length long, ids_crc32 long, doc_tokens long" + ", ids array<int>" * with_ids)
 
 
-def best_pattern(prices: np.ndarray, capacity: int) -> tuple[float, np.ndarray]:
-    """The multiset of classes 1..n of the highest price that fits ``capacity``: value, counts per class."""
-    value, took = np.zeros(capacity + 1), np.zeros(capacity + 1, np.int64)
+def best_pattern(prices: np.ndarray, capacity: int, sizes: np.ndarray | None = None) -> tuple[float, np.ndarray]:
+    """The multiset of classes of the highest price that fits ``capacity``: value, counts per class.
+
+    A class that is no dearer than a smaller one is in no better pattern, so the knapsack leaves it out.
+    """
+    sizes = np.arange(1, len(prices) + 1) if sizes is None else sizes
+    kept = np.flatnonzero(prices > np.maximum.accumulate(np.concatenate([[1e-12], prices[:-1]])))
+    value, took = np.zeros(capacity + 1), np.full(capacity + 1, -1)
+    of, gain = sizes[kept], prices[kept]
+    fit = np.searchsorted(of, np.arange(capacity + 1), "right")
     for room in range(1, capacity + 1):
-        n = min(room, len(prices))
-        gains = prices[:n] + value[room - 1 :: -1][:n]
-        k = int(gains.argmax())
-        value[room], took[room] = (gains[k], k + 1) if gains[k] > value[room - 1] + 1e-12 else (value[room - 1], 0)
+        value[room] = value[room - 1]
+        if fit[room]:
+            gains = gain[: fit[room]] + value[room - of[: fit[room]]]
+            k = gains.argmax()
+            if gains[k] > value[room] + 1e-12:
+                value[room], took[room] = gains[k], k
     counts, room = np.zeros(len(prices), np.int64), capacity
     while room:
-        counts[took[room] - 1] += took[room] > 0
-        room -= max(1, took[room])
+        if took[room] < 0:
+            room -= 1
+        else:
+            counts[kept[took[room]]] += 1
+            room -= of[took[room]]
     return float(value[capacity]), counts
 
 
@@ -79,21 +115,21 @@ def _times(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.einsum("ij,jk->ik" if b.ndim == 2 else "ij,j->i", a, b)
 
 
-def column_generation(histogram: np.ndarray, capacity: int, slack: float = 1e-4) -> list[tuple[np.ndarray, float]]:
-    """Patterns and their fractional use that cover ``histogram`` (pieces of class 1..n) with the fewest sequences, to within ``slack``."""
+def column_generation(histogram: np.ndarray, capacity: int, sizes: np.ndarray, slack: float = 2e-3) -> list[tuple[np.ndarray, float]]:
+    """Patterns and their fractional use that cover ``histogram`` (pieces of each class) with the fewest sequences, to within ``slack``."""
     rows = np.flatnonzero(histogram)
     if not len(rows):
         return []
     # A small uneven surplus keeps equal ratios, and with them endless loops, away.
     need = histogram[rows] + np.linspace(1e-3, 2e-3, len(rows)) ** 2
-    fits = capacity // (rows + 1)
+    fits = capacity // sizes[rows]
     patterns = np.zeros((len(rows), len(histogram)))  # row i: the pattern in the basis' place i
     patterns[np.arange(len(rows)), rows] = fits
     inverse, use = np.diag(1.0 / fits), need / fits
     for step in range(60 * len(rows) + 100):
         prices = np.zeros(len(histogram))
         prices[rows] = np.maximum(inverse.sum(axis=0), 0)
-        gain, counts = best_pattern(prices, capacity)
+        gain, counts = best_pattern(prices, capacity, sizes)
         total = use.sum()
         if gain <= 1 + 1e-7 or total - total / gain < max(0.25, slack * total):
             break  # total / gain is a lower bound of any solution
@@ -115,10 +151,11 @@ def column_generation(histogram: np.ndarray, capacity: int, slack: float = 1e-4)
     return [(p.astype(np.int64), float(x)) for p, x in zip(patterns, use) if x > 1e-9]
 
 
-def whole_patterns(histogram: np.ndarray, capacity: int) -> list[tuple[np.ndarray, int]]:
-    """Patterns and how often each is used, covering ``histogram`` exactly."""
+def whole_patterns(histogram: np.ndarray, capacity: int, sizes: np.ndarray | None = None) -> list[tuple[np.ndarray, int]]:
+    """Patterns and how often each is used, covering ``histogram`` exactly. Classes have sizes 1, 2, 3, ... unless others are given."""
+    sizes = np.arange(1, len(histogram) + 1) if sizes is None else sizes
     left, out = histogram.astype(np.int64).copy(), []
-    for pattern, x in column_generation(histogram, capacity):
+    for pattern, x in column_generation(histogram, capacity, sizes):
         times = int(np.floor(x + 1e-6))
         used = pattern > 0
         if used.any():
@@ -129,9 +166,9 @@ def whole_patterns(histogram: np.ndarray, capacity: int) -> list[tuple[np.ndarra
     while left.any():  # fewer places than the basis has patterns are left, for any number of pieces
         pattern, room = np.zeros_like(left), capacity
         for k in np.flatnonzero(left)[::-1]:
-            n = int(min(left[k], room // (k + 1)))
+            n = int(min(left[k], room // sizes[k]))
             pattern[k] += n
-            room -= n * (k + 1)
+            room -= n * int(sizes[k])
         times = int((left[pattern > 0] // pattern[pattern > 0]).min())
         out.append((pattern, times))
         left -= times * pattern
@@ -150,21 +187,23 @@ def places(patterns: list[tuple[np.ndarray, int]], n_classes: int) -> dict[int,
     return {k: tuple(np.asarray(v, np.int64).T) for k, v in out.items()}
 
 
-def pack(pieces: DataFrame, length: int = LENGTH, width: int = CLASS_WIDTH, buckets: int = RANK_BUCKETS) -> DataFrame:
+def pack(pieces: DataFrame, length: int = LENGTH, buckets: int = RANK_BUCKETS) -> DataFrame:
     """``pieces`` with ``sequence_id`` and ``offset``; a piece has a ``length`` from 1 to ``length``.
 
-    ``pieces`` should be a stored table, it is read twice. ``length`` is a multiple of ``width``.
+    ``pieces`` should be a stored table, it is read twice.
     """
-    n_classes = length // width
-    size = F.ceil(F.col("length") / width).cast("int")
+    sizes = class_sizes(length)
+    n_classes = len(sizes)
+    class_of = np.searchsorted(sizes, np.arange(length + 1)) + 1
     hashed = F.pmod(F.xxhash64("doc_id", "start"), F.lit(buckets)).cast("int")
-    ranked = pieces.withColumn("_class", size)
-    ranked = ranked.withColumn("_bucket", ((F.col("_class") * width - F.col("length")) * buckets + hashed).cast("int"))
+    ranked = pieces.withColumn("_class", F.element_at(F.lit(class_of[1:].tolist()), F.col("length").cast("int")).cast("int"))
+    over = F.element_at(F.lit(sizes.tolist()), F.col("_class")) - F.col("length")
+    ranked = ranked.withColumn("_bucket", (over * buckets + hashed).cast("int"))
     counts = settle(ranked.groupBy("_class", "_bucket").count(), "packing-counts")
     histogram = np.zeros(n_classes, np.int64)
     for row in counts.groupBy("_class").agg(F.sum("count").alias("n")).collect():
         histogram[row["_class"] - 1] = row["n"]
-    where = places(whole_patterns(histogram, n_classes), n_classes)
+    where = places(all_patterns(histogram, length, sizes), n_classes)
     before = counts.select("_class", "_bucket", (F.sum("count").over(W.partitionBy("_class").orderBy("_bucket")) - F.col("count")).alias("_before"))
     place = W.partitionBy("_class", "_bucket").orderBy("doc_id", "start", "ids_crc32")
     ranked = ranked.withColumn("_place", F.row_number().over(place)).join(before, ["_class", "_bucket"])

@@ -110,11 +110,16 @@ def test_mix_meets_targets(docs, no_docs):
 
 
 def test_mixed_rows_keep_columns(docs, monkeypatch):
+    from pyspark.sql import functions as F
+
     rows = mixing.mixed_rows(docs, block_words=16)
     drawn = mixing.mix(docs, n_words(docs["text"]), whole=True, block_words=16)
-    wanted = [(d["shard"], d["local_order"], r["row"]["doc_id"]) for r in drawn.collect() for d in r["draws"]]
-    assert [r["doc_id"] for r in rows.collect()] == [i for _, _, i in sorted(wanted, key=lambda x: x[:2])]
-    assert len({s for s, _, _ in wanted}) == 8
+    wanted = Counter((d["shard"], d["local_order"], r["row"]["doc_id"]) for r in drawn.collect() for d in r["draws"])
+    placed = mixing.drawn_rows(docs, block_words=16).select(F.spark_partition_id().alias("p"), "shard", "local_order", "row.doc_id").collect()
+    assert Counter((r["shard"], r["local_order"], r["doc_id"]) for r in placed) == wanted and len({r["shard"] for r in placed}) == 8
+    for p in {r["p"] for r in placed}:
+        order = [(r["shard"], r["local_order"]) for r in placed if r["p"] == p]
+        assert order == sorted(order)
     with monkeypatch.context() as m:
         m.setattr(mixing, "MOST_BLOCKS", 50)  # a larger mix has larger blocks, not more of them
         draws = mixing.mix(docs, n_words(docs["text"]), block_words=4).select("draws").collect()

@@ -130,15 +130,20 @@ def mix(docs: DataFrame, size: Column, id_col: str = "doc_id", source_col: str =
     return placed.select("row", "size", "source_size", "target", F.flatten(passes).alias("draws"))
 
 
-def mixed_rows(docs: DataFrame, text_col: str = "text", **names) -> DataFrame:
-    """The mix as rows with the columns of ``docs``: a document comes as often as it is drawn, whole.
+def drawn_rows(docs: DataFrame, text_col: str = "text", **names) -> DataFrame:
+    """``row, shard, local_order``: a document comes as often as it is drawn, whole.
 
-    Rows come in the order of shards, and within a shard in its local order: each partition (and file that is
-    written from it) is a range of that order.
+    Each partition, and file that is written from it, has its rows of every shard together and in local
+    order; bins of hashes dealt the rows, so a partition has its part of each source. Texts are not moved again for that.
     """
     drawn = mix(docs, n_words(docs[text_col]), whole=True, **names)
-    order = ["_draw.shard", "_draw.local_order"]
-    return drawn.select("row", F.explode("draws").alias("_draw")).repartitionByRange(*order).sortWithinPartitions(*order).select("row.*")
+    rows = drawn.select("row", F.explode("draws").alias("draw")).select("row", "draw.shard", "draw.local_order")
+    return rows.sortWithinPartitions("shard", "local_order")
+
+
+def mixed_rows(docs: DataFrame, text_col: str = "text", **names) -> DataFrame:
+    """The rows of :func:`drawn_rows` with the columns of ``docs``."""
+    return drawn_rows(docs, text_col, **names).select("row.*")
 
 
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -185,4 +185,6 @@ def j2_genre(t):
     from tonelake.plans.signals import song_genres
     from tonelake.rules import default_rulebook
 
-    return t.tags.select("id", F.explode_outer(song_genres(default_rulebook())).alias("genre")).filter("genre IS NOT NULL")
+    rules = default_rulebook()
+    number = F.explode_outer(song_genres(rules)).alias("number")
+    return t.tags.select("id", number).filter("number IS NOT NULL").select("id", F.get(F.lit(list(rules.genres)), F.col("number")).alias("genre"))

@@ -46,12 +46,18 @@ class Catalog:
 
     # -- reading
 
+    def _names(self, folder: str) -> list[str]:
+        """Names in a folder below the catalog, none if it does not exist."""
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{folder}")
+        fs = path.getFileSystem(self.spark._jsc.hadoopConfiguration())
+        return [f.getPath().getName() for f in fs.listStatus(path)] if fs.exists(path) else []
+
     def _manifest(self) -> tuple[int, dict[int, str]]:
-        """(snapshot, {bucket: version}); at most ``buckets`` small rows."""
-        rows = self.spark.read.schema("bucket int, version string, snapshot int").parquet(f"{self.path}/manifest")
-        last = rows.agg(F.max("snapshot")).first()[0]
-        kept = rows.filter((F.col("snapshot") == last) & (F.col("bucket") >= 0))
-        return last, {r.bucket: r.version for r in kept.collect()}
+        """(snapshot, {bucket: version}) of the last snapshot that was written whole; at most ``buckets`` small rows."""
+        found = sorted((int(n.split("=")[1]) for n in self._names("manifest") if n.startswith("snapshot=")), reverse=True)
+        last = next(n for n in found if "_SUCCESS" in self._names(f"manifest/snapshot={n}"))
+        rows = self.spark.read.schema("bucket int, version string").parquet(f"{self.path}/manifest/snapshot={last}")
+        return last, {r.bucket: r.version for r in rows.collect() if r.bucket >= 0}
 
     def _paths(self, manifest: dict[int, str], only: list[int] | None = None) -> DataFrame:
         paths = [
@@ -80,13 +86,7 @@ class Catalog:
         target = f"{self.path}/data/version={version}"
         bucketed = conform(rows).withColumn("bucket", self.bucket(F.col("filepath")))
         bucketed.hint("rebalance", "bucket").write.partitionBy("bucket").parquet(target)
-        try:
-            written = self.spark.read.schema(SCHEMA + ", bucket int").parquet(target)
-            return {r.bucket: version for r in written.select("bucket").distinct().collect()}
-        except Exception as error:  # an empty write leaves no schema to read
-            if "UNABLE_TO_INFER_SCHEMA" in str(error):
-                return {}
-            raise
+        return {int(n.split("=")[1]): version for n in self._names(f"data/version={version}") if n.startswith("bucket=")}
 
     def _publish(self, snapshot: int, manifest: dict[int, str]) -> None:
         rows = list(manifest.items()) or [(-1, "")]
@@ -120,7 +120,7 @@ class Catalog:
 
     def delete_folder(self, folder: str, registry=None) -> None:
         """Remove a folder's songs and, with the registry given, its entry."""
-        self.delete_paths(self.read().filter(m.under(F.col("filepath"), folder)))
+        self.replace(lambda current: m.delete_folder(current, folder))
         if registry is not None:
             registry.forget(folder)
 

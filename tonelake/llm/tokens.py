@@ -77,6 +77,17 @@ def byte_bpe(path: str):
     return tiktoken.Encoding("byte-level", pat_str=SPLIT, mergeable_ranks=ranks, special_tokens={})
 
 
+@lru_cache(maxsize=1)
+def library(path: str):
+    """The file in its own library, which takes some memory and is loaded on first use."""
+    from tokenizers import Tokenizer
+
+    tokenizer = Tokenizer.from_file(path)
+    tokenizer.no_truncation()
+    tokenizer.no_padding()
+    return tokenizer
+
+
 class Encoder:
     """Token ids of whole texts as little-endian unsigned 32-bit bytes, as the file's own library gives them.
 
@@ -94,12 +105,7 @@ class Encoder:
             model = sentencepiece.SentencePieceProcessor(model_file=path)
             self._ids = lambda text: model.encode(text, num_threads=1)
         else:
-            from tokenizers import Tokenizer
-
-            tokenizer = Tokenizer.from_file(path)
-            tokenizer.no_truncation()
-            tokenizer.no_padding()
-            self._ids = lambda text: tokenizer.encode(text, add_special_tokens=False).ids
+            self._ids = lambda text: library(path).encode(text, add_special_tokens=False).ids
             spec = _spec(path)
             self.specials = _specials(spec)
             self.ranks = byte_bpe(path) if _is_byte_bpe(spec) else None

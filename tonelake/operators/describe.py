@@ -10,6 +10,8 @@ from tonelake.operators.features import KEY_CONFIDENCE
 
 MAX_WORDS = 10
 
+# The words and thresholds of labels and sentences below are what users know, in their order.
+
 
 def theory_label(
     bpm: Column, energy: Column, brightness: Column, mode: Column, valence: Column, arousal: Column

@@ -326,6 +326,20 @@ def test_progress(spark):
     assert got == {"a": (8.0, 12.0, 40.0), "b": (0.0, None, 0.0), "c": (8.0, None, 0.0), "d": (2.0, None, 100.0)}
 
 
+def test_progress_numbers_the_events_of_a_run_in_their_order(spark, tmp_path):
+    """Event ids far from 1, one of them twice and a run without a name: a run's count is its number of events."""
+    from datetime import datetime, timedelta
+
+    from __spark_entry__ import queries
+
+    rows = [(1000 + 7 * i, datetime(2024, 1, 1) + timedelta(seconds=10 * i), 1 + i % 2 if i < 9 else None, "click") for i in range(12)]
+    spark.createDataFrame(rows + rows[-1:], "event_id long, ts timestamp, user_id long, event_type string").write.parquet(str(tmp_path / "events.parquet"))
+    want = {1: (5, 80.0, 3120.0, 2.5), 2: (4, 60.0, 2940.0, 2.0), None: (4, 20.0, 980.0, 2.0)}
+    got = queries()["R2_progress"](spark, str(tmp_path))
+    assert got.schema["current"].dataType.simpleString() == "bigint"
+    assert {r.run_id: (r.current, r.elapsed_seconds, r.eta_seconds, r.percent) for r in got.collect()} == want
+
+
 EVENTS = "run_id string, ts timestamp, current long, total long"
 
 

@@ -171,6 +171,17 @@ def test_trees_add_what_looks_alike(spark):
         assert i < 150 or not rows[i]["spans"]
 
 
+def test_every_candidate_is_learned_from(spark):
+    """A kind that is rare among very many candidates has enough of them kept apart to get its threshold."""
+    card, ip = [[float(j == i) for j in range(len(pii.FEATURES))] for i in (3, 5)]
+    array = lambda f: f"array({', '.join(f'{x}D' for x in f)})"
+    one = lambda k, f, label: f"named_struct('k', {k}, 'start', 0, 'end', 9, 'f', {f}, 'label', {label}, 'sure', true)"
+    found = spark.range(0, 60_000, 1, 4).selectExpr(
+        "id AS doc_id", f"array(CASE WHEN id % 750 = 0 THEN {one(1, array(ip), 'true')} ELSE {one(2, array(card), 'id % 2 = 0')} END) AS found")
+    model = pii.learn_spans(found)
+    assert model.trees and model.thresholds[1] <= 1 and model.thresholds[2] > 1  # 80 of kind 1, of which 20 or more are apart
+
+
 def test_pii_of_odd_tables(docs, no_docs, spark):
     assert pii.find_pii(docs).count() == docs.count()
     assert pii.find_pii(no_docs).count() == 0

@@ -7,8 +7,8 @@ only scored. Boosted trees learn from the candidate's format and its context; ea
 threshold is set on candidates kept apart, where the accepted ones are right at the target precision.
 The trees become conditional expressions, so scoring is a projection.
 
-Spans are made, scored and selected within a row by Spark's functions: no shuffle but for the bounded
-training sample (``sample`` candidates, by hash). No Python runs on the executors.
+Spans are made, scored and selected within a row by Spark's functions: no shuffle but for the counts of
+like candidates, from which trees and thresholds are learned. No Python runs on the executors.
 
 Defined results: null is the empty text; a repeated row is searched again; without candidates, or with
 those of one class only, no spans are added; an empty table gives an empty table; other columns are not
@@ -18,6 +18,7 @@ makes a pattern run long or deep.
 
 from __future__ import annotations
 
+import math
 from functools import reduce
 
 from pyspark.ml.classification import GBTClassifier
@@ -213,19 +214,26 @@ def _tree(node) -> object:
     return node.split().featureIndex(), float(node.split().threshold()), _tree(node.leftChild()), _tree(node.rightChild())
 
 
-def learn_spans(found: DataFrame, sample: int = 20_000, trees: int = 12, depth: int = 3, precision: float = 0.98, least: int = 20, seed: int = 3) -> SpanModel:
-    """Fit on at most ``sample`` candidates, two thirds for the trees and one for the thresholds."""
+def learn_spans(found: DataFrame, trees: int = 12, depth: int = 3, precision: float = 0.98, least: int = 20, seed: int = 3) -> SpanModel:
+    """Fit on all sure candidates, two thirds for the trees and one for the thresholds.
+
+    Like candidates become one row with their number as its weight, so the trees see every candidate.
+    """
     rows = found.select("doc_id", F.explode(F.filter("found", lambda c: c["sure"])).alias("c"))
-    rows = rows.select(F.xxhash64(F.lit(seed), "doc_id", "c.start", "c.end", "c.k").alias("h"), "c.k", "c.f", F.col("c.label").cast("int").alias("label"))
-    rows = settle(rows.orderBy("h", "k").limit(sample), "pii-sample")
-    fit = rows.filter(F.pmod("h", F.lit(3)) != 0).select(array_to_vector("f").alias("features"), "label")
+    apart = F.pmod(F.xxhash64(F.lit(seed), "doc_id", "c.start", "c.end", "c.k"), F.lit(3)) == 0
+    rows = rows.select(apart.alias("apart"), "c.k", "c.f", F.col("c.label").cast("int").alias("label"))
+    rows = settle(rows.groupBy("apart", "k", "f", "label").agg(F.count("*").alias("n")), "pii-counts")
+    kinds = rows.filter("NOT apart").groupBy("f", "label").agg(F.sum("n").cast("double").alias("n"))
+    fit = settle(kinds.select("f", "label", "n"), "pii-weights").select(array_to_vector("f").alias("features"), "label", "n")
     if fit.select("label").distinct().count() < 2:
         return SpanModel([], [2.0] * len(KINDS))
-    model = GBTClassifier(labelCol="label", maxIter=trees, maxDepth=depth, stepSize=0.3, seed=seed).fit(fit)
+    # With bins up to the root of the rows, Spark looks for cuts in every row and not in some of them.
+    bins = max(32, math.isqrt(fit.count()) + 1)
+    model = GBTClassifier(labelCol="label", weightCol="n", maxBins=bins, maxIter=trees, maxDepth=depth, stepSize=0.3, seed=seed).fit(fit)
     grown = [(float(w), _tree(t._java_obj.rootNode())) for w, t in zip(model.treeWeights, model.trees)]
     out = SpanModel(grown, [2.0] * len(KINDS))
-    scored = rows.filter(F.pmod("h", F.lit(3)) == 0).select("k", "label", F.floor(out.score(F.col("f")) * 200).alias("level"))
-    counts = {(r["k"], r["level"]): (r["p"], r["n"]) for r in scored.groupBy("k", "level").agg(F.sum("label").alias("p"), F.count("*").alias("n")).collect()}
+    scored = rows.filter("apart").select("k", "n", "label", F.floor(out.score(F.col("f")) * 200).alias("level"))
+    counts = {(r["k"], r["level"]): (r["p"], r["n"]) for r in scored.groupBy("k", "level").agg(F.sum(F.col("label") * F.col("n")).alias("p"), F.sum("n").alias("n")).collect()}
     for k in range(len(KINDS)):
         p = n = 0
         for level in range(200, -1, -1):

@@ -108,6 +108,16 @@ def test_image_copies(spark):
     assert media.image_classes(spark.createDataFrame([], "media_id long, image binary")).count() == 0
 
 
+@pytest.mark.parametrize("block", [256, 7])
+def test_all_points_of_a_table_entry_meet(spark, block):
+    """Thirty images share six points, so all of them are in the same entries; each has one of its own, and one meets no other."""
+    words = [[int(v) for v in w] for w in np.random.default_rng(5).integers(-(2**63), 2**63 - 1, (40, media.WORDS))]
+    rows = [(i, at, float(at), 0.0, 1.0, 0.0, words[at]) for i in range(30) for at in range(6)] + [(i, 6, 1.0, 1.0, 1.0, 0.0, words[7 + i]) for i in range(31)]
+    points = spark.createDataFrame(rows, "media_id long, at int, x float, y float, scale float, angle float, words array<bigint>")
+    got = sorted((r["a"], r["b"], r["a_at"]) for r in media.matched_points(points, block).collect())
+    assert got == sorted((a, b, at) for a in range(30) for b in range(a) for at in range(6))
+
+
 def test_noisy_blurred_and_turned_copies(spark):
     rng = np.random.default_rng(8)
     images = [media._rendered(v) for v in rng.normal(size=(16, 64))]

@@ -340,6 +340,20 @@ def test_progress_numbers_the_events_of_a_run_in_their_order(spark, tmp_path):
     assert {r.run_id: (r.current, r.elapsed_seconds, r.eta_seconds, r.percent) for r in got.collect()} == want
 
 
+def test_lookup_results_arrive_in_many_files(spark, tmp_path, monkeypatch):
+    """No task of the background lyrics pass gathers the lookups; all of them reach the outcomes, in two batches."""
+    from workload import scan
+    from workload.registry import Tables
+
+    spark.range(0, 40, 1, 4).selectExpr("id AS doc_id", "concat('some words of a text that is long enough. Number ', id, ' goes on and on for a while') AS text").write.parquet(str(tmp_path / "documents.parquet"))
+    spark.range(1, 40, 1, 2).selectExpr("id AS vec_id", "cast(id % 10 as int) AS label", "transform(sequence(1, 64), x -> cast((id * x) % 7 / 100 as float)) AS embedding").write.parquet(str(tmp_path / "embeddings.parquet"))
+    monkeypatch.setattr(scan, "work_path", lambda s, name: str(tmp_path / name))
+    store, log = scan._lyrics_pass(Tables(spark, str(tmp_path)))
+    assert len(list((tmp_path / "results").glob("*.parquet"))) > 2
+    rows = ing.lyrics_log(spark, log).select("id", "batch").collect()
+    assert {r.batch for r in rows} == {0, 1} and sorted(r.id for r in rows) == list(range(4, 40, 4))
+
+
 EVENTS = "run_id string, ts timestamp, current long, total long"
 
 

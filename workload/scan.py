@@ -131,15 +131,18 @@ tried AS (SELECT * FROM asked WHERE NOT failed), {lookup_rows_sql('tried')}, goo
 outcomes AS (SELECT a.song_id, CASE WHEN bool_or(g.song_id IS NOT NULL) THEN 'found' WHEN bool_or(failed) THEN 'error' ELSE 'not_found' END AS outcome FROM asked a LEFT JOIN good g USING (song_id) GROUP BY 1)"""
 
 
+ALL_FILES = 2**31 - 1
+
+
 def _lyrics_pass(t) -> tuple[Catalog, str]:
-    """The background pass over lookup results that arrive in two files, the lookups of a song in one of them."""
+    """The background pass over lookup results that arrive twice, the lookups of a song at one time, in as many files as their table has splits."""
     store = Catalog(t.spark, work_path(t.spark, "catalog"), 8).create(t.songs)
-    results, log = work_path(t.spark, "results"), work_path(t.spark, "lyrics-log")
+    results, log, checkpoint = work_path(t.spark, "results"), work_path(t.spark, "lyrics-log"), work_path(t.spark, "lyrics-checkpoint")
     rows = t.lookup_results.withColumns({"id": F.col("song_id"), "failed": F.col("ordinal") % 7 == 0}).select(*[c.split(" ")[0] for c in ing.LOOKUPS.split(", ")])
-    for half in range(2):
-        rows.filter(F.floor(F.col("id") / 4) % 2 == half).coalesce(1).write.mode("append").parquet(results)
     score = lambda chunks: lexicon_scores(chunks, LEXICON, "id")
-    ing.lyrics_stream(t.spark, results, store, log, score, hashed_words, work_path(t.spark, "lyrics-checkpoint"), 1).awaitTermination()
+    for half in range(2):  # each run of the stream takes what has arrived since the last one as one batch
+        rows.filter(F.floor(F.col("id") / 4) % 2 == half).write.mode("append").parquet(results)
+        ing.lyrics_stream(t.spark, results, store, log, score, hashed_words, checkpoint, ALL_FILES).awaitTermination()
     return store, log
 
 

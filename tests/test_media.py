@@ -361,3 +361,46 @@ def test_chunks_are_computed_once(spark):
     df = spark.createDataFrame([(1, "text " * 10)], "song_id long, lyrics_text string")
     plan = ly.explode_chunks(df)._jdf.queryExecution().optimizedPlan().toString()
     assert "size(transform" not in plan and plan.count("posexplode") == 1
+
+
+FRAMES = "song_id long, rms double, centroid double, contrast double, zcr double, rolloff double, bandwidth double, harmonic_abs double, signal_abs double, mfcc array<double>"
+
+
+def _frames(spark):
+    loud = [0.1, 0.4, None, float("nan"), 0.2, 0.9, 0.3]
+    rows = [(song, loud[(i + (song or 3)) % 7], i * 1.5, 2.0, 0.1, 5.0, None, -1.0 * i, 2.0, [float(i)] * 13) for song in (1, 2, 3, None) for i in range(3 * (song or 2))]
+    return spark.createDataFrame([*rows, (4, None, None, None, None, None, None, None, None, None)], FRAMES).repartition(3)
+
+
+def test_frame_features_of_few_and_many_frames(spark):
+    """Songs that are combined on the map side have the same features as those whose frames are dealt as they are."""
+    frames = _frames(spark)
+    rows = lambda df: sorted((str(r) for r in df.collect()))
+    dealt = ft.frame_features(frames)
+    assert rows(dealt) == rows(ft.frame_features(frames, few=4)) == rows(ft.frame_features(frames, few=0))
+    ranges = {r.song_id: r.dynamic_range for r in ft.dynamic_range(frames).collect()}
+    assert {r.song_id: r.dynamic_range for r in dealt.collect()} == {None: None, 4: None, **{k: v for k, v in ranges.items() if k}}
+
+
+def test_frames_are_dealt_once_as_they_are(spark):
+    """Partial sums of songs whose frames lie apart are larger than the frames, so none of them is moved."""
+    frames = _frames(spark)
+    plan = ft.frame_features(frames)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning(song_id") == 1 and "percentile(" not in plan
+    whole = ft.song_features(frames, spark.createDataFrame([], "song_id long, pitch int, value double"), spark.createDataFrame([], "song_id long, bpm double"))
+    assert "percentile(" not in whole._jdf.queryExecution().executedPlan().toString()
+
+
+def test_word_vectors_count_slots_without_a_filter_for_each(spark):
+    import hashlib
+    import re
+
+    texts = ["", "one two two three", "It's A test; a TEST of it's words " * 9, None]
+    df = spark.createDataFrame(list(enumerate(texts)), "id int, text string").select("id", hashed_words(F.col("text")).alias("v"))
+    got = {r.id: r.v for r in df.collect()}
+    for i, text in enumerate(texts[:3]):
+        n = np.zeros(64)
+        for w in re.findall("[a-z']+", text.lower()):
+            n[int(hashlib.md5(w.encode()).hexdigest()[:6], 16) % 64] += 1
+        assert np.allclose(got[i], n / (np.sqrt((n * n).sum()) + 1e-8), atol=1e-6)
+    assert "filter(" not in df._jdf.queryExecution().executedPlan().toString()

@@ -65,6 +65,17 @@ def select_ranks(codes: DataFrame, ranks: DataFrame, key: str, shifts: tuple[int
     return open_.select(key, "_rank", double_of(F.col("_least")).alias("_v"))
 
 
+def keys_of_many(rows: DataFrame, key: str, few: int = FEW) -> DataFrame:
+    """``key, _n`` of the keys with more than ``few`` rows, as a stored table."""
+    return settle(rows.groupBy(key).agg(F.count("*").alias("_n")).filter(F.col("_n") > few), "large-keys")
+
+
+def interpolated(place: Column, low: Column, high: Column) -> Column:
+    """The value at a place between ranks, from those at its floor and ceiling, as Spark's ``percentile`` computes it."""
+    between = (F.ceil(place) - place) * low + (place - F.floor(place)) * high
+    return F.when((F.floor(place) == F.ceil(place)) | (low == high), low).otherwise(between)
+
+
 def exact_percentiles(df: DataFrame, key: str, value: str, probs: dict[str, float], few: int = FEW, shifts: tuple[int, ...] = SHIFTS) -> DataFrame:
     """Linear-interpolated percentiles of ``value`` per ``key``; one column per entry of probs.
 
@@ -74,9 +85,8 @@ def exact_percentiles(df: DataFrame, key: str, value: str, probs: dict[str, floa
     """
     v = F.col(value).cast("double")
     rows = df.select(key, v.alias("_v")).filter(v.isNotNull() & ~F.isnan(v))
-    sizes = settle(rows.groupBy(key).agg(F.count("*").alias("_n")), "key-sizes")
     small = lambda of: of.groupBy(key).agg(F.percentile("_v", F.lit(list(probs.values()))).alias("_p")).select(key, *[F.get("_p", F.lit(i)).alias(n) for i, n in enumerate(probs)])
-    many = sizes.filter(F.col("_n") > few)
+    many = keys_of_many(rows, key, few)
     if many.isEmpty():
         return small(rows)
     codes = settle(rows.join(many, key, "left_semi").select(key, ordered_bits(F.col("_v")).alias("_u")), "value-bits")

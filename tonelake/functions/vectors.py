@@ -39,7 +39,7 @@ def hashed_words(text: Column, dims: int = DIMENSIONS) -> Column:
     def count(found: Column) -> Column:
         return F.transform(
             F.sequence(F.lit(0), F.lit(dims - 1)),
-            lambda i: F.size(F.filter(found, lambda s: s == i)).cast("double"),
+            lambda i: (F.size(found) - F.size(F.array_remove(found, i))).cast("double"),
         )
 
     return l2_normalise(let(slots, count)).cast("array<float>")

@@ -4,11 +4,11 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tonelake.functions.numbers import clip, stable_round
-from tonelake.functions.quantiles import exact_percentiles
+from tonelake.functions.quantiles import FEW, exact_percentiles, interpolated, keys_of_many
 from tonelake.functions.vectors import as_input, vector_matrix
 from tonelake.rules import KEY_MAJOR, KEY_MINOR, PITCH_NAMES
 
@@ -38,8 +38,7 @@ def harmonic_ratio(frames: DataFrame, key: str = "song_id") -> DataFrame:
 def dynamic_range(frames: DataFrame, value: str = "rms", key: str = "song_id") -> DataFrame:
     """Log of the ratio of loud to quiet frames (95th to 5th percentile)."""
     q = exact_percentiles(frames, key, value, {"_p5": 0.05, "_p95": 0.95})
-    ratio = F.col("_p95") / (F.col("_p5") + F.lit(EPSILON))
-    return q.select(key, F.log1p(ratio).alias("dynamic_range"))
+    return q.select(key, _range(F.col("_p5"), F.col("_p95")).alias("dynamic_range"))
 
 
 def chroma_profile(chroma: DataFrame, key: str = "song_id") -> DataFrame:
@@ -132,25 +131,59 @@ ROUNDING = {
 }
 
 
-def song_features(frames: DataFrame, chroma: DataFrame, tempo: DataFrame) -> DataFrame:
-    """All stored features of each song.
-
-    ``frames(song_id, rms, centroid, contrast, zcr, rolloff, bandwidth, harmonic_abs, signal_abs,
-    mfcc)``, ``chroma(song_id, pitch, value)``, ``tempo(song_id, bpm)``. The means share one
-    aggregation; each input is shuffled once by song and the joins reuse that.
-    """
+def _means() -> list[Column]:
     # thresholds decide on these means, so they must not depend on the order of partial sums
     mean = lambda c: stable_round(F.avg(c), 9)
-    means = frames.groupBy("song_id").agg(
+    return [
         mean("rms").alias("energy"), mean("centroid").alias("brightness"),
         mean("contrast").alias("spectral_contrast"), mean("zcr").alias("zero_crossing"),
         mean("rolloff").alias("spectral_rolloff"), mean("bandwidth").alias("spectral_bandwidth"),
         (F.avg(F.abs("harmonic_abs")) / (F.avg(F.abs("signal_abs")) + F.lit(EPSILON))).alias("harmonic_ratio"),
         F.array(*[stable_round(F.avg(F.get("mfcc", F.lit(i))), 4) for i in range(MFCC_COUNT)]).alias("mfccs"),
-    )
+    ]
+
+
+def _range(quiet: Column, loud: Column) -> Column:
+    return F.log1p(loud / (quiet + F.lit(EPSILON)))
+
+
+def frame_features(frames: DataFrame, few: int = FEW) -> DataFrame:
+    """Means and dynamic range of each song: ``song_id, energy, ... mfccs, dynamic_range``.
+
+    Songs have a few frames each, which may lie far apart, so partial sums would be as many as frames and larger.
+    Frames are dealt by song as they are, once, and ordered by loudness there. Songs with more than ``few`` frames
+    are combined on the map side.
+    """
+    v = F.col("rms").cast("double")
+    large = keys_of_many(frames, "song_id", few).select(F.col("song_id").alias("_song"))
+    same = F.col("song_id").eqNullSafe(F.col("_song"))
+    parts = None
+    if not large.isEmpty():
+        hot = frames.join(large, same, "left_semi")
+        parts = hot.groupBy("song_id").agg(*_means()).join(dynamic_range(hot), "song_id", "left")
+        frames = frames.join(large, same, "left_anti")
+    song = Window.partitionBy("song_id").orderBy(F.col("_v").asc_nulls_last())
+    rows = frames.withColumn("_v", F.when(~F.isnan(v), v))
+    rows = rows.withColumns({"_at": F.row_number().over(song) - 1, "_n": F.count("_v").over(song.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))})
+    place = lambda p: F.lit(p) * (F.col("_n") - 1)
+    value = lambda rank: F.max(F.when(F.col("_at") == rank, F.col("_v")))
+    ends = {f"_{side}{p}": value(end(place(p / 100))) for p in (5, 95) for side, end in (("low", F.floor), ("high", F.ceil))}
+    out = rows.groupBy("song_id").agg(*_means(), F.max("_n").alias("_n"), *[c.alias(n) for n, c in ends.items()])
+    at = lambda p: interpolated(place(p / 100), F.col(f"_low{p}"), F.col(f"_high{p}"))
+    # frames without a song count for no song
+    out = out.withColumn("dynamic_range", F.when(F.col("song_id").isNotNull(), _range(at(5), at(95)))).drop("_n", *ends)
+    return out if parts is None else out.unionByName(parts)
+
+
+def song_features(frames: DataFrame, chroma: DataFrame, tempo: DataFrame) -> DataFrame:
+    """All stored features of each song.
+
+    ``frames(song_id, rms, centroid, contrast, zcr, rolloff, bandwidth, harmonic_abs, signal_abs,
+    mfcc)``, ``chroma(song_id, pitch, value)``, ``tempo(song_id, bpm)``. Frames are dealt by song once,
+    and the joins reuse that.
+    """
     keys = detect_key(chroma_profile(chroma))
-    ranges = dynamic_range(frames)
-    df = means.join(ranges, "song_id", "left").join(keys, "song_id", "left").join(tempo, "song_id", "left")
+    df = frame_features(frames).join(keys, "song_id", "left").join(tempo, "song_id", "left")
     df = df.withColumn("bpm", correct_octave(F.coalesce("bpm", F.lit(0.0)), F.col("energy")))
     df = df.withColumn("mode", F.coalesce("mode", F.lit("unknown"))).withColumn(
         "key", F.coalesce("key", F.lit("unknown"))

@@ -5,6 +5,7 @@ import re
 from itertools import combinations
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from tests.llm.conftest import odd_rows, table
@@ -118,6 +119,32 @@ def test_all_points_of_a_table_entry_meet(spark, block):
     assert got == sorted((a, b, at) for a in range(30) for b in range(a) for at in range(6))
 
 
+def test_matches_of_joined_images_stay_out(monkeypatch):
+    """Eighty like images and twenty others: few matches leave the cell, and the classes are those of all pairs."""
+    monkeypatch.setattr(media, "SLICE", 64)
+    rng = np.random.default_rng(11)
+    place, words = rng.uniform(20, 60, (8, 2)), rng.integers(-(2**63), 2**63 - 1, (8, media.WORDS))
+    rows = []
+    for i in range(100):
+        flip = np.int64(1) << rng.integers(0, 64, (8, media.WORDS)) if i < 80 else rng.integers(-(2**63), 2**63 - 1, (8, media.WORDS))
+        flip[:, i % media.WORDS] *= i >= 80
+        moved = place + rng.uniform(-0.5, 0.5, (8, 2))
+        rows += [(i, at, *moved[at], 1.0, 0.3, *(words[at] ^ flip[at])) for at in range(8)]
+    names = ["media_id", "at", "x", "y", "scale", "angle"] + [f"w{i}" for i in range(media.WORDS)]
+    cell = pa.table({n: np.asarray(c, np.float32 if n in ("x", "y", "scale", "angle") else np.int64) for n, c in zip(names, zip(*rows))} | {"block": np.zeros(len(rows), np.int32)})
+    near = lambda p, q: sum(((a ^ b) & (2**64 - 1)).bit_count() for a, b in zip(map(int, p[6:]), map(int, q[6:]))) <= media.MAX_DISTANCE
+    met = lambda p, q: any((int(a) ^ int(b)) & m == 0 for a, b in zip(p[6:], q[6:]) for m in (0xFFFFFFFF, 0xFFFFFFFF << 32))
+    like = {(p[0], p[1], q[0], q[1]) for p in rows for q in rows if p[0] > q[0] and met(p, q) and near(p, q)}
+    linked = {(a, b) for a, _, b, _ in like}
+    whole, spanning = ({(r["a"], r["a_at"], r["b"], r["b_at"]) for r in media.likely_matches(cell, s).to_pylist()} for s in (False, True))
+    assert whole == like and len(linked) > 2000
+    assert spanning < whole and len({(a, b) for a, _, b, _ in spanning}) < 800
+    roots = [np.arange(100), np.arange(100)]
+    for root, pairs in zip(roots, (whole, spanning)):
+        media.join(root, np.asarray([p[0] for p in pairs]), np.asarray([p[2] for p in pairs]))
+    assert (roots[0] == roots[1]).all() and (roots[0][:80] == 0).all() and (roots[0][80:] == np.arange(80, 100)).all()
+
+
 def test_noisy_blurred_and_turned_copies(spark):
     rng = np.random.default_rng(8)
     images = [media._rendered(v) for v in rng.normal(size=(16, 64))]

@@ -522,3 +522,76 @@ def test_flush_of_a_folder_takes_its_entry(spark):
     registry.upsert(spark.createDataFrame([("/a", 1.0, 1, 2), ("/b", 1.0, 1, 2)], "path string, last_scan_time double, song_count long, total_songs_in_db long"))
     store.delete_folder("/a", registry)
     assert titles(store) == {"/b/y": "y"} and [r.path for r in registry.read().collect()] == ["/b"]
+
+
+# ---------------------------------------------------------------- what a change keeps on disk
+
+
+def test_settled_tables_leave_no_shuffle_files(spark):
+    from tonelake.session import CLEANUP, settle
+
+    def dealt():
+        files = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()
+        return {n for n in (files.apply(i).getName() for i in range(files.size())) if n.startswith("shuffle_")}
+
+    before, setting = dealt(), spark.conf.get(CLEANUP)
+    df = settle(spark.range(1000).groupBy((F.col("id") % 7).alias("k")).agg(F.count("*").alias("n")), "counted")
+    assert not dealt() - before
+    assert df.count() == 7 and spark.conf.get(CLEANUP) == setting
+
+
+@pytest.mark.parametrize("kind", ["long", "string", "int"])
+def test_rows_of_keys_are_found_before_they_are_dealt(spark, kind):
+    from tonelake.functions.keys import key_bits, likely_rows, rows_of_keys
+
+    keys = spark.sql(f"SELECT cast(id * 7 AS {kind}) AS k FROM range(3000) UNION ALL SELECT NULL")
+    rows = spark.sql(f"SELECT cast(id AS {kind}) AS k, id AS n FROM range(30000) UNION ALL SELECT NULL, -1 UNION ALL SELECT cast(-id AS {kind}), -2 FROM range(1, 30000)")
+    table = key_bits(keys, "k")
+    got = sorted(r.n for r in rows_of_keys(rows, keys, "k", table).collect())
+    assert got == [7 * i for i in range(3000)]
+    likely = likely_rows(rows, "k", table)
+    assert 3000 <= likely.count() < 8000 and likely.join(keys, "k", "left_semi").count() == 3000
+    assert "Exchange hashpartitioning" not in likely._jdf.queryExecution().executedPlan().toString()
+    wide = keys.select(F.col("k").cast("double"))  # equal keys of other types have other hashes
+    assert rows_of_keys(rows.filter("k is not null"), wide, "k", key_bits(wide, "k")).count() == 3000
+    none = keys.limit(0)
+    assert rows_of_keys(rows, none, "k", key_bits(none, "k")).count() == 0
+
+
+def test_a_scan_deals_few_frames_of_other_songs(spark):
+    from tonelake.plans.scan import scan_songs
+
+    files = spark.createDataFrame([(f"/m/{i}.mp3", 5.0, i) for i in range(20)], "filepath string, file_mtime double, song_id long")
+    frames = spark.range(20_000).selectExpr(
+        "id % 5000 AS song_id", "0.2D AS rms", "25D AS centroid", "2D AS contrast", "0.1D AS zcr", "4D AS rolloff", "2D AS bandwidth", "0.5D AS harmonic_abs", "1D AS signal_abs", "array(1D) AS mfcc")
+    rows = scan_songs(files, frames, frames.selectExpr("song_id", "1 AS pitch", "1D AS value"), spark.range(5000).selectExpr("id AS song_id", "120D AS bpm"))
+    assert rows.count() == 20 and rows.filter("bpm = 120 AND energy = 0.2").count() == 20
+    plan = rows._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("getbit") >= 3  # frames, chroma, tempo
+
+
+def stored_tables(spark, *names):
+    folder = shared_folder(spark).removeprefix("file:")
+    return {n for n in os.listdir(folder) if n.startswith(names)}
+
+
+def test_a_change_of_many_buckets_goes_by_few_at_a_time(spark, monkeypatch):
+    """The same catalog as in one go, in smaller jobs; tables of the change are gone afterwards."""
+    from tonelake.sources import catalog as cat
+
+    process = lambda changed: changed.withColumn("title", F.concat(F.lit("at "), F.col("file_mtime").cast("string")))
+    listing = lambda *rows: spark.createDataFrame(rows, FILES)
+    before, found = stored_tables(spark, "changes", "deleted"), []
+    for size in (1 << 29, 1):
+        monkeypatch.setattr(cat, "SLICE", size)
+        store = Catalog(spark, work_path(spark, "cat"), 6).create(mt.fresh_rows(rows(spark, [(f"/m/{i}", 1.0, "t", "d") for i in range(40)])))
+        written, write = [], store._write
+        monkeypatch.setattr(store, "_write", lambda r: written.append(write(r)) or written[-1])
+        store.sync(listing(*[(f"/m/{i}", 1.0 + 9 * (i % 3)) for i in range(5, 60)], (None, 4.0)), process)
+        assert len(written) == (1 if size > 1 else 6) and len({b for w in written for b in w}) == 6
+        store.delete_paths(listing(("/m/7", 0.0), ("/m/8", 0.0), ("/m/none", 0.0)))
+        store.upsert(rows(spark, [("/m/9", 2.0, "new", "d"), ("/m/9", 3.0, "newer", "d"), ("/x", 1.0, "x", "d")]))
+        found.append(sorted(map(str, titles(store).items())))
+        assert store.read().count() == len(found[-1])
+    assert found[0] == found[1] and "('/m/9', 'newer')" in found[0] and len(found[0]) == 55
+    assert stored_tables(spark, "changes", "deleted") == before

@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tonelake.functions.keys import key_bits, rows_of_keys
 from tonelake.functions.text import strip
 from tonelake.functions.vectors import hashed_words
 from tonelake.operators.describe import describe_songs
@@ -15,6 +16,7 @@ from tonelake.operators.features import song_features
 from tonelake.operators.library import default_tags
 from tonelake.operators.lyrics import with_snippet
 from tonelake.operators.maintenance import fresh_rows
+from tonelake.session import settle
 from tonelake.sources.catalog import conform
 from tonelake.streaming.ingest import analyse_lyrics
 
@@ -34,12 +36,13 @@ def scan_songs(
 
     The other tables hold what was read from the files, by ``song_id``: signal tables as
     :func:`song_features` takes them, tags, resolved lyrics (lyrics_text) and audio vectors
-    (clap_embedding). Only rows of these songs are worked on. A song without frames, tags, lyrics or audio
+    (clap_embedding). Only rows of these songs are worked on, and few others are dealt. A song without frames, tags, lyrics or audio
     vector gets the defaults of ingest; a lyrics valence blends into the song's own; the sentence sees all
     that, and its vector is the text vector.
     """
-    wanted = files.select("song_id").distinct()
-    of = lambda df: df.join(wanted, "song_id", "left_semi")
+    wanted = settle(files.select("song_id").distinct(), "wanted-songs")
+    table = key_bits(wanted, "song_id")
+    of = lambda df: rows_of_keys(df, wanted, "song_id", table)
     rows = files.select("filepath", "file_mtime", "song_id")
     if tags is not None:
         rows = rows.join(of(tags).select("song_id", *TAGS), "song_id", "left")

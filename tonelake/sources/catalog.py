@@ -1,6 +1,6 @@
 """The stored catalog: parquet in hash buckets of the path, with snapshots.
 
-A change reads and rewrites only the buckets it touches, into a new version folder; a manifest row
+A change reads and rewrites only the buckets it touches, a few at a time, into new version folders; a manifest row
 per bucket then points to its newest version. Nothing is overwritten while it is read, a reader
 keeps the snapshot it started with, and a failed change leaves the old snapshot in place. One writer at
 a time: two that start from the same snapshot are noticed only where the folder's file system makes
@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tonelake.operators import maintenance as m
-from tonelake.session import settle
+from tonelake.session import release, settle, shuffles_removed
 
 SONG_COLUMNS = {
     "id": "bigint", "filepath": "string", "file_mtime": "double", "title": "string",
@@ -31,6 +31,7 @@ SONG_COLUMNS = {
 }
 SCHEMA = ", ".join(f"`{c}` {t}" for c, t in SONG_COLUMNS.items())
 BUCKETS = 256  # choose so that one bucket stays in the range of 10 GB
+SLICE = 1 << 29  # stored bytes that a job of a change reads, unless one bucket has more; some five times as much is shuffled
 
 
 def conform(rows: DataFrame) -> DataFrame:
@@ -85,7 +86,8 @@ class Catalog:
         version = uuid.uuid4().hex[:12]
         target = f"{self.path}/data/version={version}"
         bucketed = conform(rows).withColumn("bucket", self.bucket(F.col("filepath")))
-        bucketed.hint("rebalance", "bucket").write.partitionBy("bucket").parquet(target)
+        with shuffles_removed(rows.sparkSession):
+            bucketed.hint("rebalance", "bucket").write.partitionBy("bucket").parquet(target)
         return {int(n.split("=")[1]): version for n in self._names(f"data/version={version}") if n.startswith("bucket=")}
 
     def _publish(self, snapshot: int, manifest: dict[int, str]) -> None:
@@ -99,24 +101,46 @@ class Catalog:
         self._publish(0, self._write(rows))
         return self
 
-    def replace(self, change: Callable[[DataFrame], DataFrame], touched: DataFrame | None = None) -> None:
-        """New snapshot from ``change(current rows)``; with ``touched`` paths only their buckets."""
+    def _slices(self, manifest: dict[int, str], only: list[int], changes: list[DataFrame]) -> list[list[int]]:
+        """The buckets in runs whose files, with their share of the stored changes, have some ``SLICE`` bytes."""
+        conf = self.spark._jsc.hadoopConfiguration()
+
+        def size(name: str) -> int:
+            path = self.spark._jvm.org.apache.hadoop.fs.Path(name)
+            return path.getFileSystem(conf).getContentSummary(path).getLength()
+
+        total = sum(size(f"{self.path}/data/version={manifest[b]}/bucket={b}") for b in only if b in manifest)
+        n = -(-(total + sum(size(t._settled) for t in changes)) // SLICE)
+        each = max(1, len(only) // max(1, n))
+        return [sorted(only)[i : i + each] for i in range(0, len(only), each)]
+
+    def replace(self, change: Callable[..., DataFrame], touched: DataFrame | None = None, *changes: DataFrame) -> None:
+        """New snapshot from ``change(current rows)``; with ``touched`` paths only their buckets.
+
+        With ``changes``, stored tables of paths, a few buckets are changed at a time: ``change(current rows, *changes)``
+        gets their rows of each table, so what a job shuffles is bounded, however much the change touches.
+        """
         last, manifest = self._manifest()
         only = None
         if touched is not None:
             ids = touched.select(self.bucket(F.col("filepath")).alias("b")).distinct().collect()
             only = [r.b for r in ids]
-        written = self._write(change(self._paths(manifest, only)))
+        written = {}
+        if not changes:
+            written = self._write(change(self._paths(manifest, only)))
+        for some in self._slices(manifest, only, changes) if changes else ():
+            inside = self.bucket(F.col("filepath")).isin(some)
+            written |= self._write(change(self._paths(manifest, some), *[t.filter(inside) for t in changes]))
         kept = {} if only is None else {b: v for b, v in manifest.items() if b not in only}
         self._publish(last + 1, {**kept, **written})
 
     def upsert(self, rows: DataFrame) -> None:
-        rows = settle(conform(m.fresh_rows(rows)), "changes")
-        self.replace(lambda current: m.upsert(current, rows), rows)
+        self.update(m.fresh_rows(rows))
 
     def delete_paths(self, paths: DataFrame) -> None:
         paths = settle(paths.select("filepath"), "deleted")
-        self.replace(lambda current: current.join(paths, "filepath", "left_anti"), paths)
+        self.replace(lambda current, gone: current.join(gone, "filepath", "left_anti"), paths, paths)
+        release(paths)
 
     def delete_folder(self, folder: str, registry=None) -> None:
         """Remove a folder's songs and, with the registry given, its entry."""
@@ -126,8 +150,9 @@ class Catalog:
 
     def update(self, rows: DataFrame) -> None:
         """Replace whole rows as given, id and vectors included."""
-        rows = settle(conform(rows), "updates")
-        self.replace(lambda current: m.upsert(current, rows), rows)
+        rows = settle(conform(rows), "changes")
+        self.replace(m.upsert, rows, rows)
+        release(rows)
 
     def clear(self, column: str | None = None) -> None:
         """Empty the catalog, or one vector column."""
@@ -156,7 +181,7 @@ class Catalog:
         if force:
             self.clear()
         diff = settle(m.diff_files(files, self.read(), folder), "diff")
-        gone = diff.filter(F.col("status") == "deleted").select("filepath")
+        vanished = lambda d: d.filter(F.col("status") == "deleted").select("filepath")
         changed = diff.filter(F.col("status").isin("new", "modified"))
         if diff.filter(F.col("status").isin("new", "modified", "deleted")).isEmpty():
             return diff
@@ -164,7 +189,8 @@ class Catalog:
         rows = settle(conform(m.fresh_rows(rows)), "changes")
         # vanished and replaced rows leave in the same rewrite of their buckets
         self.replace(
-            lambda current: m.upsert(current.join(gone, "filepath", "left_anti"), rows),
-            gone.unionByName(rows.select("filepath")),
+            lambda current, rows, diff: m.upsert(current.join(vanished(diff), "filepath", "left_anti"), rows),
+            vanished(diff).unionByName(rows.select("filepath")), rows, diff,
         )
+        release(rows)
         return diff

@@ -595,3 +595,12 @@ def test_a_change_of_many_buckets_goes_by_few_at_a_time(spark, monkeypatch):
         assert store.read().count() == len(found[-1])
     assert found[0] == found[1] and "('/m/9', 'newer')" in found[0] and len(found[0]) == 55
     assert stored_tables(spark, "changes", "deleted") == before
+
+
+def test_a_batch_leaves_no_tables_of_its_own(spark):
+    store = Catalog(spark, work_path(spark, "cat"), 2).create()
+    before = stored_tables(spark, "listing-", "changed-", "changes-")
+    for time_ in (1.0, 1.0, 9.0):
+        ing.ingest_batch(store, spark.createDataFrame([("/m/1", time_), ("/m/2", 1.0)], FILES), lambda changed: changed)
+    assert stored_tables(spark, "listing-", "changed-", "changes-") == before
+    assert {r.filepath: r.file_mtime for r in store.read().collect()} == {"/m/1": 9.0, "/m/2": 1.0}

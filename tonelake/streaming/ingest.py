@@ -12,7 +12,7 @@ from tonelake.operators import library as lib
 from tonelake.operators import maintenance as m
 from tonelake.operators.emotion import average_emotions, summarise_emotions
 from tonelake.operators.lyrics import analysis_text, explode_chunks, resolve_lookup
-from tonelake.session import settle
+from tonelake.session import release, settle
 from tonelake.sources.catalog import Catalog, conform
 from tonelake.streaming.progress import observed
 
@@ -31,6 +31,7 @@ def ingest_batch(catalog: Catalog, batch: DataFrame, process: Callable[[DataFram
     changed = settle(diff.filter(F.col("status").isin("new", "modified")), "changed")
     if not changed.isEmpty():
         catalog.upsert(process(changed.select("filepath", F.col("disk_mtime").alias("file_mtime"))))
+    release(files, changed)
 
 
 def ingest_stream(

@@ -158,3 +158,65 @@ def test_noisy_blurred_and_turned_copies(spark):
     got = {r["media_id"]: r["class_id"] for r in media.image_classes(spark.createDataFrame(rows, "media_id long, image binary")).collect()}
     missed = [i for i in got if got[i] != i // 10 * 10]
     assert len(missed) <= 1  # one of the 16 turned ones is not met
+
+
+def like_points(spark, images=60, seed=21):
+    """Points of images in groups of ten that share eight points but for one bit each; a group's images lie apart."""
+    rng = np.random.default_rng(seed)
+    groups = images // 10
+    place, words = rng.uniform(20, 60, (groups, 8, 2)), rng.integers(-(2**63), 2**63 - 1, (groups, 8, media.WORDS))
+    rows = []
+    for i in range(images):
+        for at in range(8):
+            flipped = words[i % groups, at] ^ np.array([1 << int(rng.integers(0, 60)), 0, 0, 0])
+            y, x = place[i % groups, at] + rng.uniform(-0.5, 0.5, 2)
+            rows.append((i, at, float(x), float(y), 1.0, 0.3, [int(w) for w in flipped]))
+    return spark.createDataFrame(rows, "media_id long, at int, x float, y float, scale float, angle float, words array<bigint>")
+
+
+def test_points_are_dealt_once_however_many_blocks(spark, monkeypatch):
+    """Every point is in one stored block, and cells read two blocks without dealing them again."""
+    plans, kept = {}, media.settle
+
+    def settle(df, name):
+        plans[name] = df._jdf.queryExecution().executedPlan().toString()
+        out = kept(df, name)
+        if name == "point-blocks":
+            plans["rows"] = [r for row in out.collect() for r in pa.ipc.open_stream(row["data"]).read_all().to_pylist()]
+        return out
+
+    monkeypatch.setattr(media, "settle", settle)
+    points = like_points(spark)
+    found = media.matched_points(points, 40).count()
+    assert found == 6 * 45 * 8
+    assert sorted((r["media_id"], r["at"]) for r in plans["rows"]) == sorted((i, at) for i in range(60) for at in range(8))
+    assert "CartesianProduct" in plans["point-matches"] and "Exchange" not in plans["point-matches"]
+
+
+@pytest.mark.parametrize("block", [40, 1 << 16])
+def test_spanning_links_are_few_and_join_the_same_images(spark, block):
+    points = like_points(spark)
+    classes = []
+    for spanning in (False, True):
+        matches = media.matched_points(points, block, spanning)
+        links = media.agreeing_images(matches)
+        classes.append({r["node"]: r["label"] for r in components(links).collect()})
+        pairs = matches.select("a", "b").distinct().count()
+        assert matches.count() == pairs * (media.MIN_VOTES if spanning else 8)
+        assert pairs == 6 * 45 if not spanning else 6 * 9 <= pairs < 6 * 45
+    assert classes[0] == classes[1] == {i: i % 6 for i in range(60)}
+
+
+def test_what_one_cell_joined_is_not_compared_in_the_next():
+    rng = np.random.default_rng(4)
+    place, words = rng.uniform(20, 60, (8, 2)), rng.integers(-(2**63), 2**63 - 1, (8, media.WORDS))
+    rows = [(i, at, *place[at], 1.0, 0.3, *words[at], i % 2) for i in range(6) for at in range(8)]
+    names = ["media_id", "at", "x", "y", "scale", "angle"] + [f"w{i}" for i in range(media.WORDS)] + ["block"]
+    kinds = {"x": np.float32, "y": np.float32, "scale": np.float32, "angle": np.float32, "at": np.int32, "block": np.int32}
+    cell = pa.table({n: np.asarray(c, kinds.get(n, np.int64)) for n, c in zip(names, zip(*rows))})
+    joined = {}
+    first = media.likely_matches(cell, True, joined)
+    assert first.num_rows and {media.end_of(joined, i) for i in range(6)} == {0}
+    assert media.likely_matches(cell, True, joined).num_rows == 0
+    chain = {i: i - 1 for i in range(1, 5000)}
+    assert media.end_of(chain, 4999) == 0 and chain[4999] == 0
